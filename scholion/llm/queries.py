@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.packing import op4_packing
+from scholion.llm.simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_order_minhash": op2_order_minhash,
+        "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
     }
 
