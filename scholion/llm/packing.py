@@ -42,8 +42,9 @@ CACHED_WORDS = 500_000
 
 #: Fixed by the vocabulary file: its pattern of words.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: White space that str.split() and the vocabulary file may see differently.
-_ODD_SPACE = regex.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: Control characters, the next line, the Mongolian vowel separator, the zero-width space and the
+#: byte order mark: white space that str.split() and the vocabulary file may see differently.
+_ODD_SPACE = regex.compile("[" + "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF))) + "]")
 
 
 def vocabulary_path() -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.packing import op4_packing
+from scholion.llm.quality import op9_quality
 from scholion.llm.simhash import op3_simhash
 
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_order_minhash": op2_order_minhash,
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
+        "op9_quality": op9_quality,
     }
 
 
