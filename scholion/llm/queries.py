@@ -10,6 +10,7 @@ from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.packing import op4_packing
 from scholion.llm.quality import op9_quality
 from scholion.llm.simhash import op3_simhash
+from scholion.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_order_minhash": op2_order_minhash,
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
+        "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
     }
 
