@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.packing import op4_packing
 from scholion.llm.quality import op9_quality
@@ -18,10 +19,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_order_minhash": op2_order_minhash,
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
+        "op5_decontaminate": op5_decontaminate,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontaminate": OP5_SQL,
+    }
