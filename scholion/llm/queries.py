@@ -10,6 +10,7 @@ from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.packing import op4_packing
 from scholion.llm.quality import op9_quality
+from scholion.llm.secrets import op7_secrets
 from scholion.llm.simhash import op3_simhash
 from scholion.llm.toxicity import op8_toxicity
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
         "op5_decontaminate": op5_decontaminate,
+        "op7_secrets": op7_secrets,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
     }
