@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.packing import op4_packing
+from scholion.llm.pii import op10_pii
 from scholion.llm.quality import op9_quality
 from scholion.llm.secrets import op7_secrets
 from scholion.llm.simhash import op3_simhash
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secrets": op7_secrets,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
+        "op10_pii": op10_pii,
     }
 
 
