@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholion.llm.chat import OP6_SQL, op6_chat
 from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.packing import op4_packing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
         "op5_decontaminate": op5_decontaminate,
+        "op6_chat": op6_chat,
         "op7_secrets": op7_secrets,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
@@ -32,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontaminate": OP5_SQL,
+        "op6_chat": OP6_SQL,
     }
