@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholion.llm.chat import OP6_SQL, op6_chat
 from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
+from scholion.llm.licenses import op1_licenses
 from scholion.llm.packing import op4_packing
 from scholion.llm.pii import op10_pii
 from scholion.llm.quality import op9_quality
@@ -19,6 +20,7 @@ from scholion.llm.toxicity import op8_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_order_minhash": op2_order_minhash,
         "op3_simhash": op3_simhash,
         "op4_packing": op4_packing,
