@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholion.sources.bind import with_tables
+
+MODULES = ("spine", "relational", "aggregation", "windows", "texts", "quality", "merging", "policy", "composite")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -20,19 +25,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         _QUERIES[name] = function
         if sql is not None:
-            _ORACLE[name] = sql
+            _ORACLE[name] = with_tables(sql)
         return function
 
     return add
 
 
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"scholion.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["context_bundle_doc"](spark, sf_dir)
+    return queries()["context_bundle_doc"](spark, sf_dir)
