@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-Terms of a text are its byte trigrams, its 4-grams of character classes, and the repeats of its
+Terms of a text are its byte trigrams, its trigrams of character classes, and the repeats of its
 words; their log counts, weighted by rarity, are projected on the leading singular directions of a
 bounded sample of labelled documents. Every document's vector is multiplied, block by block, with
 the broadcast vectors of that sample, and its nearest neighbours vote with a weight that grows with
@@ -34,7 +34,7 @@ REPEATS = 3
 BLOCK = 256
 
 _GRAMS = 2048
-_SHAPES = 4096
+_SHAPES = 512
 _WIDTH = _GRAMS + _SHAPES + 2
 
 
@@ -59,9 +59,8 @@ def term_counts(text: str) -> np.ndarray:
         wide = data.astype(np.uint32)
         code = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
         out[:_GRAMS] = np.bincount((code * np.uint32(0x9E3779B1)) >> np.uint32(21), minlength=_GRAMS)
-    if len(data) >= 4:
         kind = _CLASS[data]
-        shape = kind[:-3] << np.uint32(9) | kind[1:-2] << np.uint32(6) | kind[2:-1] << np.uint32(3) | kind[3:]
+        shape = kind[:-2] << np.uint32(6) | kind[1:-1] << np.uint32(3) | kind[2:]
         out[_GRAMS : _GRAMS + _SHAPES] = np.bincount(shape, minlength=_SHAPES)
     words = text.split()
     out[-2] = sum(map(eq, words, words[1:]))
@@ -69,15 +68,14 @@ def term_counts(text: str) -> np.ndarray:
     return out
 
 
-def _weigh(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted shares of terms; each of the families has length one before it is weighted."""
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Square roots of counts, by families of length one; repeats go with the classes."""
     found = np.sqrt(counts)
     for a, b in ((0, _GRAMS), (_GRAMS, _GRAMS + _SHAPES)):
         norm = np.linalg.norm(found[:, a:b], axis=1, keepdims=True)
         found[:, a:b] /= np.maximum(norm, 1e-9)
-        if b == _GRAMS + _SHAPES:
-            found[:, b:] *= REPEATS / np.maximum(norm, 1e-9)
-    return found * weights
+    found[:, _GRAMS + _SHAPES :] *= REPEATS / np.maximum(norm, 1e-9)
+    return found
 
 
 @dataclass
@@ -91,8 +89,8 @@ class QualityModel:
     votes: np.ndarray
     prior: float
 
-    def project(self, counts: np.ndarray) -> np.ndarray:
-        found = _weigh(counts, self.weights) @ self.directions
+    def project(self, shares: np.ndarray) -> np.ndarray:
+        found = shares @ (self.weights[:, None] * self.directions)
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -101,7 +99,7 @@ class QualityModel:
         if not len(self.labels):
             return out
         for at in range(0, len(texts), BLOCK):
-            cosine = self.project(np.stack([term_counts(x) for x in texts[at : at + BLOCK]])) @ self.vectors.T
+            cosine = self.project(_shares(np.stack([term_counts(x) for x in texts[at : at + BLOCK]]))) @ self.vectors.T
             k = min(NEIGHBOURS, cosine.shape[1])
             near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, -k:]
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS * self.votes[near]
@@ -110,27 +108,28 @@ class QualityModel:
         return np.clip(out, 0, 1)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, by_class: dict[int, int], dimensions: int = DIMENSIONS) -> QualityModel:
-    """A model of the sampled rows' term counts and labels; ``by_class`` counts all labelled rows."""
+def fit(shares: np.ndarray, labels: np.ndarray, by_class: dict[int, int], dimensions: int = DIMENSIONS) -> QualityModel:
+    """A model of the sampled rows' shares of terms and labels; ``by_class`` counts all labelled rows. ``shares`` is weighted in place."""
     n = len(labels)
     total = sum(by_class.values())
     prior = by_class.get(1, 0) / total if total else 0.5
     if not n:
         return QualityModel(np.zeros(_WIDTH, np.float32), np.zeros((_WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, labels, prior)
-    weights = (1 + np.log((1 + n) / (1 + (counts > 0).sum(axis=0)))).astype(np.float32)
-    weighed = _weigh(counts, weights)
+    weights = (1 + np.log((1 + n) / (1 + np.count_nonzero(shares, axis=0)))).astype(np.float32)
+    shares *= weights
     size = max(1, min(dimensions, n, _WIDTH))
     # subspace iteration from a fixed start, for the leading right singular vectors
     basis = np.random.default_rng(7).standard_normal((_WIDTH, size + 8)).astype(np.float32)
     for _ in range(6):
-        basis, _ = np.linalg.qr(weighed.T @ (weighed @ basis))
-    small = weighed @ basis
+        basis, _ = np.linalg.qr(shares.T @ (shares @ basis))
+    small = shares @ basis
     _, turn = np.linalg.eigh(small.T @ small)
     directions = (basis @ turn[:, ::-1][:, :size]).astype(np.float32)
     sampled = np.bincount(labels, minlength=2)
     votes = np.array([by_class.get(int(x), 0) / sampled[x] for x in labels], dtype=np.float64)
     model = QualityModel(weights, directions, np.zeros((0, size), np.float32), labels, votes, prior)
-    model.vectors = model.project(counts).astype(np.float32)
+    found = shares @ directions
+    model.vectors = (found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return model
 
 
@@ -140,14 +139,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", *, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [term_counts(x.as_py()).astype(np.float16).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "counts"])
+            packed = [_shares(term_counts(x.as_py())[None, :]).astype(np.float16).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "shares"])
 
     kind = texts.schema["id"].dataType
-    rows = python_ready(texts).mapInArrow(count, T.StructType([T.StructField("id", kind), T.StructField("label", T.IntegerType()), T.StructField("counts", T.BinaryType())])).collect()
+    fields = T.StructType([T.StructField("id", kind), T.StructField("label", T.IntegerType()), T.StructField("shares", T.BinaryType())])
+    rows = python_ready(texts).mapInArrow(count, fields).collect()
     rows.sort(key=lambda x: x["id"])
-    counts = np.stack([np.frombuffer(x["counts"], dtype=np.float16) for x in rows]).astype(np.float32) if rows else np.zeros((0, _WIDTH), np.float32)
-    return fit(np.minimum(counts, 60_000), np.array([x["label"] for x in rows], dtype=np.int64), by_class)
+    known = np.array([x["label"] for x in rows], dtype=np.int64)
+    shares = np.zeros((len(rows), _WIDTH), dtype=np.float32)
+    for k in range(len(rows)):
+        shares[k], rows[k] = np.frombuffer(rows[k]["shares"], dtype=np.float16), None
+    return fit(shares, known, by_class)
 
 
 def score_texts(docs: DataFrame, model: object, score_type: str = "score double", *, text_col: str = "text") -> DataFrame:
