@@ -110,10 +110,10 @@ def sorted_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "job_packing",
-    """WITH RECURSIVE chapters AS (SELECT lang AS refsys, source AS book, row_number() OVER (PARTITION BY lang ORDER BY source) AS at, count(*) AS verses FROM documents GROUP BY lang, source),
-    walk AS (SELECT refsys, at, verses, 1 AS job, 1 AS chapters_in, verses AS verses_in FROM chapters WHERE at = 1
-      UNION ALL SELECT c.refsys, c.at, c.verses, CASE WHEN w.chapters_in >= 4 OR w.verses_in + c.verses > 150 THEN w.job + 1 ELSE w.job END, CASE WHEN w.chapters_in >= 4 OR w.verses_in + c.verses > 150 THEN 1 ELSE w.chapters_in + 1 END, CASE WHEN w.chapters_in >= 4 OR w.verses_in + c.verses > 150 THEN c.verses ELSE w.verses_in + c.verses END
-      FROM walk w JOIN chapters c ON c.refsys = w.refsys AND c.at = w.at + 1)
+    """WITH RECURSIVE chapters AS (SELECT lang AS refsys, source AS book, row_number() OVER (PARTITION BY lang ORDER BY source) AS pos, count(*) AS verses FROM documents GROUP BY lang, source),
+    walk AS (SELECT refsys, pos, verses, 1 AS job, 1 AS chapters_in, verses AS verses_in FROM chapters WHERE pos = 1
+      UNION ALL SELECT c.refsys, c.pos, c.verses, CASE WHEN w.chapters_in >= 4 OR w.verses_in + c.verses > 150 THEN w.job + 1 ELSE w.job END, CASE WHEN w.chapters_in >= 4 OR w.verses_in + c.verses > 150 THEN 1 ELSE w.chapters_in + 1 END, CASE WHEN w.chapters_in >= 4 OR w.verses_in + c.verses > 150 THEN c.verses ELSE w.verses_in + c.verses END
+      FROM walk w JOIN chapters c ON c.refsys = w.refsys AND c.pos = w.pos + 1)
     SELECT refsys, CAST(job AS BIGINT) AS job, count(*) AS n_chapters, CAST(sum(verses) AS BIGINT) AS n_verses FROM walk GROUP BY refsys, job""",
 )
 def job_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

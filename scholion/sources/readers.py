@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BOOK = T._parse_datatype_string("osis string, name string, chapters array<struct<n:int,blocks:array<struct<t:string,n:int,text:string>>>>")
-PLACE = T._parse_datatype_string("id string, friendly_id string, comment string, identifications array<struct<id:string>>, extra string")
-PERSON = T._parse_datatype_string("person_id string, person_name string, unique_attribute string, tribe string, person_notes string")
-PERSON_VERSE = T._parse_datatype_string("person_id string, reference_id string, person_label string")
-RELATIONSHIP = T._parse_datatype_string("person_id_1 string, person_id_2 string, relationship_type string, relationship_category string, reference_id string")
+BOOK = "osis string, name string, chapters array<struct<n:int,blocks:array<struct<t:string,n:int,text:string>>>>"
+PLACE = "id string, friendly_id string, comment string, identifications array<struct<id:string>>, extra string"
+PERSON = ("person_id", "person_name", "unique_attribute", "tribe", "person_notes")
+PERSON_VERSE = ("person_id", "reference_id", "person_label")
+RELATIONSHIP = ("person_id_1", "person_id_2", "relationship_type", "relationship_category", "reference_id")
 
 
 def read_books(spark: SparkSession, path: str, order: DataFrame) -> DataFrame:
@@ -33,17 +32,19 @@ def as_books(turns: DataFrame) -> DataFrame:
     return grouped.select("osis", F.array(F.struct(F.lit(1).alias("n"), "blocks")).alias("chapters"))
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """A headed CSV by column name, whatever the order of its columns; a byte order mark is dropped, and missing columns fail."""
     found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    found = found.toDF(*(x.removeprefix("﻿").strip() for x in found.columns))
-    if missing := [x for x in schema.names if x not in found.columns]:
+    found = found.toDF(*(x.removeprefix("\ufeff").strip() for x in found.columns))
+    if missing := [x for x in columns if x not in found.columns]:
         raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
-    return found.select(*(F.trim(x).alias(x) for x in schema.names))
+    return found.select(*(F.trim(x).alias(x) for x in columns))
 
 
 def read_persons(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
-    return _csv(spark, path, PERSON).filter((F.coalesce("person_id", F.lit("")) != "") & ~F.coalesce(F.col("person_name").isin(*excluded), F.lit(False)) if excluded else F.coalesce("person_id", F.lit("")) != "")
+    """Persons with an id whose names aren't excluded."""
+    named = F.coalesce("person_name", F.lit(""))
+    return _csv(spark, path, PERSON).filter((F.coalesce("person_id", F.lit("")) != "") & ~F.array_contains(F.lit(list(excluded)).cast("array<string>"), named))
 
 
 def read_person_verses(spark: SparkSession, path: str, persons: DataFrame) -> DataFrame:
