@@ -1,0 +1,319 @@
+"""Operators against plain versions of what they compute."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from scholion.llm import chat, fingerprint, licenses, packing, pii, queries, secrets, simhash, toxicity
+from tests.oracle import connect, rows_of_spark, rows_of_sql
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, sf, name):
+    assert rows_of_spark(queries.queries()[name](spark, sf)) == rows_of_sql(connect(sf), queries.oracle_sql()[name])
+
+
+def plain_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def least_reachable(prints):
+    ids = sorted(prints)
+    root = {x: x for x in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(ids, 2):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+def test_simhash(spark, sf, docs):
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in queries.queries()["op3_simhash"](spark, sf).collect()}
+    prints = {k: plain_simhash(v) for k, v in docs.items()}
+    root = least_reachable(prints)
+    assert got == {k: (prints[k], root[k]) for k in docs}
+
+
+@pytest.mark.parametrize("bits", [2, 6])
+def test_every_link_within_the_radius_is_found(bits):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    near = []
+    for x in base:
+        for d in range(1, 7):
+            flips = rng.choice(64, d, replace=False)
+            near.append(np.uint64(x) ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)))
+    prints = np.unique(np.concatenate([base, np.array(near, dtype=np.uint64)]))
+    links = [simhash.linked_in_block(prints, block, bits) for block in range(1 << bits)]
+    at = {int(x): k for k, x in enumerate(prints)}
+    a, b = (np.array([at[int(x)] for part in links for x in part[side]]) for side in (0, 1))
+    got = simhash.forest((a, b), len(prints))
+    want = least_reachable({k: int(x) for k, x in enumerate(prints)})
+    assert got.tolist() == [want[k] for k in range(len(prints))]
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100, 160)] + [(7, 9)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {k: 100 for k in range(100, 161)} | {7: 7, 9: 7}
+
+
+def plain_order_minhash(text, k, width, sketches):
+    if not text:
+        return [0] * sketches
+    kmers, places = fingerprint.numbered_kmers(text, k)
+    low = (kmers >> np.uint64(32)).astype(np.uint32)
+    out = []
+    for by in fingerprint._functions(sketches):
+        order = sorted(range(len(kmers)), key=lambda j: (int(low[j]) * int(by) % 2**32, int(places[j])))[:width]
+        value = np.array([len(order)], dtype=np.uint64)
+        for j in sorted(order, key=lambda j: int(places[j])):
+            value = fingerprint._mix((value ^ kmers[j]) * fingerprint._MULTIPLIER)
+        out.append(int(value[0] >> np.uint64(32)))
+    return out
+
+
+def test_order_minhash():
+    random.seed(4)
+    for n in (0, 1, 3, 7, 8, 9, 30, 700, 9000):
+        text = "".join(random.choices("ab cdé", k=n))
+        assert fingerprint.order_minhash(text).tolist() == plain_order_minhash(text, fingerprint.K, fingerprint.WIDTH, fingerprint.SKETCHES)
+
+
+def test_occurrences_are_numbered():
+    kmers, places = fingerprint.numbered_kmers("abab" * 30, 4)
+    assert len(set(kmers.tolist())) == len(kmers) == 117 and sorted(places.tolist()) == list(range(117))
+
+
+def test_order_matters_to_the_fingerprint():
+    random.seed(2)
+    parts = ["".join(random.choices("abcdefghij ", k=60)) for _ in range(12)]
+    a, b = "".join(parts), "".join(reversed(parts))
+    same, swapped = fingerprint.order_minhash(a), fingerprint.order_minhash(b)
+    sets = [set(fingerprint.numbered_kmers(x)[0].tolist()) for x in (a, b)]
+    assert len(sets[0] & sets[1]) > 0.75 * len(sets[0] | sets[1])
+    assert fingerprint.likeness(same, swapped) < 0.25
+
+
+def test_edited_texts(spark, sf, docs):
+    ids = sorted(docs)
+    rows = {r["doc_id"]: r for r in queries.queries()["op2_order_minhash"](spark, sf).collect()}
+    assert sorted(rows) == ids
+    for k, name in enumerate(ids):
+        text, following = docs[name], docs[ids[(k + 1) % len(ids)]]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        mark, after, then = (fingerprint.order_minhash(x) for x in (text, edited, following))
+        r = rows[name]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint.spell(mark), fingerprint.spell(after))
+        assert (r["near_edited"], r["near_next"]) == (fingerprint.likeness(mark, after), fingerprint.likeness(mark, then))
+
+
+def test_packing_round_trip(spark, sf, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    rows = queries.queries()["op4_packing"](spark, sf).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    assert set(by_doc) == set(docs)
+    for name, pieces in by_doc.items():
+        ids = np.array([*tokenizer.encode(docs[name], add_special_tokens=False).ids, 2], dtype="<u4")
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids))
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at == pieces[0]["tier"] <= packing.MAX_LEN and at & (at - 1) == 0
+
+
+def test_tokens_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    tokenizer, encoder = Tokenizer.from_file(path), packing.TextEncoder(path)
+    odd = ["", "  ", "It's we'LL don't", "a<|endoftext|>b <|x", "ÀÉ İi ǅ ß", "x y z w", "5,000.00€ ½", "Ω ΣΑΣ", "日本語 テスト", "e\u0301 \u0301", "😀👍🏽", "\x1ca\x85b\u200bc", "don\u2019t"]
+    random.seed(1)
+    odd += ["".join(random.choices("aB'sé .,\u00a0\t\n0<|>Ǆ", k=40)) for _ in range(300)]
+    for text in odd:
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_steps_hold_equal_counts():
+    given = []
+    packer = packing.Packer(0, lambda *x: given.append(x), 4096, packing.TIERS, packing.STEP_TOKENS)
+    random.seed(3)
+    for k in range(500):
+        packer.add(k, random.choice([3, 90, 400, 700, 1500, 2500, 5000, 9000]))
+    packer.pack()
+    packer.steps(last=False)
+    sums = Counter()
+    for part, _, _, _, group, _ in given:
+        sums[group] += part[0]
+    assert set(sums.values()) == {packing.STEP_TOKENS}
+
+
+def test_chat_round_trip():
+    random.seed(6)
+    parts = ["[INST]", "[/INST]", " ", "<s>", "</s>", "\\", "[", "<", "a", "<<SYS>>", "[ROLE ", "]", "[/ROLE]", "é", "\n", "s>", "/"]
+    turns = [(random.choice(["user", "assistant", "system", "t]l", "", "\\]"]), "".join(random.choices(parts, k=random.randint(0, 8)))) for _ in range(3000)]
+    line = "".join(chat.render(*x)[0] for x in turns)
+    parser, got, at = chat.Parser(), [], 0
+    while at < len(line):
+        step = random.randint(1, 40)
+        got += [x[:2] for x in parser.feed(line[at : at + step])]
+        at += step
+    assert got == turns and parser.done()
+    for role, text in turns:
+        piece, a, b = chat.render(role, text)
+        assert chat.unescape(piece[a:b]) == text
+    assert chat.render("user", "C:\\dir")[0] == "[INST] C:\\dir [/INST]"
+    with pytest.raises(chat.GrammarError):
+        list(chat.Parser().feed("[INST] a <s> [/INST]"))
+
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+SECRETS = ["secret:token:abcdefgh", "TOKEN = 'abcdef' x", "é token=abcde password=xyz123", "AKIA" + "A1" * 9 + " AKIAAKIA12", "f" * 23 + " " + "0a" * 12, "api_key:'zzzzzz' apikey=\"qqqqqqq", "", "token==abcdefg", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY x " + "-" * 40]
+
+
+def base_spans(text):
+    spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+
+
+def test_secrets_base(spark, sf, docs):
+    for r in queries.queries()["op7_secrets"](spark, sf).collect():
+        want = base_spans(docs[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert ",".join(x for x in r["spans"].split(",") if not x.startswith("markov")) == want
+    model = secrets.train(secrets.labelled_samples(spark))
+    frame = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id int, text string")
+    for r in secrets.find_secrets(frame, model).collect():
+        assert ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in r["spans"] if x["kind"] != "markov") == base_spans(SECRETS[r["doc_id"]])
+
+
+def test_markov_models_tell_random_from_ordinary(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(8)
+    keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)) for _ in range(200)]
+    names = ["_".join(rng.sample("alpha customer delivery invoice network holder percent animal market window between garden".split(), 4)) for _ in range(200)]
+    names += ["".join(rng.choices(["ther", "tion", "ing", "hea", "ous", "enst", "and"], k=7)) for _ in range(100)]
+    rows = spark.createDataFrame([(x,) for x in keys + names], "text string").select("text", secrets.log_ratio(secrets.F.col("text"), model).alias("r")).collect()
+    ratio = {r["text"]: r["r"] for r in rows}
+    assert sum(ratio[x] >= secrets.MARGIN for x in keys) >= 190
+    assert sum(ratio[x] >= secrets.MARGIN for x in names) == 0
+
+
+def test_index_finds_the_exact_neighbours():
+    rng = np.random.default_rng(9)
+    vectors = []
+    for _ in range(700):
+        x = {int(t): float(w) for t, w in zip(rng.choice(60, 6, replace=False), rng.random(6), strict=True)}
+        length = sum(w * w for w in x.values()) ** 0.5
+        vectors.append({t: w / length for t, w in x.items()})
+    index = toxicity.Index.of(vectors, 60)
+    dense = np.array([[x.get(t, 0) for t in range(60)] for x in vectors])
+    for q in range(0, 700, 7):
+        scores = np.round(dense @ dense[q], 12)
+        want = [k for k in sorted(range(700), key=lambda k: (-scores[k], k)) if scores[k] > 0][:15]
+        ids, cosine = index.nearest(vectors[q], 15)
+        assert ids.tolist() == want and np.allclose(cosine, scores[want])
+
+
+def held_out_accuracy(spark, sf, name, label):
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.queries()[name](spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    return sum(r["predicted"] == truth[r["doc_id"]] for r in rows) / len(rows)
+
+
+def test_quality_on_held_out_labels(spark, sf):
+    assert held_out_accuracy(spark, sf.replace("sf0.001", "sf0.01"), "op9_quality", "quality") >= 0.95
+
+
+def test_toxicity_on_held_out_labels(spark, sf):
+    assert held_out_accuracy(spark, sf.replace("sf0.001", "sf0.01"), "op8_toxicity", "toxic") >= 0.9
+
+
+def test_every_known_sentence_has_a_hint():
+    forms = licenses._known()
+    assert all(re.search(licenses.HINT, x) for x in forms)
+    named = {x for _, rule in licenses.RULES for x in rule}
+    assert named <= set(licenses.SENTENCES)
+
+
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+
+
+def test_licences(spark, sf, docs):
+    cases = {APACHE: ["Apache-2.0"], "// SPDX-License-Identifier: MIT\ncode": ["MIT"], "Released under the MIT License. All rights reserved.": ["MIT", "All-Rights-Reserved"], "A licence to read.": []}
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    for r in licenses.scan_licences(frame).collect():
+        assert [x["licence"] for x in r["found"]] == list(cases.values())[r["doc_id"]]
+    lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "All-Rights-Reserved"}
+    for r in queries.queries()["op1_licenses"](spark, sf).collect():
+        want = {lines[x] for x in docs[r["doc_id"]].split("\n") if x in lines}
+        assert want <= set(filter(None, r["licenses"].split(",")))
+
+
+def test_pii(spark, sf, docs):
+    text = [
+        "Mail BOB.1@X.COM or bob.1@x.com, call +1 (437) 555-0689 or +1 437-555-0689.",
+        "Herr Max Müller und Frau Müller; 192.168.1.10, card 4111 1111 1111 1111 and 4111111111111111",
+        "г-н Иван Петров, DE89 3704 0044 0532 0130 00, 123-45-6789. Section 12.5 and 1,000",
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(text)), "doc_id int, text string")).collect()}
+    a, b, c = ([x["surrogate"] for x in got[k]["pii"]] for k in range(3))
+    assert a[0].lower() == a[1] and a[0].isupper() and re.sub(r"\D", "", a[2]) == re.sub(r"\D", "", a[3])
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", a[2]) and re.fullmatch(r"\+1 \d{3}-\d{3}-\d{4}", a[3])
+    assert b[0].split()[-1] == b[1].split()[-1] and b[0].split()[1] in pii._GIVEN["latin", "m"]
+    assert b[3].replace(" ", "") == b[4] and sum(int(x) if k % 2 == 0 else sum(divmod(2 * int(x), 10)) for k, x in enumerate(reversed(b[4]))) % 10 == 0
+    assert c[0].startswith("г-н ") and re.fullmatch("[А-Яа-я ]+", c[0][4:]) and c[1].startswith("DE") and "Section 12.5 and 1,000" in got[2]["text"]
+    pattern = re.compile(r"\b\d{16}\b|\+\d \(\d{3}\) \d{3}-\d{4}|\S+@\S+\.example\.com")
+    real = {m for t in docs.values() for m in pattern.findall(t)}
+    for r in queries.queries()["op10_pii"](spark, sf).collect():
+        if not r["n_pii"]:
+            assert r["text"] == docs[r["doc_id"]]
+        assert not [x for x in pattern.findall(r["text"]) if x in real and "@" not in x]
+
+
+def test_surrogates_stay_distinct_when_they_collide(spark):
+    names = spark.createDataFrame([("given_m", f"name{k}") for k in range(300)], "kind string, canon string")
+    cores = [r["core"] for r in pii.surrogates(names, "k").collect()]
+    assert len(set(cores)) == 300
