@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from scholion.operators.gate import published_rows
 from scholion.operators.joins import band_join
@@ -31,36 +32,36 @@ def _here(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("context_bundle_entities", f"{_BASE} SELECT DISTINCT scope_key, entity_key, entity_type, name FROM here")
-def bundle_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _here(spark, sf_dir).select("scope_key", "entity_key", "entity_type", "name").distinct()
+def bundle_entities(spark: SparkSession, sf_dir: str, here: DataFrame | None = None) -> DataFrame:
+    return (_here(spark, sf_dir) if here is None else here).select("scope_key", "entity_key", "entity_type", "name").distinct()
 
 
 @query("context_bundle_mentions", f"{_BASE} SELECT scope_key, book, verse, entity_key, count(*) AS n FROM here GROUP BY ALL")
-def bundle_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _here(spark, sf_dir).groupBy("scope_key", "book", "verse", "entity_key").agg(F.count(F.lit(1)).alias("n"))
+def bundle_mentions(spark: SparkSession, sf_dir: str, here: DataFrame | None = None) -> DataFrame:
+    return (_here(spark, sf_dir) if here is None else here).groupBy("scope_key", "book", "verse", "entity_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("context_bundle_relevance", f"{_BASE} SELECT scope_key, entity_key, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'central' WHEN count(*) >= 2 THEN 'supporting' ELSE 'background' END AS importance FROM here GROUP BY ALL")
-def bundle_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bundle_relevance(spark: SparkSession, sf_dir: str, here: DataFrame | None = None) -> DataFrame:
     n = F.count(F.lit(1))
-    return _here(spark, sf_dir).groupBy("scope_key", "entity_key").agg(n.alias("n"), F.when(n >= 5, "central").when(n >= 2, "supporting").otherwise("background").alias("importance"))
+    return (_here(spark, sf_dir) if here is None else here).groupBy("scope_key", "entity_key").agg(n.alias("n"), F.when(n >= 5, "central").when(n >= 2, "supporting").otherwise("background").alias("importance"))
 
 
 @query("context_bundle_relationships", f"{_BASE} SELECT DISTINCT h.scope_key, s.entity_key AS subject_key, r.predicate, o.entity_key AS object_key FROM (SELECT DISTINCT scope_key, entity_id FROM here) h JOIN relationships r ON r.subject_id = h.entity_id OR r.object_id = h.entity_id JOIN pub s ON s.entity_id = r.subject_id JOIN pub o ON o.entity_id = r.object_id")
-def bundle_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bundle_relationships(spark: SparkSession, sf_dir: str, here: DataFrame | None = None) -> DataFrame:
     """Edges between published entities, in each passage that has one of their ends: two joins on equal keys instead of a disjunction."""
     known = _published_entities(spark, sf_dir).select("entity_id", "entity_key")
     subject = known.select(F.col("entity_id").alias("subject_id"), F.col("entity_key").alias("subject_key"))
     target = known.select(F.col("entity_id").alias("object_id"), F.col("entity_key").alias("object_key"))
     edges = bind.relationships(spark, sf_dir).select("subject_id", "predicate", "object_id").distinct().join(subject, "subject_id").join(target, "object_id")
-    here = _here(spark, sf_dir).select("scope_key", "entity_id").distinct()
+    here = (_here(spark, sf_dir) if here is None else here).select("scope_key", "entity_id").distinct()
     ends = [edges.withColumn("entity_id", F.col(x)) for x in ("subject_id", "object_id")]
     return ends[0].unionByName(ends[1]).join(here, "entity_id").select("scope_key", "subject_key", "predicate", "object_key").distinct()
 
 
 @query("context_bundle_events", f"{_BASE} SELECT e.scope_key, e.entity_key AS event_key, string_agg(DISTINCT p.entity_key, ',' ORDER BY p.entity_key) AS participants FROM (SELECT DISTINCT scope_key, doc_id, entity_key FROM here WHERE entity_type = 'event') e JOIN here p ON p.scope_key = e.scope_key AND p.doc_id = e.doc_id AND p.entity_type = 'person' GROUP BY ALL")
-def bundle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    here = _here(spark, sf_dir)
+def bundle_events(spark: SparkSession, sf_dir: str, here: DataFrame | None = None) -> DataFrame:
+    here = _here(spark, sf_dir) if here is None else here
     events = here.filter("entity_type = 'event'").select("scope_key", "doc_id", F.col("entity_key").alias("event_key")).distinct()
     people = here.filter("entity_type = 'person'").select("scope_key", "doc_id", "entity_key").distinct()
     return events.join(people, ["scope_key", "doc_id"]).groupBy("scope_key", "event_key").agg(F.array_join(F.array_sort(F.collect_set("entity_key")), ",").alias("participants"))
@@ -88,12 +89,13 @@ def bundle_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("context_bundle_doc")
 def bundle_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document for each passage: its entities, relevance, relationships and claims as ordered arrays, empty where it has none."""
+    here = _here(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # five branches read it; a lost part is computed again
     branches = {
-        "entities": bundle_entities(spark, sf_dir),
-        "mentions": bundle_mentions(spark, sf_dir),
-        "relevance": bundle_relevance(spark, sf_dir),
-        "relationships": bundle_relationships(spark, sf_dir),
-        "events": bundle_events(spark, sf_dir),
+        "entities": bundle_entities(spark, sf_dir, here),
+        "mentions": bundle_mentions(spark, sf_dir, here),
+        "relevance": bundle_relevance(spark, sf_dir, here),
+        "relationships": bundle_relationships(spark, sf_dir, here),
+        "events": bundle_events(spark, sf_dir, here),
         "claims": bundle_claims(spark, sf_dir),
         "contexts": bundle_contexts(spark, sf_dir),
     }

@@ -89,8 +89,21 @@ def overlap_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, x.s AS start, x.e AS stop, x.k AS key FROM (SELECT doc_id, unnest(r) AS x FROM folded)""",
 )
 def greedy_spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _spans(spark, sf_dir).select("doc_id", F.explode(greedy_spans(F.col("spans"))).alias("x"))
-    return kept.select("doc_id", "x.start", F.col("x.end").alias("stop"), "x.key")
+    spans = _spans(spark, sf_dir).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.start", "x.end", "x.key")
+    return greedy_select(spans, ["doc_id"]).select("doc_id", "start", F.col("end").alias("stop"), "key")
+
+
+def greedy_select(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The spans (keys, ``start``, ``end``, ``key``) that ``greedy_spans`` keeps of each key's.
+
+    Spans that no chain of overlaps joins don't bear on one another, so the fold runs over chains,
+    which are short, instead of over whole texts.
+    """
+    frame = Window.partitionBy(*keys).orderBy("start", "end", "key")
+    reached = F.max("end").over(frame.rowsBetween(Window.unboundedPreceding, -1))
+    chained = islands(spans.withColumn("_reached", reached), keys, ["start", "end", "key"], F.col("_reached").isNull() | (F.col("start") >= F.col("_reached")), "_chain")
+    listed = chained.groupBy(*keys, "_chain").agg(F.collect_list(F.struct("start", "end", "key")).alias("spans"))
+    return listed.select(*keys, F.explode(greedy_spans(F.col("spans"))).alias("x")).select(*keys, "x.*")
 
 
 @query("revision_bump", "SELECT package_id, CASE WHEN package_id % 3 = 0 THEN revision WHEN package_id % 3 = 1 THEN revision + 1 ELSE 1 END AS revision FROM packages")
