@@ -9,17 +9,15 @@ from scholion.plans.registry import query
 from scholion.sources import bind
 from scholion.sources.bind import raw
 
-ONE = F.lit(1)
-
 
 @query("count_distinct_tuple", "SELECT kind, count(*) AS n, count(DISTINCT entity_id) AS n_entities, count(DISTINCT (reference_id, line)) AS n_places FROM attestations GROUP BY kind")
 def count_distinct_tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind.attestations(spark, sf_dir).groupBy("kind").agg(F.count(ONE).alias("n"), F.countDistinct("entity_id").alias("n_entities"), F.countDistinct(F.struct("reference_id", "line")).alias("n_places"))
+    return bind.attestations(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("n_entities"), F.countDistinct(F.struct("reference_id", "line")).alias("n_places"))
 
 
 @query("keep_min_dupes", "SELECT reference_id, line, min(entity_id) AS kept, count(*) - 1 AS dropped FROM attestations GROUP BY reference_id, line HAVING count(*) > 1")
 def keep_min_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind.attestations(spark, sf_dir).groupBy("reference_id", "line").agg(F.min("entity_id").alias("kept"), (F.count(ONE) - 1).alias("dropped")).filter("dropped > 0")
+    return bind.attestations(spark, sf_dir).groupBy("reference_id", "line").agg(F.min("entity_id").alias("kept"), (F.count("*") - 1).alias("dropped")).filter("dropped > 0")
 
 
 @query("shared_alias", "SELECT name, count(DISTINCT owner) AS owners FROM entities GROUP BY name HAVING count(DISTINCT owner) > 1")
@@ -31,7 +29,7 @@ def shared_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_set_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = bind.attestations(spark, sf_dir).groupBy("reference_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("kind", "basis"))), ",").alias("signature"))
     every = raw(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference_id")).join(sets, "reference_id", "left").withColumn("signature", F.coalesce("signature", F.lit("")))
-    grouped = every.groupBy("signature").agg(F.count(ONE).alias("n_refs"), F.min("reference_id").alias("first_ref"))
+    grouped = every.groupBy("signature").agg(F.count("*").alias("n_refs"), F.min("reference_id").alias("first_ref"))
     return grouped.withColumn("result", F.when(F.col("signature") == "", "complete_zero").otherwise("complete_with_records"))
 
 
@@ -46,7 +44,7 @@ _TOKENS = "tokens AS (SELECT doc_id, lang, source, unnest(list_distinct(regexp_e
 
 @query("token_df", f"WITH {_TOKENS} SELECT token, count(*) AS df FROM tokens WHERE length(token) >= 3 GROUP BY token")
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).filter("length(token) >= 3").groupBy("token").agg(F.count(ONE).alias("df"))
+    return _tokens(spark, sf_dir).filter("length(token) >= 3").groupBy("token").agg(F.count("*").alias("df"))
 
 
 @query(
@@ -61,9 +59,9 @@ def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_lift_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token that marks each source most: by lift, coverage, length, then the token itself."""
     docs = raw(spark, sf_dir, "documents")
-    counted = _tokens(spark, sf_dir).filter("length(token) >= 3").groupBy("source", "token").agg(F.count(ONE).alias("hits"))
+    counted = _tokens(spark, sf_dir).filter("length(token) >= 3").groupBy("source", "token").agg(F.count("*").alias("hits"))
     df = counted.groupBy("token").agg(F.sum("hits").alias("df"))
-    sizes = docs.groupBy("source").agg(F.count(ONE).alias("docs"))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("docs"))
     total = sizes.agg(F.sum("docs").alias("total"))
     often = counted.join(F.broadcast(sizes), "source").filter((F.col("docs") >= 5) & (F.col("hits") / F.col("docs") >= 0.05))
     scored = often.join(df, "token").join(F.broadcast(total)).select("source", "token", F.round(F.col("hits") / F.col("docs"), 6).alias("coverage"), F.round((F.col("hits") / F.col("docs")) / (F.col("df") / F.col("total")), 6).alias("lift"))
@@ -73,7 +71,7 @@ def token_lift_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("home_book_argmin", "SELECT e.entity_id, arg_min(u.book, {'a': u.ordinal, 'b': u.refsys}) AS home, count(*) AS n FROM attestations e JOIN units u ON u.doc_id = e.reference_id GROUP BY e.entity_id")
 def home_book_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = bind.attestations(spark, sf_dir).join(bind.units(spark, sf_dir), F.col("reference_id") == F.col("doc_id"))
-    return joined.groupBy("entity_id").agg(F.min_by("book", F.struct("ordinal", "refsys")).alias("home"), F.count(ONE).alias("n"))
+    return joined.groupBy("entity_id").agg(F.min_by("book", F.struct("ordinal", "refsys")).alias("home"), F.count("*").alias("n"))
 
 
 @query("first_last_ref", "SELECT e.entity_id, min(u.ordinal) AS first_ordinal, max(u.ordinal) AS last_ordinal, arg_min(u.book || ':' || u.verse, {'a': u.ordinal, 'b': u.refsys}) AS first_label, arg_max(u.book || ':' || u.verse, {'a': u.ordinal, 'b': u.refsys}) AS last_label FROM attestations e JOIN units u ON u.doc_id = e.reference_id GROUP BY e.entity_id")
@@ -90,13 +88,13 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kind_hist", "SELECT kind, count(*) AS n FROM attestations GROUP BY kind")
 def kind_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind.attestations(spark, sf_dir).groupBy("kind").agg(F.count(ONE).alias("n"))
+    return bind.attestations(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("coverage_rollup", "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n_docs, count(l.doc_id) AS n_labelled, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS n_good, count(DISTINCT d.doc_id) AS n_distinct FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (lang, source)")
 def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = raw(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(raw(spark, sf_dir, "labels").withColumn("known", ONE), "doc_id", "left")
-    out = joined.rollup("lang", "source").agg(F.count(ONE).alias("n_docs"), F.count("known").alias("n_labelled"), F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("n_good"), F.countDistinct("doc_id").alias("n_distinct"))
+    joined = raw(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(raw(spark, sf_dir, "labels").withColumn("known", F.lit(1)), "doc_id", "left")
+    out = joined.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.count("known").alias("n_labelled"), F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("n_good"), F.countDistinct("doc_id").alias("n_distinct"))
     return out.withColumns({x: F.coalesce(x, F.lit("*")) for x in ("lang", "source")})
 
 
@@ -109,8 +107,8 @@ def coverage_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cross_book_totals", "SELECT count(*) AS n_entities, CAST(sum(n) AS BIGINT) AS n_attested, count(*) FILTER (books > 1) AS in_several FROM (SELECT e.entity_id, count(*) AS n, count(DISTINCT u.book) AS books FROM attestations e JOIN units u ON u.doc_id = e.reference_id GROUP BY e.entity_id)")
 def cross_book_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = bind.attestations(spark, sf_dir).join(bind.units(spark, sf_dir), F.col("reference_id") == F.col("doc_id"))
-    each = joined.groupBy("entity_id").agg(F.count(ONE).alias("n"), F.countDistinct("book").alias("books"))
-    return each.agg(F.count(ONE).alias("n_entities"), F.sum("n").alias("n_attested"), F.count_if(F.col("books") > 1).alias("in_several"))
+    each = joined.groupBy("entity_id").agg(F.count("*").alias("n"), F.countDistinct("book").alias("books"))
+    return each.agg(F.count("*").alias("n_entities"), F.sum("n").alias("n_attested"), F.count_if(F.col("books") > 1).alias("in_several"))
 
 
 @query("conflicting_defs", "SELECT reference_id, line, count(DISTINCT (entity_id, kind, basis)) AS definitions FROM attestations GROUP BY reference_id, line HAVING count(DISTINCT (entity_id, kind, basis)) > 1")
@@ -139,19 +137,19 @@ def kind_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("license_isolation", "SELECT package_id, count(*) AS components, count(DISTINCT subject_digest) AS evidence, count(DISTINCT decision) AS path_sets FROM approvals GROUP BY package_id HAVING count(*) > 1 AND count(DISTINCT subject_digest) > 1 AND count(DISTINCT decision) > 1")
 def license_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bind.approvals(spark, sf_dir).groupBy("package_id").agg(F.count(ONE).alias("components"), F.countDistinct("subject_digest").alias("evidence"), F.countDistinct("decision").alias("path_sets"))
+    found = bind.approvals(spark, sf_dir).groupBy("package_id").agg(F.count("*").alias("components"), F.countDistinct("subject_digest").alias("evidence"), F.countDistinct("decision").alias("path_sets"))
     return found.filter("components > 1 AND evidence > 1 AND path_sets > 1")
 
 
 @query("receipt_counts", "SELECT count(*) AS planned, count(l.doc_id) AS existing, count(*) - count(l.doc_id) AS inserted, count(*) FILTER (l.quality = 0) AS rejected FROM documents d LEFT JOIN labels l USING (doc_id)")
 def receipt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = raw(spark, sf_dir, "documents").select("doc_id").join(raw(spark, sf_dir, "labels").withColumn("known", ONE), "doc_id", "left")
-    return joined.agg(F.count(ONE).alias("planned"), F.count("known").alias("existing"), (F.count(ONE) - F.count("known")).alias("inserted"), F.count_if(F.col("quality") == 0).alias("rejected"))
+    joined = raw(spark, sf_dir, "documents").select("doc_id").join(raw(spark, sf_dir, "labels").withColumn("known", F.lit(1)), "doc_id", "left")
+    return joined.agg(F.count("*").alias("planned"), F.count("known").alias("existing"), (F.count("*") - F.count("known")).alias("inserted"), F.count_if(F.col("quality") == 0).alias("rejected"))
 
 
 @query("package_totals", "SELECT source, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY source")
 def package_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir, "documents").groupBy("source").agg(F.count(ONE).alias("files"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+    return raw(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
 @query("parity_compare", "SELECT coalesce(a.source, b.source) AS source, coalesce(a.n, 0) AS n_en, coalesce(b.n, 0) AS n_fr FROM (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1) a FULL JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY 1) b USING (source) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
