@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
 def _functions(sketches: int) -> np.ndarray:
     """An odd multiplier for each hash function."""
     return (_mix(np.arange(1, sketches + 1, dtype=np.uint64) * _MULTIPLIER) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -79,9 +81,11 @@ def order_minhash(text: str, k: int = K, width: int = WIDTH, sketches: int = SKE
         most = None if share >= 1 else np.uint32(share * 2**32)
         keys = []
         for at in range(0, n, _CHUNK):
-            hashed = low[None, at : at + _CHUNK] * by
-            rows, columns = np.nonzero(hashed < most) if most is not None else np.indices(hashed.shape).reshape(2, -1)
-            keys.append((rows.astype(np.uint64), hashed[rows, columns].astype(np.uint64), (columns + at).astype(np.uint64)))
+            part = low[at : at + _CHUNK]
+            hashed = (part[None, :] * by).ravel()
+            hit = np.flatnonzero(hashed < most) if most is not None else np.arange(len(hashed))
+            rows = hit // len(part)
+            keys.append((rows.astype(np.uint64), hashed[hit].astype(np.uint64), (hit - rows * len(part) + at).astype(np.uint64)))
         rows, values, columns = (np.concatenate(x) for x in zip(*keys, strict=True))
         counts = np.bincount(rows.astype(np.int64), minlength=sketches)
         if most is None or counts.min() >= take:
