@@ -38,7 +38,7 @@ RADIUS = 4
 BLOCK_BITS = 6
 BLOCK_PRINTS = 1 << 25
 #: Variants of a block in memory at a time, about.
-VARIANTS_AT_ONCE = 1 << 23
+VARIANTS_AT_ONCE = 1 << 21
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HASHES_AT_ONCE = 1 << 16
@@ -112,7 +112,7 @@ def linked_in_block(prints: np.ndarray, block: int, bits: int) -> tuple[np.ndarr
     """Fingerprints with the least one of their component, as far as variants of this block show it; those alone are left out."""
     prints = np.unique(prints)
     fine = bits
-    while fine < 12 and len(prints) * 2081 >> fine > VARIANTS_AT_ONCE:
+    while fine < 16 and len(prints) * 2081 >> fine > VARIANTS_AT_ONCE:
         fine += 1
     patterns, numbers = patterns_by_block(fine), block_of(prints, fine)
     order = np.argsort(numbers, kind="stable")
@@ -123,7 +123,7 @@ def linked_in_block(prints: np.ndarray, block: int, bits: int) -> tuple[np.ndarr
         if not made:
             continue
         variants = np.concatenate([(prints[members][:, None] ^ found[None, :]).ravel() for members, found in made])
-        owners = np.concatenate([np.repeat(members, len(found)) for members, found in made])
+        owners = np.concatenate([np.repeat(members.astype(np.int32), len(found)) for members, found in made])
         order = np.argsort(variants)
         variants, owners = variants[order], owners[order]
         same = variants[1:] == variants[:-1]
@@ -131,7 +131,7 @@ def linked_in_block(prints: np.ndarray, block: int, bits: int) -> tuple[np.ndarr
             continue
         first = np.concatenate([[True], ~same])
         heads = np.flatnonzero(first)[np.cumsum(first) - 1][1:][same]
-        a, b = owners[heads], owners[1:][same]
+        a, b = owners[heads].astype(np.int64), owners[1:][same].astype(np.int64)
         close = np.bitwise_count(prints[a] ^ prints[b]) <= RADIUS
         pairs = np.unique(a[close] * len(prints) + b[close])
         a, b = pairs // len(prints), pairs % len(prints)
