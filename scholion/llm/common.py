@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,17 +29,21 @@ def python_ready(df: DataFrame) -> DataFrame:
     return df
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='scholion-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
 
     Only a session of one machine, as in tests, gets a folder of its own where none is set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared folder for scratch tables")
-        found = f"file://{tempfile.mkdtemp(prefix='scholion-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
