@@ -43,6 +43,12 @@ def quote_positions(text: Column, quote: str) -> Column:
     return positions(text, bounded_pattern(quote))
 
 
+def overlapping_positions(text: Column, literal: str) -> Column:
+    """Every occurrence of a literal, also those that overlap one another: its first character where the rest follows."""
+    found = positions(text, re.escape(literal[0]) + (f"(?={re.escape(literal[1:])})" if len(literal) > 1 else ""))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), (x["start"] + len(literal)).alias("end")))
+
+
 def selector_span(text: Column, quote: str, ordinal: Column | int) -> Column:
     """The occurrence of that ordinal (from 1), or null."""
     return F.try_element_at(quote_positions(text, quote), F.lit(ordinal) if isinstance(ordinal, int) else ordinal)

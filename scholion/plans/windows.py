@@ -59,9 +59,9 @@ _WORDS = ("the", "that", "tion", "que", "los")
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, spans): every place of a few overlapping needles, of any bounds, each with its needle for a key."""
-    from scholion.functions.text import positions
+    from scholion.functions.text import overlapping_positions
 
-    each = [F.transform(positions(F.col("text"), w), _keyed(w)) for w in _WORDS]
+    each = [F.transform(overlapping_positions(F.col("text"), w), _keyed(w)) for w in _WORDS]
     return raw(spark, sf_dir, "documents").select("doc_id", F.concat(*each).alias("spans"))
 
 

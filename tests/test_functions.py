@@ -19,6 +19,11 @@ def test_bounded_quotes_match_a_regex(spark):
         assert [tuple(x) for x in one(spark, case, text.quote_positions(F.col("x"), "the"))] == want
 
 
+def test_occurrences_that_overlap_are_all_found(spark):
+    assert [tuple(x) for x in one(spark, "thathat aaa", text.overlapping_positions(F.col("x"), "that"))] == [(0, 4), (3, 7)]
+    assert [tuple(x) for x in one(spark, "thathat aaa", text.overlapping_positions(F.col("x"), "aa"))] == [(8, 10), (9, 11)]
+
+
 def test_selector_beyond_the_last_is_null(spark):
     assert one(spark, "the", text.selector_span(F.col("x"), "the", 2)) is None
 
