@@ -1,13 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms of a text are its lower-cased words and the beginnings of these. A bounded sample of labelled
-documents gives the vocabulary (terms that stand out in toxic ones), the rarity weights, and the
-examples. A term counts by the documents that use it, but no more often than by the words before
-it, so that copies of one document are no evidence. The examples lie in an inverted index whose postings are cut into
-blocks of examples, each with its largest weight. A query bounds every block by those weights,
-opens blocks from the highest bound down and stops once no block can beat its k-th neighbour, so
-the neighbours are exact. They vote with weights that fall with distance; votes are calibrated on
-the examples themselves, each left out in turn.
+documents gives the examples, the vocabulary (all their terms), and each term's weight: its rarity
+times the root of the G statistic by which it tells the labels apart, so that no term is left out
+and those that stand out in toxic documents of a language weigh most in its texts. A term counts by
+the documents that use it, but no more often than by the words before it, so that copies of one
+document are no evidence. The examples lie in an inverted index whose postings are cut into blocks
+of examples, each with its largest weight. A query bounds every block by those weights, opens
+blocks from the highest bound down and stops once no block can beat its k-th neighbour, so the
+neighbours are exact. They vote with weights that fall with distance; votes are calibrated on the
+examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,11 @@ THRESHOLD = 0.3
 NEIGHBOURS = 15
 #: Lengths of the beginnings of words that are terms.
 STEMS = (4, 5)
-#: Terms in the vocabulary at most, and the log-likelihood ratio (twice, as a G statistic) by which label 1 uses them more at least.
-TERMS = 4096
-APART = 30.0
-#: Examples in a block of the index.
+#: Share of its G statistic that a term keeps where label 0 uses it more, and what is added so that none weighs nothing.
+AGAINST, LEAST = 0.1, 1e-3
+#: Examples in a block of the index, and blocks that a query opens first; it opens twice as many each time.
 BLOCK = 64
+OPENED = 8
 #: Words and queries whose results a worker keeps at most.
 CACHED = 300_000
 
@@ -51,49 +55,75 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors: for each term its examples, their weights, where its blocks begin, and the blocks' largest weights."""
+    """Block-max inverted index of unit vectors.
 
-    postings: list[tuple[np.ndarray, np.ndarray, list[int]]]
+    Postings lie by term and example. The postings of a term within a block of examples are a cell,
+    which has its block, its largest weight and where its postings begin; ``cells`` has where the
+    cells of each term begin.
+    """
+
+    cells: np.ndarray
+    blocks: np.ndarray
     highest: np.ndarray
+    begins: np.ndarray
+    ids: np.ndarray
+    weights: np.ndarray
     size: int
 
     @staticmethod
     def of(vectors: list[dict[int, float]], terms: int) -> Index:
-        found: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for k, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                found[term].append((k, weight))
-        highest = np.zeros((terms, -(-len(vectors) // BLOCK)))
-        postings = []
-        for term, pairs in enumerate(found):
-            ids = np.array([x for x, _ in pairs], dtype=np.int64)
-            weights = np.array([x for _, x in pairs], dtype=np.float64)
-            np.maximum.at(highest[term], ids // BLOCK, weights)
-            postings.append((ids, weights, np.searchsorted(ids, np.arange(highest.shape[1] + 1) * BLOCK).tolist()))
-        return Index(postings, highest, len(vectors))
+        sizes = [len(x) for x in vectors]
+        found = np.fromiter(chain.from_iterable(vectors), np.int64, sum(sizes))
+        weights = np.fromiter(chain.from_iterable(x.values() for x in vectors), np.float64, sum(sizes))
+        return Index.laid(np.repeat(np.arange(len(vectors)), sizes), found, weights, len(vectors), terms)
+
+    @staticmethod
+    def laid(ids: np.ndarray, found: np.ndarray, weights: np.ndarray, size: int, terms: int) -> Index:
+        """From postings in order of example: its number, the term and the weight."""
+        order = np.argsort(found, kind="stable")
+        ids, found, weights = ids[order].astype(np.int32), found[order], weights[order]
+        cell = found * (size // BLOCK + 1) + ids // BLOCK
+        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        highest = np.maximum.reduceat(weights, begins) if len(begins) else np.zeros(0)
+        cells = np.searchsorted(found[begins], np.arange(terms + 1))
+        return Index(cells, ids[begins] // BLOCK, highest, np.append(begins, len(ids)), ids, weights, size)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of highest cosine above zero, and the cosines; ties go to the earlier example."""
-        terms = list(query)
-        bounds = np.array([query[t] for t in terms]) @ self.highest[terms]
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(ids) == k and bounds[block] < least - 1e-12:
-                break
-            low = block * BLOCK
-            sums = np.zeros(BLOCK)
-            for term in terms:
-                of, weights, begins = self.postings[term]
-                a, b = begins[block], begins[block + 1]
-                if a < b:
-                    sums[of[a:b] - low] += query[term] * weights[a:b]
-            if low <= without < low + BLOCK:
-                sums[without - low] = 0
+        terms = np.fromiter(query, np.int64, len(query))
+        counts = self.cells[terms + 1] - self.cells[terms]
+        cells = _ranges(self.cells[terms], counts)
+        share, of = np.repeat(np.fromiter(query.values(), np.float64, len(query)), counts), self.blocks[cells]
+        bounds = np.bincount(of, share * self.highest[cells], -(-self.size // BLOCK))
+        left = np.argsort(-bounds, kind="stable")
+        left = left[bounds[left] > 0]
+        ids, scores, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, OPENED
+        while len(left) and not (len(ids) == k and bounds[left[0]] < least - 1e-12):
+            opened = np.zeros(len(bounds), bool)
+            opened[left[:step]] = True
+            left, step = left[step:], 2 * step
+            chosen = np.flatnonzero(opened[of])
+            begins = self.begins[cells[chosen]]
+            counts = self.begins[cells[chosen] + 1] - begins
+            posts = _ranges(begins, counts)
+            sums = np.bincount(self.ids[posts], self.weights[posts] * np.repeat(share[chosen], counts), self.size)
+            if without >= 0:
+                sums[without] = 0
             hit = np.flatnonzero(sums)
-            ids, scores = np.concatenate([ids, hit + low]), np.concatenate([scores, sums[hit]])
-            order = np.lexsort((ids, -np.round(scores, 12)))[:k]
+            ids, scores = np.concatenate([ids, hit]), np.concatenate([scores, sums[hit]])
+            rounded = np.round(scores, 12)
+            if len(ids) > k:
+                kept = rounded >= np.partition(rounded, -k)[-k]
+                ids, scores, rounded = ids[kept], scores[kept], rounded[kept]
+            order = np.lexsort((ids, -rounded))[:k]
             ids, scores = ids[order], scores[order]
             least = scores[-1] if len(ids) == k else 0.0
         return ids, scores
@@ -101,10 +131,10 @@ class Index:
 
 @dataclass
 class ToxicityModel:
-    """Fixed in size by its parameters: what is broadcast to score documents."""
+    """What is broadcast to score documents; it is as large as the sample's texts, whatever the input."""
 
     terms: dict[str, int]
-    rarity: np.ndarray
+    worth: np.ndarray
     index: Index
     names: list[object]
     labels: np.ndarray
@@ -112,25 +142,21 @@ class ToxicityModel:
     empty_score: float
     steps: tuple[np.ndarray, np.ndarray]
     known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
-    met: dict[tuple, tuple[float, list]] = field(default_factory=dict, repr=False)
+    met: dict[bytes, tuple[float, list]] = field(default_factory=dict, repr=False)
 
     def counts(self, text: str) -> Counter:
         """Counts of the vocabulary's terms in the whole text."""
-        known, out = self.known, Counter()
+        known, words = self.known, words_of(text)
         if len(known) > CACHED:
             known.clear()
-        for word in words_of(text):
-            found = known.get(word)
-            if found is None:
-                found = known[word] = tuple(self.terms[x] for x in word_terms(word) if x in self.terms)
-            if found:
-                out.update(found)
-        return out
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        weights = {t: (1 + np.log(n)) * self.rarity[t] for t, n in counts.items()}
-        length = float(np.sqrt(sum(x * x for x in weights.values())))
-        return {t: x / length for t, x in sorted(weights.items())}
+        for word in set(words).difference(known):
+            known[word] = tuple(self.terms[x] for x in word_terms(word) if x in self.terms)
+        return Counter(chain.from_iterable(map(known.__getitem__, words)))
+
+    def weighed(self, pairs: np.ndarray) -> np.ndarray:
+        """The unit vector of rows of a term and its count."""
+        weights = (1 + np.log(pairs[:, 1])) * self.worth[pairs[:, 0]]
+        return weights / np.sqrt((weights * weights).sum())
 
     def vote(self, vector: dict[int, float], without: int = -1) -> tuple[float, np.ndarray]:
         """The weighted share of toxic neighbours, and the neighbours. Weights fall with angular distance."""
@@ -145,15 +171,22 @@ class ToxicityModel:
         counts = self.counts(text)
         if not counts:
             return self.empty_score, []
-        key = tuple(sorted(counts.items()))
+        pairs = _pairs(counts)
+        key = blake2b(pairs.tobytes(), digest_size=16).digest()
         if len(self.met) > CACHED // 10:
             self.met.clear()
         if key not in self.met:
-            share, near = self.vote(self.vector(counts))
+            share, near = self.vote(dict(zip(pairs[:, 0].tolist(), self.weighed(pairs).tolist(), strict=True)))
             self.met[key] = (float(np.interp(share, *self.steps)), [self.names[x] for x in near])
         return self.met[key]
 
 
+def _pairs(counts: Counter) -> np.ndarray:
+    """Rows of a term and its count, in order of terms."""
+    found = np.fromiter(chain.from_iterable(counts.items()), np.int32, 2 * len(counts)).reshape(-1, 2)
+    return found[np.argsort(found[:, 0])]
+
+
 def _calibration(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A rising curve through the weighted mean labels of examples in order of share, by pooling neighbours that fall."""
     pools: list[list[float]] = []
@@ -191,18 +224,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id
     n, hit = F.col("n"), F.col("n1")
     cells = ((hit, n * n1 / (n1 + n0 or 1)), (n - hit, n * n0 / (n1 + n0 or 1)), (n1 - hit, (n1 + n0 - n) * n1 / (n1 + n0 or 1)), (n0 - n + hit, (n1 + n0 - n) * n0 / (n1 + n0 or 1)))
     apart = 2 * sum(F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0) for seen, due in cells)
-    chosen = used.filter(hit * n0 > (n - hit) * n1).select("term", "n", apart.alias("apart")).filter(F.col("apart") > APART).orderBy(F.desc("apart"), "term").limit(TERMS).collect()
-    terms = {x["term"]: k for k, x in enumerate(chosen)}
-    rarity = np.array([np.log((1 + n0 + n1) / (1 + x["n"])) + 1 for x in chosen])
+    strength = F.sqrt(F.greatest(F.when(hit * n0 > (n - hit) * n1, apart).otherwise(AGAINST * apart), F.lit(0.0)) + LEAST)
+    rarity = F.log((1 + n0 + n1) / (1 + n)) + 1
+    chosen = used.select("term", strength.alias("strength"), rarity.alias("rarity")).toArrow().sort_by("term")
+    terms = {x: k for k, x in enumerate(chosen["term"].to_pylist())}
+    worth = chosen["strength"].to_numpy() * chosen["rarity"].to_numpy()
     total = sum(by_class.values())
     prior = by_class.get(1, 0) / total if total else 0.0
-    model = ToxicityModel(terms, rarity, Index([], np.zeros((len(terms), 0)), 0), [], np.zeros(0), np.zeros(0), prior, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    model = ToxicityModel(terms, worth, Index.of([], len(terms)), [], np.zeros(0), np.zeros(0), prior, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(sent.value.counts(x.as_py()).items()) for x in batch.column(2)]
-            packed = [np.array(x, dtype=np.int32).tobytes() for x in found]
+            packed = [_pairs(sent.value.counts(x.as_py())).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "counts"])
 
     fields = T.StructType([T.StructField("id", sample.schema["id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("counts", T.BinaryType())])
@@ -212,13 +246,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id
     if empty:
         model.empty_score = empty[1] * votes[1] / (empty[1] * votes[1] + empty[0] * votes[0])
     with_terms = [x for x in rows if x["counts"]]
-    vectors = [model.vector(Counter(dict(np.frombuffer(x["counts"], dtype=np.int32).reshape(-1, 2).tolist()))) for x in with_terms]
-    model.index = Index.of(vectors, len(terms))
+    pairs = [np.frombuffer(x["counts"], dtype=np.int32).reshape(-1, 2) for x in with_terms]
+    if pairs:
+        ids = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
+        model.index = Index.laid(ids, np.concatenate([x[:, 0] for x in pairs]).astype(np.int64), np.concatenate([model.weighed(x) for x in pairs]), len(pairs), len(terms))
     model.names = [x["id"] for x in with_terms]
     model.labels = np.array([x["label"] for x in with_terms], dtype=np.float64)
     model.votes = np.array([votes[x["label"]] for x in with_terms], dtype=np.float64)
-    if vectors:
-        shares = np.array([model.vote(x, without=k)[0] for k, x in enumerate(vectors)])
+    if pairs:
+        shares = np.array([model.vote(dict(zip(x[:, 0].tolist(), model.weighed(x).tolist(), strict=True)), without=k)[0] for k, x in enumerate(pairs)])
         model.steps = _calibration(shares, model.labels, model.votes)
     return model
 
@@ -228,8 +264,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
 
     ``evidence`` lists the ids of the labelled examples that voted, nearest first. Only labelled rows
     outside the held-out fold teach labels; a score depends on the text alone. A text without terms
-    of the vocabulary, null and empty texts among them, gets the share of label 1 among the examples
-    without such terms and has no evidence. Where no row is labelled with 0 or 1 every score is 0.
+    of any example, null and empty texts among them, gets the share of label 1 among the examples
+    without terms, or among all labelled rows where there are none, and has no evidence. Where no row is labelled with 0 or 1 every score is 0.
     Repeated rows get equal scores. A null id is in no fold, so held_out is false. An empty table
     gives an empty result. Columns other than the two named are ignored, so none can clash.
     """

@@ -261,6 +261,20 @@ def test_toxicity_on_held_out_labels(spark, sf):
     assert held_out_accuracy(spark, sf.replace("sf0.001", "sf0.01"), "op8_toxicity", "toxic") >= 0.9
 
 
+def test_toxicity_recall_by_language(spark, sf):
+    """Each language's toxic documents outside the fold are found, and every text with words has neighbours."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = queries.queries()["op8_toxicity"](spark, sf).collect()
+    found = {}
+    for r in rows:
+        if r["held_out"] and truth.get(r["doc_id"]) == 1:
+            found.setdefault(langs[r["doc_id"]], []).append(r["predicted"])
+    assert len(found) > 1 and all(sum(x) >= 0.75 * len(x) for x in found.values()), found
+    assert all(r["evidence"] for r in rows)
+
+
 def test_every_known_sentence_has_a_hint():
     forms = licenses._known()
     assert all(re.search(licenses.HINT, x) for x in forms)
