@@ -44,6 +44,16 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "gpl3_under": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "licensed under the gnu gpl v3", "gnu general public license version 3"),
     "gpl_free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
     "gpl2_free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    # the published notices have semicolons, so these are met in pieces
+    "gpl_program": ("this program is free software",),
+    "gpl_terms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
+    "gpl_program_terms": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
+    "gpl_either": ("either version 3 of the license or at your option any later version",),
+    "gpl2_either": ("either version 2 of the license or at your option any later version",),
+    "gpl_terms_either": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "gpl2_terms_either": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "gpl_useful": ("this program is distributed in the hope that it will be useful but without any warranty",),
+    "gpl_even": ("without even the implied warranty of merchantability or fitness for a particular purpose",),
     "gpl_hope": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
     "gpl_received": ("you should have received a copy of the gnu general public license along with this program",),
     "lgpl_under": ("licensed under the gnu lesser general public license", "this work is licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2 1"),
@@ -69,6 +79,15 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "spdx_mpl2": ("spdx license identifier mpl 2 0",),
 }
 
+
+
+def _gpl(licence: str, name: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Rules for the notices of a version, wherever they have semicolons or commas, longest first."""
+    grants = ((f"{name}_free",), ("gpl_program", "gpl_terms", f"{name}_either"), ("gpl_program", f"{name}_terms_either"), ("gpl_program_terms", f"{name}_either"))
+    rests = (("gpl_useful", "gpl_even", "gpl_received"), ("gpl_hope", "gpl_received"), ("gpl_useful", "gpl_even"), ("gpl_hope",), ())
+    return tuple((licence, (*grant, *rest)) for rest in rests for grant in grants)
+
+
 #: In order of preference: a licence, and identifiers that follow one another. A longer rule stands before the rules that it contains.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache2_under", "apache_comply", "apache_copy", "apache_asis", "apache_limits")),
@@ -89,10 +108,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc_under", "isc_grant")),
     ("ISC", ("isc_grant",)),
     ("ISC", ("isc_under",)),
-    ("GPL-3.0-or-later", ("gpl_free", "gpl_hope", "gpl_received")),
-    ("GPL-3.0-or-later", ("gpl_free",)),
-    ("GPL-2.0-or-later", ("gpl2_free", "gpl_hope", "gpl_received")),
-    ("GPL-2.0-or-later", ("gpl2_free",)),
+    *_gpl("GPL-3.0-or-later", "gpl"),
+    *_gpl("GPL-2.0-or-later", "gpl2"),
     ("GPL-3.0", ("gpl3_under",)),
     ("GPL-3.0", ("spdx_gpl3",)),
     ("GPL-2.0", ("gpl2_under",)),
@@ -117,8 +134,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 #: Every known sentence holds one of these (a test holds the table to it), in any case.
 HINT = "licen[sc]e|permission|redistribut|free software|rights reserved|public domain|cc0|mpl|under the isc|without warrant|warranty|creative commons|waived all copyright|under cc"
-#: Ends of sentences: a stop or semicolon before white space or at the end, a line end.
-_END = r"[.;](?=\s|$)|\n"
+#: Ends of sentences: a stop (but that of "v. 2.0") or semicolon before white space or at the end, a line end.
+_END = r"(?:(?<!\b[vV])[.]|;)(?=\s|$)|\n"
 _MARKS = r"[^a-z0-9]+"
 
 
@@ -135,11 +152,13 @@ def sentences(text: Column) -> Column:
     """Sentences in normal form, in order, without empty ones.
 
     Wrapped lines are joined first, comment marks aside: a line that goes on with a small letter, or,
-    after a letter or comma, with a word in capitals. An identifier line ends its sentence.
+    after a letter or comma, with a word in capitals, or within the name of a licence. An identifier
+    line ends its sentence.
     """
     mark = r"[ \t]*\n[ \t]*(?:[#*]|//|--)?[ \t]*"
     closed = F.regexp_replace(text, r"(SPDX-License-Identifier:[^\n]*)\n", "$1.\n")
-    unwrapped = F.regexp_replace(closed, mark + r"(?=[a-z(\"])|(?<=[A-Za-z,])" + mark + r"(?=[A-Z]{4,}\b)", " ")
+    named = r"(?<=\b(?:GNU|General|Lesser|Affero|Mozilla|Public|Free))" + mark + r"(?=(?:General|Lesser|Affero|Public|License|Software)\b)"
+    unwrapped = F.regexp_replace(closed, mark + r"(?=[a-z(\"])|(?<=[A-Za-z,])" + mark + r"(?=[A-Z]{4,}\b)|" + named, " ")
     return F.filter(F.transform(F.split(unwrapped, _END, -1), normal), lambda x: x != "")
 
 

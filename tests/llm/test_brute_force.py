@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scholion.llm import chat, fingerprint, licenses, packing, pii, queries, secrets, simhash, toxicity
 from tests.oracle import connect, rows_of_spark, rows_of_sql
@@ -306,6 +307,79 @@ def test_licences(spark, sf, docs):
         assert want <= set(filter(None, r["licenses"].split(",")))
 
 
+HOPE = """
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+"""
+#: Notices as they are published, by licence.
+PUBLISHED = {
+    "GPL-2.0-or-later": f"""This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+{HOPE}You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "GPL-3.0-or-later": f"""This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+{HOPE}You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+PUBLISHED["BSD-3-Clause"] = f"""{PUBLISHED["BSD-2-Clause"]}
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_licences_as_published(spark):
+    cases = [(name, form) for name, text in PUBLISHED.items() for form in (text, "\n".join(f"# {x}".rstrip() for x in text.split("\n")))]
+    frame = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id int, text string")
+    got = {r["doc_id"]: [x["licence"] for x in r["found"]] for r in licenses.scan_licences(frame).collect()}
+    assert got == {k: [name] for k, (name, _) in enumerate(cases)}
+
+
+def test_every_licence_rule(spark):
+    """Each rule takes the identifiers that it names, all of them at once."""
+    frame = spark.createDataFrame([(k, list(rule)) for k, (_, rule) in enumerate(licenses.RULES)], "k int, names array<string>")
+    got = {r["k"]: r["found"] for r in frame.select("k", licenses.licences_of(F.col("names")).alias("found")).collect()}
+    assert {k: [(x["at"], x["licence"]) for x in v] for k, v in got.items()} == {k: [(0, x)] for k, (x, _) in enumerate(licenses.RULES)}
+
+
 def test_pii(spark, sf, docs):
     text = [
         "Mail BOB.1@X.COM or bob.1@x.com, call +1 (437) 555-0689 or +1 437-555-0689.",
