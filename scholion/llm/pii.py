@@ -13,13 +13,15 @@ its surrogates. Everything is DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.llm.common import materialize, row_key, table
 
 #: The key of this repository's own queries; a real corpus takes a secret one.
 KEY = "scholion"
+#: Draws after which entities without a value are dealt each other's.
+ATTEMPTS = 10
 
 # Honorifics by gender, given names by gender and script, and syllables by script.
 _MALE = "Mr|Herr|Monsieur|Señor|Господин|господин|г-н"
@@ -146,25 +148,58 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return out.otherwise(filled)
 
 
+def _shape(kind: Column, canon: Column) -> Column:
+    """Entities of one shape draw from the same values, and from no others; null where values grow with attempts and so never run out."""
+    digits = F.regexp_replace(canon, "[0-9]", "9")
+    phone = F.concat(F.regexp_extract(canon, r"^(\+[0-9]+ )", 1), F.regexp_replace(F.regexp_replace(canon, r"^\+[0-9]+ ", ""), "[0-9]", "9"))
+    iban = F.concat(F.substring(canon, 1, 2), F.regexp_replace(F.substring(digits, 3, 1 << 20), "[A-Z]", "A"))
+    out = F.when(kind == "ip", "").when(kind == "phone", phone).when(kind == "iban", iban)
+    return out.when(kind == "card", F.concat(digits, (_luhn_sum(canon) % 10 == 0).cast("string"))).when(kind == "ssn", digits)
+
+
+def _permuted(drawn: DataFrame, key: str) -> DataFrame:
+    """``drawn`` with the values of those that found none dealt among them, by a keyed cycle over each shape.
+
+    No settled core is a real value, so these are free, and none meets its own. One that is alone
+    shares the cycle of all entities of its shape; alone there too, it draws on.
+    """
+    open_ = ~F.col("settled") & F.col("shape").isNotNull()
+    shaped = drawn.withColumn("shape", _shape(F.col("kind"), F.col("canon")))
+    counts = shaped.filter(open_).groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"))
+    joined = shaped.join(counts, ["kind", "shape"], "left").withColumn("dealt", F.col("n").isNotNull() & (~F.col("settled") | (F.col("n") == 1)))
+    dealt = joined.filter("dealt")
+    cycle = Window.partitionBy("kind", "shape").orderBy(_hash(key, F.col("canon")), "canon")
+    whole = cycle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = dealt.withColumn("core", F.coalesce(F.lead("canon").over(cycle), F.first("canon").over(whole)))
+    dealt = dealt.withColumn("settled", F.col("core") != F.col("canon"))
+    columns = ["kind", "canon", "attempt", "settled", "core"]
+    return joined.filter(~F.col("dealt")).select(columns).union(dealt.select(columns))
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(``kind``, ``canon``, ``core``) for each distinct entity; cores of a kind are distinct and no entity's own value.
 
     Those of least canonical value keep what they drew, of any that collide; the others draw again.
-    From the tenth attempt on a real value of another entity is let pass, should a kind's values be
-    used up.
+    Where a kind's values are used up, so that some have none after ten attempts, their real values
+    are dealt among them, each to another. Else no core is a real value.
     """
     drawn = entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).withColumn("settled", F.lit(False))
+    drawn, tries = drawn.withColumn("core", F.lit(None).cast("string")), 0
     while True:
-        drawn = materialize(drawn.withColumn("core", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "surrogates")
+        again = F.when(F.col("settled"), F.col("core")).otherwise(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        drawn = materialize(drawn.withColumn("core", again), "surrogates")
         holders = drawn.groupBy("kind", "core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(~F.col("settled"), "canon")).alias("holder"))
         clashing = holders.filter("n > 1").select("kind", "core", F.col("holder.canon").alias("holder"))
-        real = drawn.select("kind", F.col("canon").alias("value"), F.lit(True).alias("real"))
+        real = drawn.select("kind", F.lower("canon").alias("value"), F.lit(True).alias("real")).distinct()
         met = drawn.withColumn("value", F.lower("core")).join(clashing, ["kind", "core"], "left").join(real, ["kind", "value"], "left")
-        again = F.coalesce(F.col("holder") != F.col("canon"), F.lit(False)) | (F.col("real").isNotNull() & (F.col("attempt") < 10))
+        again = ~F.col("settled") & (F.coalesce(F.col("holder") != F.col("canon"), F.lit(False)) | F.col("real").isNotNull())
         judged = met.select("kind", "canon", "attempt", "core", again.alias("again"))
         if judged.filter("again").isEmpty():
             return drawn.select("kind", "canon", "core")
-        drawn = judged.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), (~F.col("again")).alias("settled"))
+        drawn = judged.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), (~F.col("again")).alias("settled"), "core")
+        tries += 1
+        if tries == ATTEMPTS:
+            drawn = _permuted(drawn, key)
 
 
 def _in_format(found: Column, cores: Column) -> Column:

@@ -405,3 +405,12 @@ def test_surrogates_stay_distinct_when_they_collide(spark):
     names = spark.createDataFrame([("given_m", f"name{k}") for k in range(300)], "kind string, canon string")
     cores = [r["core"] for r in pii.surrogates(names, "k").collect()]
     assert len(set(cores)) == 300
+
+
+def test_surrogates_where_values_are_used_up(spark):
+    """All three-digit phones are met: each gets another's value. One of another code is alone, and draws."""
+    rows = [("phone", f"{k:03d}") for k in range(1000)] + [("phone", "+49 1234567"), ("ssn", "123456789")]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "key").collect()
+    assert sorted((r["kind"], r["canon"]) for r in got) == sorted(rows)
+    assert len({(r["kind"], r["core"]) for r in got}) == len(rows) and all(r["core"] != r["canon"] for r in got)
+    assert {r["core"] for r in got if len(r["canon"]) == 3} == {f"{k:03d}" for k in range(1000)}
