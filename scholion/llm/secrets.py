@@ -107,8 +107,17 @@ def find_secrets(docs: DataFrame, model: list[float], *, id_col: str = "doc_id",
     assign = F.filter(matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.array_sort(F.concat(_of_kind("assign", assign), _of_kind("access", matches(text, ACCESS)), _of_kind("hex", matches(text, HEX))))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", base.alias("base"), matches(text, RUN).alias("runs"))
-    free = F.filter("runs", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    random = F.filter(free, lambda x: log_ratio(x["found"], model) >= margin)
+
+    def pieces(run: Column) -> Column:
+        """What base spans leave of a run, where it is long enough: from the run's start, and from each base span's end, to the next base span."""
+        met = F.filter("base", lambda y: (y["start"] < run["end"]) & (run["start"] < y["end"]))
+        starts = F.array_distinct(F.concat(F.array(run["start"]), F.transform(met, lambda y: y["end"])))
+        starts = F.filter(starts, lambda a: (a < run["end"]) & ~F.exists(met, lambda y: (y["start"] <= a) & (a < y["end"])))
+        ends = F.transform(starts, lambda a: F.struct(a.alias("start"), F.array_min(F.concat(F.array(run["end"]), F.transform(F.filter(met, lambda y: y["start"] > a), lambda y: y["start"]))).alias("end")))
+        cut = F.transform(ends, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substr(run["found"], x["start"] - run["start"] + 1, x["end"] - x["start"]).alias("found")))
+        return F.filter(cut, lambda x: x["found"].rlike(f"^(?:{RUN})$"))
+
+    random = F.filter(F.flatten(F.transform("runs", pieces)), lambda x: log_ratio(x["found"], model) >= margin)
     return found.select(F.col("id").alias(id_col), F.array_sort(F.concat("base", _of_kind("markov", random))).alias("spans"))
 
 
