@@ -51,12 +51,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table in the shared folder and read it back.
 
     This cuts the lineage in a way that survives the loss of executors, and what reads the
-    result more than once computes it once. The tables go when the folder is cleaned.
+    result more than once computes it once. ``discard`` removes a table that no result reads any
+    more; the others go when the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables of ``materialize``; any other DataFrame is left alone. Nothing may read them afterwards."""
+    for df in tables:
+        if path := vars(df).get("scratch_path"):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
