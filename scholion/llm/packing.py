@@ -5,11 +5,14 @@ sequences at once; the rest of it is routed to the smallest tier (a power of two
 Tiers are packed from the longest down: the longest rest opens a window of its tier, and the gap
 behind it is filled with the longest rests of shorter tiers that still fit, then by cutting the
 longest rest at hand. A window therefore ends full, or the pool of documents is used up; then its
-parts wait for the next pool of the same partition. What is left at the end of a partition
-becomes sequences of falling powers of two, so that nothing is padded.
+parts wait for the next pool of the same partition. What is left at the end of a partition, fewer
+tokens than the longest tier, becomes sequences of falling powers of two, so that nothing is
+padded; those below the smallest tier are of no tier's length but their own.
 
-Sequences of one tier are dealt out to step groups of equal token counts, heaviest attention cost
-first and in serpentine order, so that the groups of a pool cost about the same.
+Sequences of one length are dealt out to step groups of equal token counts, heaviest attention cost
+first and in serpentine order, so that the groups of a pool cost about the same. Only at the end of
+a partition are there groups of fewer tokens: what is left of each length is dealt evenly, so that
+its groups differ by one sequence at most.
 
 Everything happens inside the partitions of the input, in one pass and without a shuffle: memory
 is bounded by a pool (``pool_tokens``) and the longest document. Ids of sequences and groups hold
@@ -18,9 +21,11 @@ the partition's number, so a task that runs again gives the same rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
+from struct import pack
 
 import pyarrow as pa
 import regex
@@ -37,14 +42,26 @@ END_ID = 2
 POOL_TOKENS = 1_000_000
 STEP_TOKENS = 8 * MAX_LEN
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps at most; beyond it starts over.
-CACHED_WORDS = 500_000
+#: Words whose ids a worker keeps at most, beyond which it starts over, and the longest that it keeps.
+CACHED_WORDS, CACHED_LETTERS = 200_000, 48
 
-#: Fixed by the vocabulary file: its pattern of words.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Control characters, the next line, the Mongolian vowel separator, the zero-width space and the
 #: byte order mark: white space that str.split() and the vocabulary file may see differently.
-_ODD_SPACE = regex.compile("[" + "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF))) + "]")
+_ODD_SPACE = "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)))
+#: Letters up to here, but for one, are lowered alike by Python and the tokenizer.
+_LATIN = "\u024f"
+#: What keeps a text from the short way: those, other scripts, and marks that may be special tokens.
+_SPECIAL = re.compile(f"[{_ODD_SPACE}İ]|[^\\x00-{_LATIN}]|<\\|")
+
+
+def _word_pattern() -> re.Pattern:
+    """The vocabulary file's pattern of words, over Latin characters, for the quicker of two engines."""
+    chars = list(map(chr, range(ord(_LATIN) + 1)))
+    letters, numbers, blanks = ("".join(re.escape(c) for c in chars if regex.fullmatch(kind, c)) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+")
+
+
+_WORDS = _word_pattern().findall
 
 
 def vocabulary_path() -> str:
@@ -60,66 +77,61 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Normalised word -> its ids as little-endian bytes, by the tokenizer's own merge model."""
+def _packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
+class _Words(dict):
+    """Word in small Latin letters -> its ids as little-endian bytes, by the tokenizer's own merge model."""
 
     def __init__(self, model) -> None:
         super().__init__()
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = self[word] = b"".join(x.id.to_bytes(4, "little") for x in found)
+        found = self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        ids = _packed([x.id for x in found])
+        if len(word) <= CACHED_LETTERS:
+            self[word] = ids
         return ids
 
 
-class _Chunks(dict):
-    """Text between white space -> its ids as little-endian bytes.
+class TextEncoder:
+    """Token ids of whole texts, equal to the tokenizer's own.
 
-    The vocabulary's normaliser and word pattern never join characters across white space, so the
-    ids of a text are those of its chunks in turn. Chunks of Latin letters take a short way; others
-    go through the tokenizer itself.
+    Latin texts are cut into words, whose ids are remembered. The vocabulary's normaliser and word
+    pattern never join characters across white space, so the ids of any text are those of its
+    chunks in turn, and only chunks that hold other scripts or marks go through the tokenizer itself.
     """
 
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer.model)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if max(chunk) >= "ɐ" or "İ" in chunk or "<|" in chunk:
-            ids = b"".join(x.to_bytes(4, "little") for x in self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        elif chunk.isalpha():
-            ids = self.pieces[chunk.lower()]
-        else:
-            ids = b"".join(map(self.pieces.__getitem__, _WORD.findall(chunk.lower())))
-        self[chunk] = ids
-        return ids
-
-
-class TextEncoder:
-    """Token ids of whole texts, equal to the tokenizer's own."""
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = _Chunks(self.tokenizer)
+        self.words = _Words(self.tokenizer.model)
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORDS(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if _ODD_SPACE.search(text):
-            return b"".join(x.to_bytes(4, "little") for x in self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.chunks) > CACHED_WORDS or len(self.chunks.pieces) > CACHED_WORDS:
-            self.chunks.clear()
-            self.chunks.pieces.clear()
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        if not _SPECIAL.search(text):
+            return self._plain(text)
+        if any(x in text for x in _ODD_SPACE):
+            return self._whole(text)
+        return b"".join(self._whole(x) if _SPECIAL.search(x) else self._plain(x) for x in text.split())
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
 def encoder(path: str) -> TextEncoder:
-    """One for each Python worker, so that what it has met serves its later tasks."""
+    """One for each Python worker: the vocabulary is read once. What it has met goes at the end of a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
@@ -245,7 +257,8 @@ def pack_documents(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary or vocabulary_path()).encode
+        path = vocabulary or vocabulary_path()
+        encode = encoder(path).encode
         rows: list[list] = [[] for _ in fields]
         held: dict[int, tuple[object, bytes]] = {}
         schema: pa.Schema | None = None
@@ -285,6 +298,7 @@ def pack_documents(
                     if rows[0]:
                         yield flush()
         packer.finish()
+        encoder(path).words.clear()
         if schema is not None and rows[0]:
             yield flush()
 
