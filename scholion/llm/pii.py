@@ -5,9 +5,13 @@ different formats agree. The table of distinct entities gets a surrogate for eac
 fills the entity's slots (digits by digits, letters by letters of the same script and case; names
 by names of the same gender and script; country codes, honorifics and separators stay). Surrogates
 are checked against each other and against the real values; whoever collides draws again, the rest
-stay, until none does. Mentions then take their entity's surrogate in their own format.
+stay, until none does. Values that are valid by check digits (cards, IBANs) stay valid. Mentions
+then take their entity's surrogate in their own format.
 
-The text is searched once; after that only mentions and entities move, and each text once to meet
+A person is found after an honorific; the same name, or the family name alone, is then found without
+one wherever else the document has it.
+
+The text is searched once, and once more where it names persons; after that only mentions and entities move, and each text once to meet
 its surrogates. Everything is DataFrame and SQL functions.
 """
 
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholion.llm.common import materialize, row_key, table
+from scholion.llm.common import discard, materialize, row_key, table
 
 #: The key of this repository's own queries; a real corpus takes a secret one.
 KEY = "scholion"
@@ -24,12 +28,14 @@ KEY = "scholion"
 ATTEMPTS = 10
 
 # Honorifics by gender, given names by gender and script, and syllables by script.
-_MALE = "Mr|Herr|Monsieur|Señor|Господин|господин|г-н"
-_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа|госпожа|г-жа"
+_MALE = "Mr|Herrn|Herr|Monsieur|Señor|Господин|господин|г-н|Κύριος|κύριος|Κύριο|κύριο|Κος|κος"
+_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа|госпожа|г-жа|Κυρία|κυρία|Κα|κα"
 _GIVEN = {
     ("latin", "m"): "Adrian Bruno Conrad Daniel Emil Felix Hugo Julian Leon Martin Oscar Victor".split(),
     ("latin", "f"): "Alma Bianca Clara Diana Elena Flora Helena Julia Laura Marta Olivia Vera".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Игорь Кирилл Леонид Максим Павел Роман".split(),
+    ("greek", "m"): "Αλέξανδρος Βασίλης Γιώργος Δημήτρης Ηλίας Θανάσης Κώστας Λεωνίδας Μιχάλης Νίκος Πέτρος Σταύρος".split(),
+    ("greek", "f"): "Αγγελική Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Λυδία Μαρία Νίκη Σοφία".split(),
     ("cyrillic", "f"): "Алина Вера Дарья Елена Зоя Инна Ксения Лидия Марина Нина Ольга Раиса".split(),
 }
 _SYLLABLES = {
@@ -48,8 +54,12 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![\p{L}\p{N}])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
+#: Of a number with a plus sign seven digits are asked, else signed amounts would be taken for phones.
+PHONE = r"(?<![\p{L}\p{N}+])(?:\+(?=(?:[ .()-]{0,3}[0-9]){7})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
+_HONORIFIC = rf"^(?:{_FEMALE}|{_MALE})\.? "
+#: The shortest form of a name that is looked for without an honorific.
+NAME_LETTERS = 3
 #: In order of preference where several match at one place.
 PATTERNS = {"email": EMAIL, "iban": IBAN, "ip": IP, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
 PATTERN = "|".join(PATTERNS.values())
@@ -115,6 +125,15 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(_chars(digits)), worth), F.lit(0), lambda a, b: a + b)
 
 
+def _mod97(chars: Column) -> Column:
+    """The remainder by 97 of a string of digits and capitals, whose letters count from 10 on."""
+    return F.aggregate(_chars(chars), F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97)
+
+
+def _iban_valid(canon: Column) -> Column:
+    return _mod97(F.concat(F.substring(canon, 5, 1 << 20), F.substring(canon, 1, 4))) == 1
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate that an entity draws at an attempt."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 256)
@@ -128,7 +147,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     email = F.concat(F.when(attempt > 8, F.concat(local, attempt.cast("string"))).otherwise(local), F.lit("@"), F.lit("m"), label, F.lit(".example."), F.substring_index(domain, ".", -1))
     ip = F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda k: (F.pmod(_hash(seed, k), F.lit(254)) + 1).cast("string")), ".")
     phone = F.when(canon.startswith("+"), F.concat(F.regexp_extract(canon, r"^(\+[0-9]+ )", 1), _filled(F.regexp_extract(canon, " (.*)$", 1), seed))).otherwise(filled)
-    iban = F.concat(F.substring(canon, 1, 2), _filled(F.substring(canon, 3, 1 << 20), seed))
+    account, country = _filled(F.substring(canon, 5, 1 << 20), seed), F.substring(canon, 1, 2)
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(_iban_valid(canon), check).otherwise(_filled(F.substring(canon, 3, 2), _hash(seed, "check"))), account)
 
     def syllables(n: Column) -> Column:
         made = F.lit(None).cast("string")
@@ -152,7 +173,7 @@ def _shape(kind: Column, canon: Column) -> Column:
     """Entities of one shape draw from the same values, and from no others; null where values grow with attempts and so never run out."""
     digits = F.regexp_replace(canon, "[0-9]", "9")
     phone = F.concat(F.regexp_extract(canon, r"^(\+[0-9]+ )", 1), F.regexp_replace(F.regexp_replace(canon, r"^\+[0-9]+ ", ""), "[0-9]", "9"))
-    iban = F.concat(F.substring(canon, 1, 2), F.regexp_replace(F.substring(digits, 3, 1 << 20), "[A-Z]", "A"))
+    iban = F.concat(F.substring(canon, 1, 2), F.regexp_replace(F.substring(digits, 3, 1 << 20), "[A-Z]", "A"), _iban_valid(canon).cast("string"))
     out = F.when(kind == "ip", "").when(kind == "phone", phone).when(kind == "iban", iban)
     return out.when(kind == "card", F.concat(digits, (_luhn_sum(canon) % 10 == 0).cast("string"))).when(kind == "ssn", digits)
 
@@ -184,10 +205,13 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     are dealt among them, each to another. Else no core is a real value.
     """
     drawn = entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).withColumn("settled", F.lit(False))
-    drawn, tries = drawn.withColumn("core", F.lit(None).cast("string")), 0
+    drawn, tries, last = drawn.withColumn("core", F.lit(None).cast("string")), 0, None
     while True:
         again = F.when(F.col("settled"), F.col("core")).otherwise(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
-        drawn = materialize(drawn.withColumn("core", again), "surrogates")
+        before, drawn = last, materialize(drawn.withColumn("core", again), "surrogates")
+        last = drawn
+        if before is not None:
+            discard(before)
         holders = drawn.groupBy("kind", "core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(~F.col("settled"), "canon")).alias("holder"))
         clashing = holders.filter("n > 1").select("kind", "core", F.col("holder.canon").alias("holder"))
         real = drawn.select("kind", F.lower("canon").alias("value"), F.lit(True).alias("real")).distinct()
@@ -209,7 +233,7 @@ def _in_format(found: Column, cores: Column) -> Column:
     core_slots = F.regexp_replace(first["core"], "[^0-9A-Za-z]", "")
     chars = _chars(found)
     slotted = F.array_join(F.transform(chars, lambda c, k: F.when(c.rlike("[0-9A-Za-z]"), F.substr(core_slots, F.size(F.filter(F.slice(chars, 1, k), lambda x: x.rlike("[0-9A-Za-z]"))) + 1, F.lit(1))).otherwise(c)), "")
-    honorific = F.regexp_extract(found, rf"^((?:{_FEMALE}|{_MALE})\.? )", 1)
+    honorific = F.regexp_extract(found, f"{_HONORIFIC}", 0)
     name = F.array_join(F.transform(cores, lambda x: x["core"]), " ")
     bare = F.substr(found, F.length(honorific) + 1)
     name = F.concat(honorific, F.when(F.upper(bare) == bare, F.upper(name)).otherwise(name))
@@ -217,29 +241,54 @@ def _in_format(found: Column, cores: Column) -> Column:
     return F.when(kind == "email", F.when(upper, F.upper(first["core"])).otherwise(first["core"])).when(kind == "ip", first["core"]).when(kind.rlike("^(given|family)"), name).otherwise(slotted)
 
 
+def _bare_names(found: Column) -> Column:
+    """``array<struct<size, form, parts>>``, longest form first: how the persons among mentions are called without an honorific."""
+    named = F.filter(found, lambda x: x.rlike(f"^(?:{NAME})$"))
+
+    def forms(x: Column) -> Column:
+        parts, bare = parts_of(x), F.regexp_replace(x, _HONORIFIC, "")
+        family = F.struct((-F.length(F.element_at(F.split(bare, " "), -1))).alias("size"), F.element_at(F.split(bare, " "), -1).alias("form"), F.slice(parts, -1, 1).alias("parts"))
+        return F.array(F.struct((-F.length(bare)).alias("size"), bare.alias("form"), parts.alias("parts")), family)
+
+    return F.filter(F.array_sort(F.array_distinct(F.flatten(F.transform(named, forms)))), lambda x: x["size"] <= -NAME_LETTERS)
+
+
+def _pattern_with(forms: Column) -> Column:
+    """The pattern of all kinds, and of those forms where there are any; they hold letters, hyphens, apostrophes and blanks alone."""
+    bare = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), forms, F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(forms == "", F.lit(PATTERN)).otherwise(bare)
+
+
 def pseudonymise(docs: DataFrame, *, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced, and a last column ``pii``: ``array<struct<kind, surrogate>>`` in order of the text.
 
     Rows without personal data are unchanged, null texts included, and have an empty array. Mentions
-    of one entity get one surrogate in all rows; entities that differ get surrogates that differ.
-    Repeated rows get equal results. An empty table gives an empty result. Other columns stay as they
-    are and may have any name but ``pii``, which a column of that name loses its place to. Whole texts
-    are searched.
+    of one entity get one surrogate in all rows; entities that differ get surrogates that differ. A
+    person's name without an honorific is replaced in documents that have it with one. Repeated rows
+    get equal results. An empty table gives an empty result. Other columns stay as they are and may
+    have any name but ``pii``, which a column of that name loses its place to. Whole texts are searched.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.when(text.rlike(_HINT) & text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    searched = docs.select(*row_key(id_col, text_col), found.alias("found")).filter(F.col("found").isNotNull()).distinct()
-    mentions = materialize(searched.select("_id", "_hash", F.posexplode("found").alias("place", "found")).withColumn("parts", parts_of(F.col("found"))), "mentions")
-    parts = mentions.select("_id", "_hash", "place", "found", F.posexplode("parts").alias("part", "x")).select("_id", "_hash", "place", "found", "part", "x.*")
+    searched = docs.select(*row_key(id_col, text_col), text.alias("text"), found.alias("found")).filter(F.col("found").isNotNull())
+    names = F.when(F.exists("found", lambda x: x.rlike(_HONORIFIC)), _bare_names(F.col("found"))).otherwise(F.array().cast("array<struct<size:int,form:string,parts:array<struct<kind:string,canon:string>>>>"))
+    searched = searched.select("_id", "_hash", "text", "found", names.alias("names")).withColumn("forms", F.array_join(F.transform("names", lambda x: x["form"]), "|"))
+    again = F.when(F.col("forms") == "", F.col("found")).otherwise(F.regexp_extract_all("text", _pattern_with(F.col("forms")), F.lit(0)))
+    searched = searched.select("_id", "_hash", "names", "forms", again.alias("found")).dropDuplicates(["_id", "_hash"])
+    bare = F.get(F.filter("names", lambda x: x["form"] == F.col("found")), 0)["parts"]
+    mentions = searched.select("_id", "_hash", "names", "forms", F.posexplode("found").alias("place", "found"))
+    mentions = materialize(mentions.select("_id", "_hash", "forms", "place", "found", F.coalesce(parts_of(F.col("found")), bare).alias("parts")), "mentions")
+    parts = mentions.select("_id", "_hash", "forms", "place", "found", F.posexplode("parts").alias("part", "x")).select("_id", "_hash", "forms", "place", "found", "part", "x.*")
     core = surrogates(parts, key)
-    named = parts.join(core, ["kind", "canon"]).groupBy("_id", "_hash", "place", "found").agg(F.array_sort(F.collect_list(F.struct("part", "kind", "core"))).alias("cores"))
-    replaced = named.select("_id", "_hash", F.struct("place", F.regexp_extract(F.get("cores", 0)["kind"], "^(family|given)?", 0).alias("person"), F.get("cores", 0)["kind"].alias("kind"), _in_format(F.col("found"), F.col("cores")).alias("surrogate")).alias("x"))
-    replaced = replaced.groupBy("_id", "_hash").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    replaced = replaced.select(F.col("_id").alias("__pii_id"), F.col("_hash").alias("__pii_hash"), F.transform("xs", lambda x: F.struct(F.when(x["person"] != "", "name").otherwise(x["kind"]).alias("kind"), x["surrogate"].alias("surrogate"))).alias("__pii"))
+    named = parts.join(core, ["kind", "canon"]).groupBy("_id", "_hash", "place").agg(F.first("forms").alias("forms"), F.first("found").alias("found"), F.array_sort(F.collect_list(F.struct("part", "kind", "core"))).alias("cores"))
+    replaced = named.select("_id", "_hash", "forms", F.struct("place", F.regexp_extract(F.get("cores", 0)["kind"], "^(family|given)?", 0).alias("person"), F.get("cores", 0)["kind"].alias("kind"), _in_format(F.col("found"), F.col("cores")).alias("surrogate")).alias("x"))
+    replaced = replaced.groupBy("_id", "_hash").agg(F.first("forms").alias("__pii_forms"), F.array_sort(F.collect_list("x")).alias("xs"))
+    replaced = replaced.select(F.col("_id").alias("__pii_id"), F.col("_hash").alias("__pii_hash"), "__pii_forms", F.transform("xs", lambda x: F.struct(F.when(x["person"] != "", "name").otherwise(x["kind"]).alias("kind"), x["surrogate"].alias("surrogate"))).alias("__pii"))
     own_id, own_hash = row_key(id_col, text_col)
     keyed = docs.withColumns({"__own_id": own_id, "__own_hash": own_hash})
     joined = keyed.join(replaced, (keyed["__own_id"] == replaced["__pii_id"]) & (keyed["__own_hash"] == replaced["__pii_hash"]), "left")
-    rebuilt = F.array_join(F.zip_with(F.split(keyed[text_col], PATTERN, -1), "__pii", lambda gap, x: F.concat(gap, F.coalesce(x["surrogate"], F.lit("")))), "")
+    gaps = F.split(keyed[text_col], _pattern_with(F.col("__pii_forms")), -1)
+    rebuilt = F.array_join(F.zip_with(gaps, "__pii", lambda gap, x: F.concat(gap, F.coalesce(x["surrogate"], F.lit("")))), "")
     changed = F.when(F.col("__pii").isNotNull(), rebuilt).otherwise(keyed[text_col])
     columns = [changed.alias(text_col) if x == text_col else keyed[x] for x in docs.columns if x != "pii"]
     return joined.select(*columns, F.coalesce("__pii", F.array().cast("array<struct<kind:string,surrogate:string>>")).alias("pii"))
