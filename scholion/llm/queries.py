@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholion.llm.chat import OP6_SQL, op6_chat
 from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
-from scholion.llm.licenses import op1_licenses
+from scholion.llm.licenses import OP1_SQL, op1_licenses
 from scholion.llm.packing import op4_packing
 from scholion.llm.pii import op10_pii
 from scholion.llm.quality import op9_quality
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_licenses": OP1_SQL,
         "op5_decontaminate": OP5_SQL,
         "op6_chat": OP6_SQL,
     }
