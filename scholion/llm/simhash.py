@@ -16,6 +16,9 @@ All fingerprints that share a variant are within four bits of one another, so a
 links its members to its least one, not in pairs. Each block returns a spanning forest, and
 ``components`` joins the forests by hooking and pointer jumping, in rounds of joins and minima that
 pre-aggregate, whose results are written to the shared folder.
+
+One fingerprint in a radius of four finds exact copies and most copies of a shingle similarity of
+0.95; ``tables`` of independent fingerprints find more, since a link in any of them counts.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholion.llm.common import materialize, python_ready, table
+from scholion.llm.common import discard, materialize, python_ready, table
 
 WORDS = 4
 SEED = 42
@@ -44,11 +47,11 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HASHES_AT_ONCE = 1 << 16
 
 
-def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint of a text: unsigned, zero if it has no words."""
+def simhashes(text: str, words: int = WORDS, seed: int = SEED, tables: int = 1) -> list[int]:
+    """The fingerprints of a text, one for each table: unsigned, zero if it has no words. Later tables mix the first one's shingle hashes anew."""
     found = text.encode().translate(_LOWER).split()
     if not found:
-        return 0
+        return [0] * tables
     line = b" ".join(found)
     ends, at = [], -1
     for word in found:
@@ -57,11 +60,20 @@ def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
     starts = [0, *(x + 1 for x in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :])] or [digest(line, seed)]
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((tables, 64), dtype=np.int64)
     for k in range(0, len(hashes), _HASHES_AT_ONCE):
         part = np.array(hashes[k : k + _HASHES_AT_ONCE], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        for table in range(tables):
+            if table:
+                part = part * np.uint64(0x9E3779B97F4A7C15)
+                part = (part ^ part >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+                part ^= part >> np.uint64(29)
+            counts[table] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int(np.packbits(x * 2 > len(hashes), bitorder="little").view("<u8")[0]) for x in counts]
+
+
+def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    return simhashes(text, words, seed)[0]
 
 
 def _spread(x: int) -> int:
@@ -140,15 +152,16 @@ def linked_in_block(prints: np.ndarray, block: int, bits: int) -> tuple[np.ndarr
     return prints[linked], prints[root[linked]]
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``text_hash``, ``print``) for each row; ``print`` is the fingerprint as a signed integer. A null text has no words."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, tables: int = 1) -> DataFrame:
+    """(id, ``text_hash``, ``print``, ``more``) for each row: the first fingerprint and an array of the other tables', as signed integers. A null text has no words."""
     kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    fields = T.StructType([T.StructField("id", kept.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("print", T.LongType())])
+    fields = T.StructType([T.StructField("id", kept.schema["id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("print", T.LongType()), T.StructField("more", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(x.as_py() or "") for x in batch.column(2)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "text_hash", "print"])
+            found = np.array([simhashes(x.as_py() or "", words, SEED, tables) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+            more = pa.array(list(found[:, 1:]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found[:, 0]), more], names=fields.names)
 
     return python_ready(kept).mapInArrow(run, fields)
 
@@ -169,17 +182,24 @@ def links(prints: DataFrame, count: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mine.tobytes()], pa.binary())], names=["block", "packed"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.setdefault(block, []).append(np.frombuffer(packed.as_py(), dtype=np.uint64))
-        for block, parts in held.items():
-            a, b = linked_in_block(np.concatenate(parts), block, bits)
+        block, parts = -1, []
+
+        def linked() -> Iterator[pa.RecordBatch]:
+            a, b = linked_in_block(np.concatenate(parts), block, bits) if parts else (np.zeros(0, np.uint64),) * 2
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != block:
+                    yield from linked()
+                    block, parts = number, []
+                parts.append(np.frombuffer(packed.as_py(), dtype=np.uint64))
+        yield from linked()
+
     dealt = python_ready(prints).select("print").mapInArrow(deal, "block int, packed binary")
-    return dealt.repartition(1 << bits, "block").mapInArrow(meet, "a long, b long").distinct()
+    # in order of block, so that a task holds one block at a time
+    return dealt.repartition(1 << bits, "block").sortWithinPartitions("block").mapInArrow(meet, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,19 +214,36 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         up = roots.select(F.col("node").alias("mid"), F.col("root").alias("up"))
-        jumped = hooked.join(up, "mid").select("node", "old", F.least("mid", "up").alias("root"))
+        jumped = hooked.join(up, "mid").select("node", F.least("mid", "up").alias("root"), (F.col("old") != F.least("mid", "up")).alias("moved"))
         after = materialize(jumped, "roots")
-        if after.filter(F.col("old") != F.col("root")).isEmpty():
+        discard(roots)
+        if after.filter("moved").isEmpty():
+            discard(both)
             return after.select("node", "root")
-        roots = after.select("node", "root")
+        roots = after
+
+
+def _edges(prints: DataFrame, distinct: DataFrame, tables: int) -> DataFrame:
+    """Links of all tables as links between first fingerprints. A later table's fingerprint stands for the least first one that comes with it."""
+    found = links(distinct, distinct.count())
+    for table in range(1, tables):
+        pairs = prints.select(F.col("more")[table - 1].alias("other"), "print").distinct()
+        heads = materialize(pairs.groupBy("other").agg(F.min("print").alias("head")), "heads")
+        same = pairs.join(heads, "other").filter("print <> head").select(F.col("print").alias("a"), F.col("head").alias("b"))
+        linked = links(heads.select(F.col("other").alias("print")), heads.count())
+        for end in ("a", "b"):
+            linked = linked.join(heads.select(F.col("other").alias(end), F.col("head").alias(f"head_{end}")), end)
+        found = found.union(same).union(linked.filter("head_a <> head_b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+    return found.distinct() if tables > 1 else found
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, tables: int = 1) -> DataFrame:
     """One row for each row of ``docs``: the id, ``text_hash``, ``fingerprint`` (16 hex digits), ``component_id`` and ``keep``.
 
-    ``component_id`` is the smallest id in the group of documents that links join, the document's
-    own included. ``keep`` is true for the rows of the one document (id and text) that stands for
-    its group; rows that repeat it whole are true too.
+    Documents link where the fingerprints of their shingles of ``words`` words differ in at most four
+    bits, in the first of ``tables`` or any other. ``component_id`` is the smallest id in the group of
+    documents that links join, the document's own included. ``keep`` is true for the rows of the one
+    document (id and text) that stands for its group; rows that repeat it whole are true too.
 
     A null text counts as empty; texts without words have fingerprint zero and link like any
     other. Repeated ids are separate documents where their texts differ; a null id is larger than
@@ -214,10 +251,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty result. Columns other than the two named are ignored, so none can clash. Whole texts
     count, however long.
     """
-    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
+    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, tables=tables), "prints")
     order = F.struct(F.col("id").isNull(), "id", "text_hash")
     distinct = materialize(prints.groupBy("print").agg(F.min(order).alias("first")), "distinct")
-    roots = components(links(distinct, distinct.count()))
+    roots = components(_edges(prints, distinct, tables))
     grouped = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"), "first")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("least"))
     known = grouped.join(firsts, "root").select("print", "least")
@@ -230,16 +267,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, tables: int = 1) -> DataFrame:
     """The rows of ``docs``, whole, that stand for their groups: one for each group.
 
     Of rows that repeat the kept document's id and text, one stays. Other columns may have any name.
+    Texts are shuffled once, after rows that repeat have met within their partitions.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("keep")
-    kept = kept.select(F.col(id_col).alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct()
-    hashed = docs.withColumn("__kept_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = hashed.join(kept, hashed[id_col].eqNullSafe(kept["__kept_id"]) & (hashed["__kept_hash"] == kept["__kept_hash"]), "left_semi")
-    return found.dropDuplicates([id_col, "__kept_hash"]).select(*(found[x] for x in docs.columns))
+    own = [F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("__own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__own_hash")]
+    marked = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, tables=tables).filter("keep")
+    marked = marked.select(own[0], F.col("text_hash").alias("__own_hash")).distinct()
+    found = docs.select("*", *own)
+    return found.dropDuplicates(["__own_id", "__own_hash"]).join(marked, ["__own_id", "__own_hash"], "left_semi").select(*(found[x] for x in docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
