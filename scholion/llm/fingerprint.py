@@ -31,7 +31,10 @@ RANGES = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _CANDIDATES = 6
-_CHUNK = 4096
+_CHUNK = 1024
+#: Bits of a k-mer's hash that give way to its place while k-mers are grouped; longer texts are grouped by a slower sort.
+_PLACE_BITS = 20
+_ODD_MIX = np.uint32(0x85EBCA6B)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +49,14 @@ def _functions(sketches: int) -> np.ndarray:
     return (_mix(np.arange(1, sketches + 1, dtype=np.uint64) * _MULTIPLIER) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def hashed(low: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The values that hash functions give to 32-bit hashes: multiplied, folded and multiplied again, so that no order carries over from one function to another."""
+    out = low * by
+    out ^= out >> np.uint32(15)
+    out *= _ODD_MIX
+    return out
+
+
 def numbered_kmers(text: str, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each k-mer with its number of occurrence, and its place. A shorter text is one k-mer; an empty one has none."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -56,10 +67,15 @@ def numbered_kmers(text: str, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     for j in range(min(k, len(codes))):
         value = value * _BASE + codes[j : j + n] + np.uint64(1)
     value = _mix(value * _MULTIPLIER)
-    # the place goes in the low bits, so one sort both groups equal k-mers and keeps text order
-    bits = np.uint64(n.bit_length())
-    key = np.sort((value >> bits << bits) | np.arange(n, dtype=np.uint64))
-    value, place = key >> bits, key & ((np.uint64(1) << bits) - np.uint64(1))
+    bits = np.uint64(_PLACE_BITS)
+    if n <= 1 << _PLACE_BITS:
+        # the place goes in the low bits, so one sort both groups equal k-mers and keeps text order
+        key = np.sort((value >> bits << bits) | np.arange(n, dtype=np.uint64))
+        value, place = key >> bits, key & ((np.uint64(1) << bits) - np.uint64(1))
+    else:
+        value = value >> bits
+        place = np.argsort(value, kind="stable")
+        value, place = value[place], place.astype(np.uint64)
     at = np.arange(n, dtype=np.int64)
     first = np.empty(n, dtype=bool)
     first[0] = True
@@ -82,10 +98,10 @@ def order_minhash(text: str, k: int = K, width: int = WIDTH, sketches: int = SKE
         keys = []
         for at in range(0, n, _CHUNK):
             part = low[at : at + _CHUNK]
-            hashed = (part[None, :] * by).ravel()
-            hit = np.flatnonzero(hashed < most) if most is not None else np.arange(len(hashed))
+            values = hashed(part[None, :], by).ravel()
+            hit = np.flatnonzero(values < most) if most is not None else np.arange(len(values))
             rows = hit // len(part)
-            keys.append((rows.astype(np.uint64), hashed[hit].astype(np.uint64), (hit - rows * len(part) + at).astype(np.uint64)))
+            keys.append((rows.astype(np.uint64), values[hit].astype(np.uint64), (hit - rows * len(part) + at).astype(np.uint64)))
         rows, values, columns = (np.concatenate(x) for x in zip(*keys, strict=True))
         counts = np.bincount(rows.astype(np.int64), minlength=sketches)
         if most is None or counts.min() >= take:
@@ -129,45 +145,57 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def with_following(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """Rows (``range``, ``guest``, ``id``, ``text``) to be read in order of range by range, and the number of partitions.
-
-    The ids are cut into ranges of about equal counts. The rows that begin a range come once more,
-    as guests, at the end of the range before it (those of the first range at the end of the last),
-    so that each row's follower lies in the same range. One shuffle moves each text once; the driver
-    sees the ends of the ranges alone, a few for each shuffle partition.
+    """Rows (``range``, ``guest``, ``id``, ``hash``, ``text``) to be read in order within each range, and the number of partitions.
+
+    Rows are in order of id and, where ids repeat, of a hash of the text. They are cut into ranges of
+    about equal counts: first by ids, and an id that fills several ranges (as null may) by its hashes.
+    The rows that begin a range come once more, as guests, at the end of the range before it (those
+    of the first range at the end of the last), so that each row's follower lies in the same range.
+    One shuffle moves each text once; the driver sees the ends of the ranges alone, a few for each
+    shuffle partition.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     shares = [k / (RANGES * parts) for k in range(1, RANGES * parts)]
-    cuts = ids.agg(F.percentile_approx("id", shares or [0.5], F.lit(max(10_000, 4 * RANGES * parts))).alias("x")).first()["x"] or []
-    cuts = np.unique(np.array(cuts, dtype=np.int64))
+    cuts = keyed.agg(F.percentile_approx("id", shares or [0.5], F.lit(max(10_000, 4 * RANGES * parts))).alias("x")).first()["x"] or []
+    cuts = np.array(cuts, dtype=np.int64)
+
+    def ranges(ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+        """The range before an id's first cut, or one for each of the id's cuts by how high the hash is."""
+        ids = ids.to_numpy()
+        first, after = np.searchsorted(cuts, ids, side="left"), np.searchsorted(cuts, ids, side="right")
+        height = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        own = first + 1 + np.minimum((height * (after - first)).astype(np.int64), after - first - 1)
+        return np.where(after - first > 1, own, after).astype(np.int32)
 
     @F.pandas_udf("int")
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, x.to_numpy(), side="right").astype(np.int32))
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges(ids, hashes))
 
-    ends = python_ready(ids).groupBy(range_of("id").alias("range")).agg(F.min("id").alias("id")).orderBy("range").collect()
-    before = {x["id"]: ends[k - 1]["range"] for k, x in enumerate(ends)}
+    first = F.min(F.struct("id", "hash"))
+    ends = python_ready(keyed.select("id", "hash")).groupBy(range_of("id", "hash").alias("range")).agg(first.alias("x")).orderBy("range").collect()
+    before = {(x["x"]["id"], x["x"]["hash"]): ends[k - 1]["range"] for k, x in enumerate(ends)}
 
     @F.pandas_udf("array<int>")
-    def places(x: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, x.to_numpy(), side="right")
-        return pd.Series([[int(at), -1 - before[name]] if name in before else [int(at)] for name, at in zip(x.tolist(), own, strict=True)])
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = ranges(ids, hashes)
+        return pd.Series([[int(at), -1 - before[key]] if key in before else [int(at)] for key, at in zip(zip(ids.tolist(), hashes.tolist()), own, strict=True)])
 
-    kept = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = kept.select(F.explode(places("id")).alias("at"), "id", "text")
-    dealt = dealt.select(F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("range"), (F.col("at") < 0).alias("guest"), "id", "text")
-    return dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", "id", "text"), parts
+    dealt = keyed.select(F.explode(places("id", "hash")).alias("at"), "id", "hash", "text")
+    dealt = dealt.select(F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("range"), (F.col("at") < 0).alias("guest"), "id", "hash", "text")
+    return dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", "id", "hash"), parts
 
 
 def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH, sketches: int = SKETCHES) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they and the next document's are.
 
     The edited text is the text with its last quarter of code points (rounded down) replaced by the
-    first as many, or all, of the next document: the next in ascending order of id, then text; after
-    the last the first. Ids are integers; a null id comes first and is given back as null. A single
-    row follows itself. Null texts count as empty. An empty table gives an empty result.
+    first as many, or all, of the next document: the next in ascending order of id, then of a hash of
+    the text; after the last the first. Rows that repeat both id and text are one document, so they
+    get equal results. Ids are integers; a null id comes first and is given back as null. A document
+    that is alone follows itself. Null texts count as empty. An empty table gives an empty result.
     """
     ordered, _ = with_following(docs, id_col=id_col, text_col=text_col)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -175,26 +203,41 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fields = T.StructType([T.StructField(n, t) for n, t in zip(names, [T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType()], strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, str, np.ndarray] | None = None
+        # the document that waits for its follower: range, guest, id, hash, text, fingerprint, and how many rows it has
+        held: list | None = None
         rows: list[tuple] = []
+
+        def follow(text: str, mark: np.ndarray) -> None:
+            _, guest, was, _, before, own, copies = held
+            if guest:
+                return
+            cut = len(before) // 4
+            edited = before[: len(before) - cut] + text[:cut]
+            after = order_minhash(edited, k, width, sketches)
+            row = (None if was == -(2**63) else was, len(before), hashlib.sha256(edited.encode()).hexdigest(), spell(own), spell(after), likeness(own, after), likeness(own, mark))
+            rows.extend([row] * copies)
+
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in range(3)]
-            for span, guest, name, text in zip(*columns, batch.column(3), strict=True):
-                if held is not None and held[0] != span:
-                    held = None
-                if held is None and guest:
+            columns = [batch.column(x).to_pylist() for x in range(4)]
+            for span, guest, name, hashed_text, text in zip(*columns, batch.column(4), strict=True):
+                if held is not None and held[0] == span and held[2:4] == [name, hashed_text]:
+                    if guest and not held[1]:
+                        # the only document of all: it follows itself
+                        follow(held[4], held[5])
+                        held[1] = True
+                    elif not guest:
+                        held[6] += 1
                     continue
-                own = (span, name, text.as_py(), order_minhash(text.as_py(), k, width, sketches))
+                if held is None or held[0] != span:
+                    held = None
+                text = text.as_py()
+                mark = order_minhash(text, k, width, sketches)
                 if held is not None:
-                    _, was, before, mark = held
-                    cut = len(before) // 4
-                    edited = before[: len(before) - cut] + own[2][:cut]
-                    after = order_minhash(edited, k, width, sketches)
-                    rows.append((None if was == -(2**63) else was, len(before), hashlib.sha256(edited.encode()).hexdigest(), spell(mark), spell(after), likeness(mark, after), likeness(mark, own[3])))
-                held = None if guest else own
+                    follow(text, mark)
+                held = [span, guest, name, hashed_text, text, mark, 1]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                rows = []
+                rows.clear()
 
     return ordered.mapInArrow(run, fields)
 
