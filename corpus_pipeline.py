@@ -17,13 +17,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import materialize, table
+from scholion.llm.common import discard, materialize, table
 from scholion.llm.decontaminate import drop_contaminated
 from scholion.llm.packing import pack_documents
 from scholion.llm.pii import pseudonymise
 from scholion.llm.quality import THRESHOLD, fit_quality, score_texts
 from scholion.llm.simhash import drop_near_duplicates
 
+#: Fingerprint tables of the near-duplicate stage. README has how many copies of which similarity they find.
+TABLES = 4
 #: A stage has no SQL equivalent where it learns or tokenizes; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
@@ -38,8 +40,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id in each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    """Keeps the document of smallest id in each group of near duplicates, by shingles of five words and several tables of fingerprints."""
+    return drop_near_duplicates(docs, words=5, tables=TABLES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -163,7 +163,11 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
 
 
 def read_back(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
-    """One row for each conversation, read from ``format_conversations``' rows as they stand: ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``."""
+    """One row for each conversation, read from ``format_conversations``' rows as they stand: ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``.
+
+    The parser's own spans of learned bodies must be the rows' loss spans; where they differ, a
+    GrammarError ends the job.
+    """
     names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     arrow = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     fields = T.StructType([formatted.schema[id_col], *(T.StructField(n, T.StringType() if "sha" in n else T.LongType()) for n in names)])
@@ -188,9 +192,16 @@ def read_back(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
                         rows.append(closed())
                     current, parser = (name,), Parser()
                     turns, loss, n_turns, loss_chars = hashlib.sha256(), hashlib.sha256(), 0, 0
-                for role, text, _, _ in parser.feed(piece):
+                if parser.at != start:
+                    raise GrammarError(f"a piece of conversation {name} begins at {start}, not at {parser.at}")
+                masked = []
+                for role, text, body, end in parser.feed(piece):
                     turns.update(f"{role}\n{text}\n".encode())
                     n_turns += 1
+                    if role == LEARNED:
+                        masked.append((body, end))
+                if masked != ([] if a is None else [(a, b)]):
+                    raise GrammarError(f"the loss mask of conversation {name} has {a} to {b} where its text has {masked}")
                 if a is not None:
                     learned = unescape(piece[a - start : b - start])
                     loss.update(learned.encode())

@@ -6,6 +6,10 @@ bounded sample of labelled documents. Every document's vector is multiplied, blo
 the broadcast vectors of that sample, and its nearest neighbours vote with a weight that grows with
 cosine similarity. The sample has as many rows of either class, so votes count by how many labelled
 rows each stands for.
+
+Documents are always multiplied in blocks of one size, in double precision, and cosines are rounded
+before they are compared, so a text's score doesn't depend on the texts beside it. Of equal cosines
+the sampled row of smaller id is nearer.
 """
 
 from __future__ import annotations
@@ -90,7 +94,7 @@ class QualityModel:
     prior: float
 
     def project(self, shares: np.ndarray) -> np.ndarray:
-        found = shares @ (self.weights[:, None] * self.directions)
+        found = shares.astype(np.float64) @ (self.weights[:, None] * self.directions)
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -98,14 +102,20 @@ class QualityModel:
         out = np.full(len(texts), self.prior)
         if not len(self.labels):
             return out
+        k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), BLOCK):
-            cosine = self.project(_shares(np.stack([term_counts(x) for x in texts[at : at + BLOCK]]))) @ self.vectors.T
-            k = min(NEIGHBOURS, cosine.shape[1])
-            near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS * self.votes[near]
+            part = texts[at : at + BLOCK]
+            shares = np.zeros((BLOCK, _WIDTH), dtype=np.float32)
+            shares[: len(part)] = _shares(np.stack([term_counts(x) for x in part]))
+            cosine = np.round((self.project(shares) @ self.vectors.T)[: len(part)], 9)
+            least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k][:, None]
+            tied = cosine == least
+            wanted = k - (cosine > least).sum(axis=1, keepdims=True)
+            near = np.nonzero((cosine > least) | tied & (np.cumsum(tied, axis=1) <= wanted))[1].reshape(len(part), k)
+            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** SHARPNESS * self.votes[near]
             total = weight.sum(axis=1)
             out[at : at + BLOCK] = np.where(total > 1e-12, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), self.prior)
-        return np.clip(out, 0, 1)
+        return np.round(np.clip(out, 0, 1), 9)
 
 
 def fit(shares: np.ndarray, labels: np.ndarray, by_class: dict[int, int], dimensions: int = DIMENSIONS) -> QualityModel:
@@ -124,13 +134,12 @@ def fit(shares: np.ndarray, labels: np.ndarray, by_class: dict[int, int], dimens
         basis, _ = np.linalg.qr(shares.T @ (shares @ basis))
     small = shares @ basis
     _, turn = np.linalg.eigh(small.T @ small)
-    directions = (basis @ turn[:, ::-1][:, :size]).astype(np.float32)
+    directions = (basis @ turn[:, ::-1][:, :size]).astype(np.float64)
     sampled = np.bincount(labels, minlength=2)
     votes = np.array([by_class.get(int(x), 0) / sampled[x] for x in labels], dtype=np.float64)
-    model = QualityModel(weights, directions, np.zeros((0, size), np.float32), labels, votes, prior)
-    found = shares @ directions
-    model.vectors = (found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    return model
+    found = np.concatenate([shares[k : k + BLOCK].astype(np.float64) @ directions for k in range(0, n, BLOCK)])
+    found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+    return QualityModel(weights.astype(np.float64), directions, found, labels, votes, prior)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> QualityModel:

@@ -10,8 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,end:int,found:string>>"
-#: Matches whose places are summed up in one go, so that a text of many matches takes linear time, about.
-_AT_ONCE = 256
 
 
 def _empty() -> Column:
@@ -31,16 +29,16 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     both = F.filter(F.zip_with(gaps, found, lambda gap, x: F.struct(gap.alias("gap"), x.alias("found"))), lambda x: x["found"].isNotNull())
-    parts = F.transform(F.sequence(F.lit(0), F.size(found) - 1, F.lit(_AT_ONCE)), lambda k: F.slice(both, k + 1, _AT_ONCE))
+    # places are summed up within parts of about as many matches as there are parts, then shifted part by part
+    size = F.greatest(F.ceil(F.sqrt(F.size(found))).cast("int"), F.lit(16))
+    parts = F.transform(F.sequence(F.lit(0), F.size(found) - 1, size), lambda k: F.slice(both, k + 1, size))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["found"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(_span(start, end, x["found"]))).alias("out"))
 
-    def join(acc: Column, part: Column) -> Column:
-        moved = F.transform(part["out"], lambda x: _span(x["start"] + acc["at"], x["end"] + acc["at"], x["found"]))
-        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
-
     summed = F.transform(parts, lambda part: F.aggregate(part, _empty(), step))
-    return F.when(text.rlike(pattern), F.aggregate(summed, _empty(), join, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+    before = F.aggregate(summed, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + part["at"])))
+    moved = F.zip_with(summed, F.slice(before, F.lit(1), F.size(summed)), lambda part, at: F.transform(part["out"], lambda x: _span(x["start"] + at, x["end"] + at, x["found"])))
+    return F.when(text.rlike(pattern), F.flatten(moved)).otherwise(F.array().cast(SPANS))
