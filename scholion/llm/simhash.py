@@ -223,18 +223,29 @@ def components(edges: DataFrame) -> DataFrame:
         roots = after
 
 
-def _edges(prints: DataFrame, distinct: DataFrame, tables: int) -> DataFrame:
-    """Links of all tables as links between first fingerprints. A later table's fingerprint stands for the least first one that comes with it."""
-    found = links(distinct, distinct.count())
+def _groups(prints: DataFrame, distinct: DataFrame, tables: int) -> DataFrame:
+    """(``print``, ``root``) for each first fingerprint: the least one in its group.
+
+    Groups of the first table are joined further by the links of each later one. There, what links
+    are groups, so links inside a group, which are nearly all, fall away before anything is joined.
+    """
+    roots = components(links(distinct, distinct.count()))
+    known = distinct.select("print").join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+    if tables > 1:
+        known = materialize(known, "groups")
     for table in range(1, tables):
-        pairs = prints.select(F.col("more")[table - 1].alias("other"), "print").distinct()
-        heads = materialize(pairs.groupBy("other").agg(F.min("print").alias("head")), "heads")
-        same = pairs.join(heads, "other").filter("print <> head").select(F.col("print").alias("a"), F.col("head").alias("b"))
+        pairs = prints.select(F.col("more")[table - 1].alias("other"), "print").distinct().join(known, "print").select("other", "root").distinct()
+        pairs = materialize(pairs, "pairs")
+        heads = materialize(pairs.groupBy("other").agg(F.min("root").alias("head")), "heads")
+        edges = pairs.join(heads, "other").filter("root <> head").select(F.col("root").alias("a"), F.col("head").alias("b"))
         linked = links(heads.select(F.col("other").alias("print")), heads.count())
         for end in ("a", "b"):
             linked = linked.join(heads.select(F.col("other").alias(end), F.col("head").alias(f"head_{end}")), end)
-        found = found.union(same).union(linked.filter("head_a <> head_b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
-    return found.distinct() if tables > 1 else found
+        edges = edges.union(linked.filter("head_a <> head_b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))).distinct()
+        joined = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        before, known = known, materialize(known.join(joined, "root", "left").select("print", F.coalesce("top", "root").alias("root")), "groups")
+        discard(before, pairs, heads)
+    return known
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, tables: int = 1) -> DataFrame:
@@ -254,8 +265,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, tables=tables), "prints")
     order = F.struct(F.col("id").isNull(), "id", "text_hash")
     distinct = materialize(prints.groupBy("print").agg(F.min(order).alias("first")), "distinct")
-    roots = components(_edges(prints, distinct, tables))
-    grouped = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"), "first")
+    grouped = distinct.join(_groups(prints, distinct, tables), "print").select("print", "root", "first")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("least"))
     known = grouped.join(firsts, "root").select("print", "least")
     return prints.join(known, "print").select(
