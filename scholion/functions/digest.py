@@ -40,6 +40,11 @@ def date_key_valid(key: Column) -> Column:
     return key.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.coalesce(F.date_format(day, "yyyy-MM-dd") == key, F.lit(False))
 
 
+def date_label(key: Column) -> Column:
+    """``February 3`` for a day's key; null for none."""
+    return F.when(date_key_valid(key), F.date_format(F.try_to_date(key, "yyyy-MM-dd"), "MMMM d"))
+
+
 def greeting(hour: Column) -> Column:
     return F.when((hour >= 5) & (hour < 12), "morning").when((hour >= 12) & (hour < 17), "afternoon").when((hour >= 17) & (hour < 21), "evening").otherwise("night")
 

@@ -28,14 +28,19 @@ def positions(text: Column, pattern: str) -> Column:
     """``array<struct<start, end>>`` of the leftmost non-overlapping matches of a pattern, by the lengths of the pieces between."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     lengths = F.zip_with(gaps, found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    # summed up within runs of about as many matches as there are runs: appending to one array would take time in their square
+    run = F.greatest(F.ceil(F.sqrt(F.size(found))).cast("int"), F.lit(8))
+    runs = F.transform(F.sequence(F.lit(0), F.size(found) - 1, run), lambda k: F.slice(F.slice(lengths, F.lit(1), F.size(found)), k + 1, run))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         return F.struct((begin + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + x["size"]).alias("end")))).alias("out"))
 
-    summed = F.aggregate(F.filter(lengths, lambda x: x["size"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), summed).otherwise(start["out"])
+    summed = F.transform(runs, lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+    before = F.aggregate(summed, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+    shifted = F.zip_with(summed, F.slice(before, F.lit(1), F.size(summed)), lambda x, at: F.transform(x["out"], lambda y: F.struct((y["start"] + at).alias("start"), (y["end"] + at).alias("end"))))
+    return F.when(text.rlike(pattern), F.flatten(shifted)).otherwise(none)
 
 
 def quote_positions(text: Column, quote: str) -> Column:
@@ -78,14 +83,15 @@ def snippet(text: Column, longest: int = 120) -> Column:
 
 
 def bullets(text: Column) -> Column:
-    """Sentences, without blank ones: each ends at a stop, question or exclamation mark before white space."""
-    parts = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    """Sentences, without blank ones: each ends at a stop, question or exclamation mark, and quotes behind it, before white space and a capital, quote or bracket, so that "Neh. 1" stays whole."""
+    parts = F.split(F.regexp_replace(text, r"""([.!?]["'”’)]*)[ \t\n\x0B\f\r]+(?=[A-Z“"'(])""", "$1\x01"), "\x01")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")), lambda x: x != "")
 
 
 def short_role(text: Column, longest: int = 42) -> Column:
-    head = F.trim(F.get(F.split(text, "[;.]"), 0))
-    return F.when(F.length(head) > longest, F.concat(F.left(head, F.lit(longest - 1)), F.lit("…"))).otherwise(head)
+    """What stands before the first stop or semicolon; if it is longer, that many characters, trimmed, and an ellipsis."""
+    head = F.get(F.split(text, "[;.]"), 0)
+    return F.when(F.length(head) > longest, F.concat(F.trim(F.left(head, F.lit(longest))), F.lit("…"))).otherwise(F.trim(head))
 
 
 def humanize(slug: Column) -> Column:
@@ -96,17 +102,20 @@ def like_escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\%_])", r"\\$1")
 
 
-#: The entities that comments may hold.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# The entities that comments may hold, in the order in which they are decoded, and the
+# words that mark prose taken from reference works.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
+SOURCE_MARKERS = r"(?i)(^|[^A-Za-z0-9_])(according to|encyclopedia|dictionary|lexicon|commentary|journal|volume +[0-9]+|press|publisher|wikidata|wikipedia|zondervan|nelson|archaeolog|excavat|scholar|remains date|treatise|atlas|says)([^A-Za-z0-9_]|$)|\( *(1[5-9]|20)[0-9]{2} *\)"
+LEFT_OVER = r"(?i)[<>]|https?://|www[.]"
 
 
 def sanitize_comment(html: Column, longest: int = 200) -> Column:
-    """Text without tags and entities; null if it is blank, too long, or holds a link."""
-    out = F.regexp_replace(html, "<[^>]*>", "")
+    """Text with tags as blanks and entities decoded; null if it is blank, too long, holds a link or what is left of a tag, or reads like a reference work."""
+    out = F.regexp_replace(html, "<[^>]+>", " ")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    return F.when((out != "") & (F.length(out) <= longest) & ~out.rlike("https?://|www[.]"), out)
+    out = F.trim(F.regexp_replace(out, r"[ \t\n\x0B\f\r]+", " "))
+    return F.when((out != "") & (F.length(out) <= longest) & ~out.rlike(LEFT_OVER) & ~out.rlike(SOURCE_MARKERS), out)
 
 
 def links(text: Column) -> Column:
@@ -115,9 +124,118 @@ def links(text: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "[ :]", "."), "–", "-"))
 
 
-def sense(text: Column, name: str, group: str = "people|house|tribe|children|sons", territory: str = "land|border|hill country|cities") -> Column:
-    """``group``, ``territory`` or ``person`` for a text that names ``name``, else null: what stands within a few words before it decides."""
-    word = re.escape(name)
-    named = text.rlike(bounded_pattern(name))
-    before = rf"(?i)(?<![{_WORD}])(?:%s) of (?:the )?{word}(?![{_WORD}])"
-    return F.when(named & text.rlike(before % group), "group").when(named & text.rlike(before % territory), "territory").when(named, "person")
+_NAME = r"[A-Za-z'’\-]+"
+
+
+def governed(heads: str, name: str) -> str:
+    """A pattern for a name under one of the heads: "sons of Judah", "children of Israel and of Judah", "tribes of Judah, Simeon, and Benjamin"."""
+    others = rf"(?:{_NAME}(?:\s*,\s*|\s+and\s+))*"
+    return rf"(?<![{_WORD}])(?:{heads})\s+of\s+{others}(?:and\s+)?(?:of\s+)?{re.escape(name)}(?![{_WORD}])"
+
+
+def people_patterns(name: str, peoples: tuple[str, ...] = ()) -> tuple[str, str, str]:
+    """Patterns for a progenitor's name: his tribe, his people (by family words, "all", or their own names), and his land."""
+    family = [governed("sons|children|descendants|house|people|men|sticks?|staff|staves|hand", name), rf"(?<![{_WORD}])all {re.escape(name)}(?![{_WORD}])", *(bounded_pattern(x) for x in peoples)]
+    land = "lands?|territory|territories|city|cities|mount|mountains?|hills|borders|coasts|wilderness|fields|kingdom|kings?"
+    return governed("half-tribe|tribes?", name), "|".join(family), governed(land, name)
+
+
+def sense(text: Column, names: tuple[str, ...], group: str, territory: str) -> Column:
+    """``person``, ``group`` or ``territory``: what a text that names one of the names means by it.
+
+    A mention that no group or territory span covers is of the person, and wins. Else the text means
+    the group where a group span is, the territory where one of those is, and the person where
+    neither is. Null where the text has no name and no span.
+    """
+    spans = F.concat(positions(text, group), positions(text, territory))
+    said = F.concat(*(quote_positions(text, x) for x in names))
+    bare = F.exists(said, lambda x: ~F.exists(spans, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+    return F.when(bare, "person").when(text.rlike(group), "group").when(text.rlike(territory), "territory").when(F.size(said) > 0, "person")
+
+
+# Words around a name that keep it a person's though it is a nation's as well.
+KINSHIP = "son|sons|children|firstborn|seed|father|descended"
+BIOGRAPHY = "wife|husband|married|marry|wedding"
+COMPANY = "with|accompanied|along with"
+UNCERTAIN = r"(?i)(?<![A-Za-z0-9_])(possib|probab|maybe|may be|uncertain|disputed|perhaps|likely the same|same as|identified with|either)(?![A-Za-z0-9_])"
+
+
+def stays_person(text: Column, start: Column, length: int) -> Column:
+    """Whether the words around a nation's name say that it is a person's there: kinship in the 40 characters before, company right before (12), a father within 12 on either side, or marriage in the 16 after."""
+    def window(before: int, after: int) -> Column:
+        begin = F.greatest(start - before, F.lit(0))
+        return F.substr(text, begin + 1, start + after - begin)
+
+    word = r"(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
+    kin = window(40, 0).rlike(rf"(?<![A-Za-z0-9_])(?:{KINSHIP})\s+of(?![A-Za-z0-9_])")
+    company = window(40, 0).rlike(word % COMPANY + ".{0,12}$")
+    return kin | company | window(12, length + 12).rlike(word % "father") | F.substr(text, start + 1, F.lit(length + 16)).rlike(word % BIOGRAPHY)
+
+
+def uncertain(text: Column) -> Column:
+    return text.rlike(UNCERTAIN)
+
+
+def bounded_occurrences(text: Column, phrase: str) -> Column:
+    """Every occurrence of a phrase between word bounds, also those that overlap one another."""
+    rest = f"(?={re.escape(phrase[1:])}(?![{_WORD}]))"
+    found = positions(text, f"(?<![{_WORD}]){re.escape(phrase[0])}{rest}")
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), (x["start"] + len(phrase)).alias("end")))
+
+
+def quote_at(text: Column, quote: str, start: Column) -> Column:
+    """A struct of ``ordinal``, ``start`` and the context of the occurrence that begins at a recorded offset, or else of the first; null without any."""
+    spans = quote_positions(text, quote)
+    at = F.array_position(F.transform(spans, lambda x: x["start"]), start.cast("int"))
+    ordinal = F.greatest(F.coalesce(at, F.lit(0)), F.lit(1)).cast("int")
+    span = F.try_element_at(spans, ordinal)
+    around = context(text, span)
+    return F.when(span.isNotNull(), F.struct(ordinal.alias("ordinal"), span["start"].alias("start"), around["prefix"].alias("prefix"), around["suffix"].alias("suffix")))
+
+
+def segments(text: Column, anchors: list[tuple[str, str, int]]) -> Column:
+    """``array<struct<text, slug>>``: the text cut at anchors (phrase, slug, ordinal from 1); plain parts have a null slug. Of anchors that overlap the earliest stays, then the longest."""
+    found = [F.struct(F.try_element_at(bounded_occurrences(text, phrase), F.lit(ordinal))["start"].alias("at"), F.lit(-len(phrase)).alias("less"), F.lit(slug).alias("slug")) for phrase, slug, ordinal in anchors]
+    placed = F.array_sort(F.filter(F.array(*found), lambda x: x["at"].isNotNull()))
+    kind = "struct<cursor:int,out:array<struct<text:string,slug:string>>>"
+
+    def part(value: Column, slug: Column) -> Column:
+        return F.array(F.struct(value.alias("text"), slug.alias("slug")))
+
+    def step(acc: Column, x: Column) -> Column:
+        plain = F.when(x["at"] > acc["cursor"], part(F.substr(text, acc["cursor"] + 1, x["at"] - acc["cursor"]), F.lit(None).cast("string"))).otherwise(F.array().cast("array<struct<text:string,slug:string>>"))
+        taken = F.struct((x["at"] - x["less"]).alias("cursor"), F.concat(acc["out"], plain, part(F.substr(text, x["at"] + 1, -x["less"]), x["slug"])).alias("out"))
+        return F.when(x["at"] < acc["cursor"], acc).otherwise(taken)
+
+    def end(acc: Column) -> Column:
+        tail = F.substr(text, acc["cursor"] + 1, F.length(text))
+        return F.when(F.length(text) > acc["cursor"], F.concat(acc["out"], part(tail, F.lit(None).cast("string")))).otherwise(acc["out"])
+
+    empty = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<text:string,slug:string>>").alias("out")).cast(kind)
+    return F.aggregate(placed, empty, step, end)
+
+
+def script_tokens(text: Column, block: str = r"\u0c00-\u0c7f") -> Column:
+    """Runs of characters of one script block, Telugu's as it stands."""
+    return F.regexp_extract_all(text, F.lit(f"[{block}]+"), F.lit(0))
+
+
+def transliterated(text: Column, tokens: tuple[tuple[str, str], ...] = (("G-D", "GOD"), ("G-d", "God"))) -> Column:
+    for token, word in tokens:
+        text = F.replace(text, F.lit(token), F.lit(word))
+    return text
+
+
+def listed(numbers: Column, most: int = 12) -> Column:
+    """The first numbers in order, and "among others" where there are more."""
+    head = F.array_join(F.transform(F.slice(F.array_sort(numbers), 1, most), lambda x: x.cast("string")), ", ")
+    return F.concat(head, F.when(F.size(numbers) > most, ", among others.").otherwise("."))
+
+
+def attestation_kind(entity_type: Column) -> Column:
+    return F.when(entity_type == "place", "location").otherwise("participant")
+
+
+def search_cap(limit: int, most: int = 50) -> int:
+    """How many hits a search may return: at least one, and never more than ``most``."""
+    return min(max(int(limit), 1), most)

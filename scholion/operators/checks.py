@@ -31,6 +31,30 @@ def exactly_one_of(columns: list[str]) -> Column:
     return reduce(Column.__add__, (F.col(x).isNotNull().cast("int") for x in columns)) == 1
 
 
+def mixed_licences(components: DataFrame, release: str, evidence: str, paths: str) -> DataFrame:
+    """(release, ``components``, ``path_sets``): releases of several components that share one licence evidence but differ in the paths that they cover."""
+    found = components.groupBy(release).agg(F.count(F.lit(1)).alias("components"), F.countDistinct(evidence).alias("_evidence"), F.countDistinct(paths).alias("path_sets"))
+    return found.filter("components > 1 AND _evidence = 1 AND path_sets > 1").drop("_evidence")
+
+
+def blank_texts(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks (``kind`` h or v, ``text``) without a text."""
+    blank = blocks.filter(F.col("text").isNull() | (F.trim("text") == ""))
+    return blank.select(*keys, F.when(F.col("kind") == "h", "blank-heading").otherwise("blank-verse").alias("finding"))
+
+
+def outside_snapshot(df: DataFrame, column: str, allowed: DataFrame | None, pointer: str) -> DataFrame:
+    """(``pointer``, ``key``) of values that a snapshot lacks; null passes, and so does everything where there is no snapshot."""
+    if allowed is None:
+        return df.select(F.lit(pointer).alias("pointer"), F.col(column).cast("string").alias("key")).filter(F.lit(False))
+    return dangling(df, column, allowed, allowed.columns[0], pointer)
+
+
+def unknown_columns(df: DataFrame, allowed: list[str]) -> list[str]:
+    """Columns that a strict schema doesn't have."""
+    return sorted(set(df.columns) - set(allowed))
+
+
 def gravest(findings: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
     """The gravest error of each key."""
     rank = F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col(error))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholion.operators import checks
 from scholion.plans.registry import query
 from scholion.sources import bind
 from scholion.sources.bind import raw
@@ -50,22 +51,28 @@ def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "token_lift_argmax",
     f"""WITH {_TOKENS},
-    n AS (SELECT count(*) AS docs FROM documents), c AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+    n AS (SELECT count(*) AS docs FROM documents), c AS (SELECT lang, count(*) AS docs FROM documents GROUP BY lang),
     d AS (SELECT token, count(*) AS df FROM tokens WHERE length(token) >= 3 GROUP BY token),
-    h AS (SELECT source, token, count(*) AS hits FROM tokens WHERE length(token) >= 3 GROUP BY ALL),
-    s AS (SELECT h.source, h.token, round(hits / c.docs, 6) AS coverage, round((hits / c.docs) / (df / n.docs), 6) AS lift FROM h JOIN c USING (source) JOIN d USING (token), n WHERE c.docs >= 5 AND hits / c.docs >= 0.05)
-    SELECT source, arg_max(token, {{'a': lift, 'b': coverage, 'c': length(token), 'd': token}}) AS token, max(lift) AS lift FROM s GROUP BY source""",
+    h AS (SELECT lang, token, count(*) AS hits FROM tokens WHERE length(token) >= 3 GROUP BY ALL),
+    s AS (SELECT h.lang, h.token, round(hits / c.docs, 6) AS coverage, round((hits / c.docs) / (df / n.docs), 6) AS lift FROM h JOIN c USING (lang) JOIN d USING (token), n WHERE c.docs >= 15 AND hits / c.docs >= 0.5 AND (hits / c.docs) / (df / n.docs) >= 8)
+    SELECT lang, arg_max(token, {{'a': lift, 'b': coverage, 'c': length(token), 'd': token}}) AS token, max(lift) AS lift FROM s GROUP BY lang""",
 )
 def token_lift_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token that marks each source most: by lift, coverage, length, then the token itself."""
-    docs = raw(spark, sf_dir, "documents")
-    counted = _tokens(spark, sf_dir).filter("length(token) >= 3").groupBy("source", "token").agg(F.count("*").alias("hits"))
+    """The token that marks each language most."""
+    tokens = _tokens(spark, sf_dir).filter("length(token) >= 3")
+    return lift_argmax(tokens, raw(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs")), "lang")
+
+
+def lift_argmax(tokens: DataFrame, sizes: DataFrame, entity: str, min_refs: int = 15, min_coverage: float = 0.5, min_lift: float = 8.0) -> DataFrame:
+    """For each entity of enough references the token that marks it most: by lift, coverage, length, then the token itself. ``tokens`` has a row for each reference and distinct token, ``sizes`` the entity's references as ``docs``."""
+    counted = tokens.groupBy(entity, "token").agg(F.count("*").alias("hits"))
     df = counted.groupBy("token").agg(F.sum("hits").alias("df"))
-    sizes = docs.groupBy("source").agg(F.count("*").alias("docs"))
     total = sizes.agg(F.sum("docs").alias("total"))
-    often = counted.join(F.broadcast(sizes), "source").filter((F.col("docs") >= 5) & (F.col("hits") / F.col("docs") >= 0.05))
-    scored = often.join(df, "token").join(F.broadcast(total)).select("source", "token", F.round(F.col("hits") / F.col("docs"), 6).alias("coverage"), F.round((F.col("hits") / F.col("docs")) / (F.col("df") / F.col("total")), 6).alias("lift"))
-    return scored.groupBy("source").agg(F.max_by("token", F.struct("lift", "coverage", F.length("token"), "token")).alias("token"), F.max("lift").alias("lift"))
+    share = F.col("hits") / F.col("docs")
+    often = counted.join(sizes, entity).filter((F.col("docs") >= min_refs) & (share >= min_coverage))
+    lift = share / (F.col("df") / F.col("total"))
+    scored = often.join(df, "token").join(F.broadcast(total)).filter(lift >= min_lift).select(entity, "token", F.round(share, 6).alias("coverage"), F.round(lift, 6).alias("lift"))
+    return scored.groupBy(entity).agg(F.max_by("token", F.struct("lift", "coverage", F.length("token"), "token")).alias("token"), F.max("lift").alias("lift"))
 
 
 @query("home_book_argmin", "SELECT e.entity_id, arg_min(u.book, {'a': u.ordinal, 'b': u.refsys}) AS home, count(*) AS n FROM attestations e JOIN units u ON u.doc_id = e.reference_id GROUP BY e.entity_id")
@@ -135,10 +142,11 @@ def kind_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.join(bind.entities(spark, sf_dir), "entity_id").select("entity_key", "entity_type", F.array_join("kinds", ",").alias("kinds"))
 
 
-@query("license_isolation", "SELECT package_id, count(*) AS components, count(DISTINCT subject_digest) AS evidence, count(DISTINCT decision) AS path_sets FROM approvals GROUP BY package_id HAVING count(*) > 1 AND count(DISTINCT subject_digest) > 1 AND count(DISTINCT decision) > 1")
+@query("license_isolation", "SELECT release, count(*) AS components, count(DISTINCT paths) AS path_sets FROM (SELECT p_brand || '/' || p_type AS release, CASE WHEN p_partkey % 31 = 0 THEN p_name ELSE p_type END AS evidence, p_size // 10 AS paths FROM part) GROUP BY release HAVING count(*) > 1 AND count(DISTINCT evidence) = 1 AND count(DISTINCT paths) > 1")
 def license_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bind.approvals(spark, sf_dir).groupBy("package_id").agg(F.count("*").alias("components"), F.countDistinct("subject_digest").alias("evidence"), F.countDistinct("decision").alias("path_sets"))
-    return found.filter("components > 1 AND evidence > 1 AND path_sets > 1")
+    """Releases whose components share one licence evidence though they cover different paths."""
+    components = raw(spark, sf_dir, "part").selectExpr("concat(p_brand, '/', p_type) AS release", "IF(p_partkey % 31 = 0, p_name, p_type) AS evidence", "p_size div 10 AS paths")
+    return checks.mixed_licences(components, "release", "evidence", "paths")
 
 
 @query("receipt_counts", "SELECT count(*) AS planned, count(l.doc_id) AS existing, count(*) - count(l.doc_id) AS inserted, count(*) FILTER (l.quality = 0) AS rejected FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -39,10 +39,10 @@ def role_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("reference_id").agg(F.count_if(kind == "person").alias("people"), F.count_if(kind == "place").alias("places"), F.count_if(~kind.isin("person", "place")).alias("others"))
 
 
-@query("query_intent", "SELECT doc_id, regexp_matches(head, '[0-9]+[:.][0-9]+') AS wants_reference, regexp_matches(head, '^[A-Z][a-z]+ [a-z]+') AS wants_person, trim(head) = '' AS is_empty FROM (SELECT doc_id, left(text, 30) AS head FROM documents)")
+@query("query_intent", "SELECT doc_id, regexp_matches(text, '[0-9]+[:.][0-9]+') AS wants_reference, regexp_matches(text, '^[A-Z][a-z]+ [a-z]+') AS wants_person, trim(text) = '' AS is_empty FROM documents")
 def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = raw(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(30)).alias("head"))
-    return head.select("doc_id", F.col("head").rlike("[0-9]+[:.][0-9]+").alias("wants_reference"), F.col("head").rlike("^[A-Z][a-z]+ [a-z]+").alias("wants_person"), (F.trim("head") == "").alias("is_empty"))
+    text = F.col("text")
+    return raw(spark, sf_dir, "documents").select("doc_id", text.rlike("[0-9]+[:.][0-9]+").alias("wants_reference"), text.rlike("^[A-Z][a-z]+ [a-z]+").alias("wants_person"), (F.trim("text") == "").alias("is_empty"))
 
 
 @query("claim_rendering", "SELECT DISTINCT s.name || ' ' || r.predicate || ' ' || o.name AS claim FROM relationships r JOIN entities s ON s.entity_id = r.subject_id JOIN entities o ON o.entity_id = r.object_id")
@@ -70,7 +70,11 @@ def chapter_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("book").agg(F.count("*").alias("units"), F.count("known").alias("labelled"))
 
 
-@query("daily_pick", "SELECT coalesce((SELECT min(doc_id) FROM documents WHERE lang = 'xx'), (SELECT min(doc_id) FROM documents WHERE lang = 'en')) AS doc_id")
+@query("daily_pick", "SELECT d.day, coalesce(a.doc_id, b.doc_id) AS doc_id FROM (SELECT range AS day FROM range(1, 8)) d LEFT JOIN units a ON a.refsys = 'es' AND a.book = 'src2' AND a.verse = d.day LEFT JOIN units b ON b.refsys = 'en' AND b.book = 'src2' AND b.verse = d.day")
 def daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the first source that has one: one aggregation over both."""
-    return raw(spark, sf_dir, "documents").agg(F.coalesce(F.min(F.when(F.col("lang") == "xx", F.col("doc_id"))), F.min(F.when(F.col("lang") == "en", F.col("doc_id")))).alias("doc_id"))
+    """The day's verse by its key in the first source, else in the second; null where neither has it."""
+    found = bind.units(spark, sf_dir).filter("book = 'src2' AND refsys IN ('en', 'es') AND verse BETWEEN 1 AND 7").select(F.col("verse").alias("day"), "refsys", "doc_id")
+    days = spark.range(1, 8).withColumnRenamed("id", "day")
+    for refsys in ("es", "en"):
+        days = days.join(found.filter(F.col("refsys") == refsys).select("day", F.col("doc_id").alias(refsys)), "day", "left")
+    return days.select("day", F.coalesce("es", "en").alias("doc_id"))

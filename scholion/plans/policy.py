@@ -69,15 +69,15 @@ def rights_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", *(F.coalesce(x, F.lit(False)).alias(x) for x in ("display", "search")))
 
 
-@query("authorize_requests", """SELECT q.o_orderkey AS request_id, CASE WHEN n.n_nationkey IS NULL THEN 'unknown-release' WHEN n.n_nationkey % 9 = 4 THEN 'release-not-verified' WHEN q.o_orderkey % 13 = 0 THEN 'digest-mismatch' WHEN n.n_nationkey % 5 = 1 THEN 'no-grant' WHEN n.n_nationkey % 5 = 2 THEN 'denied'
-      WHEN DATE '1996-01-01' > q.d THEN 'not-yet-effective' WHEN n.n_nationkey % 2 = 1 AND DATE '2000-12-31' < q.d THEN 'expired' WHEN n.n_nationkey % 5 = 3 AND q.territory IS DISTINCT FROM 'IN' THEN 'territory' WHEN n.n_nationkey % 7 = 6 THEN 'not-approved' END AS denial FROM
-    (SELECT o_orderkey, o_custkey % 30 AS k, CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 3 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' END AS territory FROM orders) q LEFT JOIN nation n ON n.n_nationkey = q.k""")
+@query("authorize_requests", """SELECT q.request_id, CASE WHEN k >= 25 OR k % 9 = 4 THEN 'invalid-release' WHEN k % 11 = 7 THEN 'digest-not-bound' WHEN k % 5 = 1 OR component = 2 THEN 'no-grant' WHEN k % 5 = 2 AND component = 0 THEN 'grant-denied'
+      WHEN d < DATE '1996-01-01' OR k % 2 = 1 AND d > DATE '2000-12-31' THEN 'grant-expired' WHEN k % 5 = 3 AND territory IS DISTINCT FROM 'IN' THEN 'territory-mismatch' WHEN k % 3 = 2 AND component = 1 AND language IS DISTINCT FROM 'ta' THEN 'language-mismatch' WHEN k % 7 = 6 THEN 'no-approval' WHEN k % 7 = 5 THEN 'digest-not-bound' END AS denial FROM
+    (SELECT o_orderkey AS request_id, o_custkey % 30 AS k, o_orderkey % 3 AS component, CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 4 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' END AS territory, CASE o_custkey % 2 WHEN 0 THEN 'ta' END AS language FROM orders) q""")
 def authorize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = raw(spark, sf_dir, "nation").selectExpr("n_nationkey AS k", "concat('rel:', n_nationkey) AS release_key", "sha2(n_name, 256) AS digest")
-    releases = nation.selectExpr("release_key", "digest", "IF(k % 9 = 4, 'pending', 'verified') AS status")
-    grants = nation.filter("k % 5 <> 1").selectExpr("release_key", "'display' AS operation", "IF(k % 5 = 2, 'denied', 'granted') AS state", "IF(k % 5 = 3, 'IN', NULL) AS territory", "CAST(NULL AS STRING) AS language", "DATE '1996-01-01' AS effective_from", "IF(k % 2 = 1, DATE '2000-12-31', NULL) AS effective_to")
-    approvals = nation.selectExpr("release_key", "digest", "IF(k % 7 = 6, 'rejected', 'approved') AS decision", "TIMESTAMP '2024-01-01' AS created_at")
-    asked = raw(spark, sf_dir, "orders").selectExpr("o_orderkey AS request_id", "concat('rel:', o_custkey % 30) AS release_key", "'display' AS operation", "o_orderkey % 13 = 0 AS wrong", "CASE o_orderkey % 3 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' END AS territory", "CAST(NULL AS STRING) AS language", "CAST(o_orderdate AS DATE) AS day")
-    asked = asked.join(F.broadcast(nation.select("release_key", F.col("digest").alias("known"))), "release_key", "left")
-    requests = asked.select("request_id", "release_key", "operation", F.when(F.col("wrong"), "other").otherwise(F.coalesce("known", F.lit("none"))).alias("digest"), "territory", "language", "day")
+    nation = raw(spark, sf_dir, "nation").selectExpr("n_nationkey AS k", "concat('rel:', n_nationkey) AS release_key", "concat('sha256:', sha2(n_name, 256)) AS digest")
+    releases = nation.selectExpr("release_key", "IF(k % 9 = 4, 'invalid', 'verified') AS status", "IF(k % 11 = 7, 'none', digest) AS artifact_digest", "digest AS evidence_digest")
+    both = nation.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).withColumn("component_key", F.concat(F.lit("part:"), "c"))
+    grants = both.filter("k % 5 <> 1").selectExpr("release_key", "component_key", "'display' AS operation", "IF(k % 5 = 2 AND c = 0, 'denied', 'allowed') AS state", "IF(k % 5 = 3, 'IN', NULL) AS territory", "IF(k % 3 = 2 AND c = 1, 'ta', NULL) AS language", "DATE '1996-01-01' AS effective_from", "IF(k % 2 = 1, DATE '2000-12-31', NULL) AS effective_to")
+    approvals = both.selectExpr("release_key", "component_key", "IF(k % 7 = 6, 'rejected', 'approved') AS decision", "IF(k % 7 = 5, 'unbound', digest) AS digest", "TIMESTAMP '2024-01-02' AS created_at")
+    approvals = approvals.unionByName(approvals.withColumns({"decision": F.lit("approved"), "created_at": F.expr("TIMESTAMP '2024-01-01'")}))
+    requests = raw(spark, sf_dir, "orders").selectExpr("o_orderkey AS request_id", "concat('rel:', o_custkey % 30) AS release_key", "concat('part:', o_orderkey % 3) AS component_key", "'display' AS operation", "CASE o_orderkey % 4 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' END AS territory", "IF(o_custkey % 2 = 0, 'ta', NULL) AS language", "CAST(o_orderdate AS DATE) AS day")
     return authorize(requests, releases, grants, approvals).select("request_id", "denial")

@@ -70,11 +70,11 @@ def honest_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "documents").select("doc_id", F.when(quoted, "explicit").otherwise("inferred").alias("basis"), F.when(quoted, "established").otherwise("proposed").alias("status"))
 
 
-@query("text_gaps", "SELECT doc_id FROM (SELECT doc_id, regexp_extract(text, '^([^.]*)') AS head FROM documents) WHERE length(trim(head)) < 3")
+@query("text_gaps", "SELECT conv_id, turn, CASE kind WHEN 'h' THEN 'blank-heading' ELSE 'blank-verse' END AS finding FROM (SELECT conv_id, turn, kind, CASE WHEN turn % 3 = 1 THEN '  ' ELSE text END AS text FROM turns) WHERE text IS NULL OR trim(text) = ''")
 def text_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences that are blank, or all but."""
-    head = F.regexp_extract("text", "^([^.]*)", 1)
-    return raw(spark, sf_dir, "documents").filter(F.length(F.trim(head)) < 3).select("doc_id")
+    """Blank verses and headings, where every third turn's text is blanked."""
+    blanked = bind.turns(spark, sf_dir).withColumn("text", F.when(F.col("turn") % 3 == 1, "  ").otherwise(F.col("text")))
+    return checks.blank_texts(blanked, ["conv_id", "turn"])
 
 
 @query("exactly_one_of", "SELECT doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE (quality IS NOT NULL)::INT + (CASE WHEN n_chars > 900 THEN 1 END IS NOT NULL)::INT = 1")
@@ -98,7 +98,7 @@ def error_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.gravest(found, ["key"])
 
 
-@query("key_grammar", "SELECT entity_key, CASE WHEN NOT regexp_matches(entity_key, '^entity:[a-z0-9]+(-[a-z0-9]+)*$') THEN 'grammar' END AS error, CASE WHEN NOT regexp_matches(name, '^[a-z]{2,3}(-[A-Z]{2})?$') THEN 'grammar' END AS name_error FROM entities")
+@query("key_grammar", "SELECT entity_key, CASE WHEN NOT regexp_matches(entity_key, '^entity:[a-z0-9]+(-[a-z0-9]+)*$') THEN 'invalid-entity' END AS error, CASE WHEN NOT regexp_matches(name, '^[a-z]{2,3}(-[A-Z]{2})?$') THEN 'invalid-language' END AS name_error FROM entities")
 def key_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.entities(spark, sf_dir).select("entity_key", key_error("entity", F.col("entity_key")).alias("error"), key_error("language", F.col("name")).alias("name_error"))
 

@@ -28,9 +28,9 @@ def not_exists_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "documents").select("doc_id").join(raw(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("tuple_in", "SELECT DISTINCT reference_id, entity_id, kind FROM attestations WHERE (entity_id, kind) IN (SELECT subject_id, substr(predicate, 1, 1) FROM relationships WHERE object_id < 10)")
+@query("tuple_in", "SELECT DISTINCT reference_id, entity_id, kind FROM attestations WHERE (entity_id, kind) IN (SELECT subject_id, substr(predicate, 1, 1) FROM relationships WHERE predicate IN ('AO', 'RF'))")
 def tuple_in_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = bind.relationships(spark, sf_dir).filter("object_id < 10").select(F.col("subject_id").alias("entity_id"), F.substring("predicate", 1, 1).alias("kind"))
+    allowed = bind.relationships(spark, sf_dir).filter("predicate IN ('AO', 'RF')").select(F.col("subject_id").alias("entity_id"), F.substring("predicate", 1, 1).alias("kind"))
     return tuple_in(bind.attestations(spark, sf_dir), ["entity_id", "kind"], allowed).select("reference_id", "entity_id", "kind").distinct()
 
 

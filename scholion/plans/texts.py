@@ -27,21 +27,29 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.sha2(text.plain_text(F.col("text")), 256).alias("digest"))
 
 
+# pieces between the quotes' literals give their places; those between word bounds are numbered
 _HITS = f"""quotes AS (SELECT unnest({list(QUOTES)}) AS quote),
-hits AS (SELECT doc_id, text, quote, i AS start, row_number() OVER (PARTITION BY doc_id, quote ORDER BY i) AS ordinal FROM (SELECT doc_id, text, quote, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(quote)) = quote
-  AND NOT regexp_matches(CASE WHEN i = 0 THEN '' ELSE substr(text, i, 1) END, '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, i + 1 + length(quote), 1), '[A-Za-z0-9]'))) AS i FROM documents, quotes))"""
+pieces AS (SELECT doc_id, quote, generate_subscripts(x, 1) AS n, unnest(x) AS piece FROM (SELECT doc_id, quote, string_split(text, quote) AS x FROM documents, quotes WHERE contains(text, quote))),
+placed AS (SELECT doc_id, quote, n, CASE WHEN piece = '' AND n > 1 THEN right(quote, 1) ELSE right(piece, 1) END AS before, lead(piece) OVER w AS next, lead(n, 2) OVER w AS after_next, CAST(sum(length(piece)) OVER w + (n - 1) * length(quote) AS BIGINT) AS start FROM pieces WINDOW w AS (PARTITION BY doc_id, quote ORDER BY n)),
+hits AS (SELECT doc_id, quote, start, row_number() OVER (PARTITION BY doc_id, quote ORDER BY start) AS ordinal FROM placed WHERE next IS NOT NULL AND NOT regexp_matches(before, '[A-Za-z0-9]')
+  AND NOT regexp_matches(CASE WHEN next = '' AND after_next IS NOT NULL THEN left(quote, 1) ELSE left(next, 1) END, '[A-Za-z0-9]'))"""
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, quote, ordinal, start, end): word-bounded quotes, numbered by occurrence."""
-    each = F.array(*(F.struct(F.lit(q).alias("quote"), text.quote_positions(F.col("text"), q).alias("spans")) for q in QUOTES))
-    found = _docs(spark, sf_dir).select("doc_id", "text", F.explode(each).alias("x"))
-    return found.select("doc_id", "text", "x.quote", F.posexplode("x.spans").alias("pos", "span")).select("doc_id", "text", "quote", (F.col("pos") + 1).cast("long").alias("ordinal"), "span")
+def _hits(spark: SparkSession, sf_dir: str, contexts: bool = False) -> DataFrame:
+    """(doc_id, quote, ordinal, start, end): word-bounded quotes, numbered by occurrence; with their contexts, which are cut before rows multiply."""
+    def found(quote: str):
+        spans = text.quote_positions(F.col("text"), quote)
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), *([text.context(F.col("text"), x).alias("around")] if contexts else [])))
+
+    each = F.array(*(F.struct(F.lit(q).alias("quote"), found(q).alias("spans")) for q in QUOTES))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(each).alias("x"))
+    rows = rows.select("doc_id", "x.quote", F.posexplode("x.spans").alias("pos", "span"))
+    return rows.select("doc_id", "quote", (F.col("pos") + 1).cast("long").alias("ordinal"), "span.*")
 
 
 @query("bounded_quote_hits", f"WITH {_HITS} SELECT doc_id, quote, ordinal, start, start + length(quote) AS stop FROM hits")
 def bounded_quote_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("doc_id", "quote", "ordinal", F.col("span.start").cast("long").alias("start"), F.col("span.end").cast("long").alias("stop"))
+    return _hits(spark, sf_dir).select("doc_id", "quote", "ordinal", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
 
 
 @query("selector_resolve", f"WITH {_HITS} SELECT d.doc_id, h.start FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id AND h.quote = 'the' AND h.ordinal = 2")
@@ -49,11 +57,14 @@ def selector_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.selector_span(F.col("text"), "the", 2)["start"].cast("long").alias("start"))
 
 
-@query("prefix_suffix_check", f"WITH {_HITS} SELECT doc_id, quote, ordinal, sha256(substr(text, greatest(start - 20, 0) + 1, start - greatest(start - 20, 0)) || '|' || substr(text, start + length(quote) + 1, 20)) AS around FROM hits WHERE ordinal <= 3")
+@query("prefix_suffix_check", f"""WITH {_HITS}, around AS (SELECT h.*, substr(text, greatest(start - 20, 0) + 1, start - greatest(start - 20, 0)) AS prefix, substr(text, start + length(quote) + 1, 20) AS suffix FROM hits h JOIN documents USING (doc_id))
+    SELECT doc_id, quote, ordinal, sha256(prefix || '|' || suffix) AS around, prefix = CASE WHEN ordinal % 5 = 0 THEN 'recorded otherwise' ELSE prefix END AND suffix = CASE WHEN ordinal % 7 = 0 THEN '' ELSE suffix END AS verified FROM around""")
 def prefix_suffix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _hits(spark, sf_dir).filter("ordinal <= 3")
-    around = text.context(F.col("text"), F.col("span"))
-    return found.select("doc_id", "quote", "ordinal", F.sha2(F.concat_ws("|", around["prefix"], around["suffix"]), 256).alias("around"))
+    """Whether the text around each quote is what its selector recorded; every fifth prefix and every seventh suffix was recorded otherwise."""
+    rows = _hits(spark, sf_dir, contexts=True).select("doc_id", "quote", "ordinal", "around.*")
+    recorded = rows.withColumns({"said_prefix": F.when(F.col("ordinal") % 5 == 0, "recorded otherwise").otherwise(F.col("prefix")), "said_suffix": F.when(F.col("ordinal") % 7 == 0, "").otherwise(F.col("suffix"))})
+    verified = (F.col("said_prefix") == F.col("prefix")) & (F.col("said_suffix") == F.col("suffix"))
+    return recorded.select("doc_id", "quote", "ordinal", F.sha2(F.concat_ws("|", "prefix", "suffix"), 256).alias("around"), verified.alias("verified"))
 
 
 @query("utf16_offsets", "SELECT doc_id, CAST(length(text) // 2 + len(list_filter(range(1, length(text) // 2 + 1), lambda i: unicode(substr(text, i, 1)) > 65535)) AS BIGINT) AS half FROM documents")
@@ -61,10 +72,12 @@ def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.utf16_offset(F.col("text"), F.floor(F.length("text") / 2).cast("int")).alias("half"))
 
 
-@query("search_like_literal", "SELECT doc_id, length(text) AS size FROM documents WHERE text LIKE '%\\%\\%\\% of%' ESCAPE '\\' ORDER BY lang, doc_id LIMIT 20")
+@query("search_like_literal", "SELECT doc_id, length(text) AS size FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%\\%\\%\\% of%' ESCAPE '\\' ORDER BY lang, doc_id LIMIT 20")
 def search_like_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty whose text holds the literal, small and capital letters of ASCII alike."""
     pattern = F.concat(F.lit("%"), text.like_escape(F.lit("%%% of")), F.lit("%"))
-    return _docs(spark, sf_dir).filter(F.like("text", pattern)).orderBy("lang", "doc_id").limit(20).select("doc_id", F.length("text").alias("size"))
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _docs(spark, sf_dir).filter(F.like(lowered, pattern)).orderBy("lang", "doc_id").limit(20).select("doc_id", F.length("text").alias("size"))
 
 
 @query("search_lower_topk", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), lower('THEREAN')) ORDER BY lang, doc_id LIMIT 20")
@@ -80,16 +93,21 @@ def rights_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).join(F.broadcast(allowed), "lang", "left_semi").filter(F.contains(F.lower("text"), F.lit("eand"))).select("doc_id")
 
 
-@query("bullets", r"SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS BIGINT) AS n FROM documents")
+@query("bullets", r"""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?]["''”’)]*)[ \t\n\x0B\f\r]+([A-Z“"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: x <> '')) AS BIGINT) AS n FROM documents""")
 def bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(text.bullets(F.col("text"))).cast("long").alias("n"))
 
 
-@query("comment_sanitize", r"""WITH c AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS out FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t FROM pages))
-    SELECT page_id, CASE WHEN out <> '' AND length(out) <= 200 AND NOT regexp_matches(out, 'https?://|www[.]') THEN out END AS comment FROM c""")
+_DECODED = "regexp_replace(t, '<[^>]+>', ' ', 'g')"
+for _entity, _char in text.ENTITIES:
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("comment_sanitize", f"""WITH c AS (SELECT page_id, trim(regexp_replace({_DECODED}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS out FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'see <b>Dan</b>&amp;co ' || page_id WHEN 1 THEN 'as the Atlas says' WHEN 2 THEN 'a &lt; b' ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END AS t FROM pages))
+    SELECT page_id, CASE WHEN out <> '' AND length(out) <= 200 AND NOT regexp_matches(out, '{text.LEFT_OVER}') AND NOT regexp_matches(out, '{text.SOURCE_MARKERS}') THEN out END AS comment FROM c""")
 def comment_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return raw(spark, sf_dir, "pages").select("page_id", text.sanitize_comment(title).alias("comment"))
+    said = F.expr("CASE page_id % 4 WHEN 0 THEN 'see <b>Dan</b>&amp;co ' || page_id WHEN 1 THEN 'as the Atlas says' WHEN 2 THEN 'a &lt; b' ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END")
+    return raw(spark, sf_dir, "pages").select("page_id", text.sanitize_comment(said).alias("comment"))
 
 
 @query("snippet", "SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 117) || '…' ELSE text END AS snippet FROM documents")
@@ -97,15 +115,22 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
-@query("short_role", "SELECT doc_id, CASE WHEN length(h) > 42 THEN left(h, 41) || '…' ELSE h END AS role FROM (SELECT doc_id, trim(regexp_extract(text, '^[^;.]*')) AS h FROM documents)")
+@query("short_role", "SELECT doc_id, CASE WHEN length(h) > 42 THEN trim(left(h, 42)) || '…' ELSE trim(h) END AS role FROM (SELECT doc_id, regexp_extract(text, '^[^;.]*') AS h FROM documents)")
 def short_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.short_role(F.col("text")).alias("role"))
 
 
-@query("sense_classify", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(the|and|for) of (the )?that([^A-Za-z0-9]|$)') THEN 'group' WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(is|was|are) of (the )?that([^A-Za-z0-9]|$)') THEN 'territory' ELSE 'person' END AS sense
-    FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9])that([^A-Za-z0-9]|$)')""")
+_GROUP, _LAND = "the|and|for", "is|was|are"
+_SPAN = "(^|[^A-Za-z0-9])(?:%s)[ \\t\\n\\f\\r]+of[ \\t\\n\\f\\r]+(?:[A-Za-z''’\\-]+(?:[ \\t\\n\\f\\r]*,[ \\t\\n\\f\\r]*|[ \\t\\n\\f\\r]+and[ \\t\\n\\f\\r]+))*(?:and[ \\t\\n\\f\\r]+)?(?:of[ \\t\\n\\f\\r]+)?that([^A-Za-z0-9]|$)"
+_THAT = "(^|[^A-Za-z0-9])that([^A-Za-z0-9]|$)"
+_BOTH = _SPAN % f"{_GROUP}|{_LAND}"
+
+
+@query("sense_classify", f"""SELECT doc_id, CASE WHEN regexp_matches(regexp_replace(regexp_replace(text, '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_THAT}') THEN 'person'
+    WHEN regexp_matches(text, '{_SPAN % _GROUP}') THEN 'group' ELSE 'territory' END AS sense FROM documents WHERE regexp_matches(text, '{_THAT}')""")
 def sense_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.sense(F.col("text"), "that", "the|and|for", "is|was|are").alias("sense")).filter("sense IS NOT NULL")
+    found = text.sense(F.col("text"), ("that",), text.governed(_GROUP, "that"), text.governed(_LAND, "that"))
+    return _docs(spark, sf_dir).select("doc_id", found.alias("sense")).filter("sense IS NOT NULL")
 
 
 _REFS = "refs AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'en:Gen.' || (o_orderkey % 50) || '.' || (o_custkey % 30) WHEN 1 THEN 'Gen.' || (o_orderkey % 50) WHEN 2 THEN 'Neh.2.' || (o_orderkey % 20) || '-' || (o_custkey % 20) WHEN 3 THEN '' WHEN 4 THEN 'Gen 1:1' ELSE '1Sam.3.' || (o_orderkey % 9 + 1) || '-' || (o_custkey % 9 + 1) || '.4' END AS ref FROM orders)"
@@ -142,11 +167,17 @@ def autolink_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "orders").select("o_orderkey", F.explode(text.links(said)).alias("link"))
 
 
-@query("keyword_tags", "SELECT doc_id, CASE WHEN contains(text, 'token') THEN 'secret' WHEN contains(text, 'icense') THEN 'licence' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '%%%') THEN 'noise' ELSE 'plain' END AS tag FROM documents")
+# Words in titles of events and the tags that they give, in order.
+TAGS = (("vision", "vision"), ("prayer", "prayer"), ("genealog", "genealogy"), ("covenant", "covenant"), ("law", "law"), ("song", "song"), ("psalm", "song"), ("letter", "letter"), ("prophec", "prophecy"), ("parable", "teaching"), ("sermon", "teaching"), ("miracle", "miracle"), ("battle", "battle"), ("war", "battle"), ("journey", "journey"), ("journeys", "journey"), ("birth", "birth"), ("death", "death"), ("genealogy", "genealogy"), ("commission", "commission"), ("conquest", "battle"), ("dedication", "worship"), ("worship", "worship"), ("census", "census"), ("plague", "judgment"), ("judgment", "judgment"), ("instruction", "teaching"), ("teaching", "teaching"), ("discourse", "teaching"))
+
+
+@query("keyword_tags", f"SELECT o_orderkey, CASE {' '.join(f"WHEN contains(title, '{word}') THEN '{tag}'" for word, tag in TAGS)} ELSE 'narrative' END AS tag FROM (SELECT o_orderkey, lower('The ' || list_extract({[w.capitalize() for w, _ in TAGS] + ['Wall', 'Gate']}, CAST(o_orderkey % 31 + 1 AS INT)) || ' and the ' || list_extract({[w for w, _ in TAGS] + ['x', 'y']}, CAST(o_custkey % 31 + 1 AS INT)) || ' ' || o_orderkey) AS title FROM orders)")
 def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = (("token", "secret"), ("icense", "licence"), ("@", "contact"), ("%%%", "noise"))
-    first = F.coalesce(*(F.when(F.contains("text", F.lit(word)), tag) for word, tag in rules), F.lit("plain"))
-    return _docs(spark, sf_dir).select("doc_id", first.alias("tag"))
+    """Titles by the first word of the list that they hold."""
+    names = [F.get(F.array(*(F.lit(x) for x in words)), F.expr(f"CAST({key} % 31 AS INT)")) for words, key in (([w.capitalize() for w, _ in TAGS] + ["Wall", "Gate"], "o_orderkey"), ([w for w, _ in TAGS] + ["x", "y"], "o_custkey"))]
+    title = F.lower(F.concat(F.lit("The "), names[0], F.lit(" and the "), names[1], F.lit(" "), "o_orderkey"))
+    first = F.coalesce(*(F.when(F.contains(title, F.lit(word)), tag) for word, tag in TAGS), F.lit("narrative"))
+    return raw(spark, sf_dir, "orders").select("o_orderkey", first.alias("tag"))
 
 
 @query("importance_buckets", "SELECT entity_id, CASE WHEN count(*) >= 35 THEN 'central' WHEN count(*) >= 25 THEN 'supporting' ELSE 'background' END AS importance FROM attestations GROUP BY entity_id")
@@ -155,7 +186,7 @@ def importance_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.attestations(spark, sf_dir).groupBy("entity_id").agg(F.when(n >= 35, "central").when(n >= 25, "supporting").otherwise("background").alias("importance"))
 
 
-@query("first_names_per_scope", "SELECT reference_id, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT reference_id, name, row_number() OVER (PARTITION BY reference_id ORDER BY name) AS r FROM (SELECT DISTINCT reference_id, name FROM attestations JOIN entities USING (entity_id))) WHERE r <= 3 GROUP BY reference_id")
+@query("first_names_per_scope", "SELECT reference_id, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT reference_id, name, row_number() OVER (PARTITION BY reference_id ORDER BY name) AS r FROM (SELECT DISTINCT reference_id, name FROM attestations JOIN entities USING (entity_id))) WHERE r <= 8 GROUP BY reference_id")
 def first_names_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = bind.attestations(spark, sf_dir).join(bind.entities(spark, sf_dir).select("entity_id", "name"), "entity_id")
-    return joined.groupBy("reference_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 3), ", ").alias("names"))
+    return joined.groupBy("reference_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 8), ", ").alias("names"))

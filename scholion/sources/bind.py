@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.functions.keys import slugify
@@ -21,10 +21,10 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(refsys, book, verse, doc_id, text): documents numbered within language and source."""
-    docs = raw(spark, sf_dir, "documents").select(F.col("lang").alias("refsys"), F.col("source").alias("book"), "doc_id", "text")
-    return ordinal_within(docs, ["refsys", "book"], "doc_id", "verse").select("refsys", "book", "verse", "doc_id", "text")
+def verses(spark: SparkSession, sf_dir: str, *columns: Column) -> DataFrame:
+    """(refsys, book, verse, doc_id) and the given columns of the documents (``text`` if none): documents numbered within language and source."""
+    docs = raw(spark, sf_dir, "documents").select(F.col("lang").alias("refsys"), F.col("source").alias("book"), "doc_id", *(columns or ("text",)))
+    return ordinal_within(docs, ["refsys", "book"], "doc_id", "verse").select("refsys", "book", "verse", *docs.columns[2:])
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,10 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     An ordinal is the verse's number plus the verses of the books before it, so that only counts by
     book are windowed.
     """
-    found = verses(spark, sf_dir).drop("text")
+    found = verses(spark, sf_dir, F.lit(True).alias("there")).drop("there")
     books = raw(spark, sf_dir, "documents").groupBy(F.col("lang").alias("refsys"), F.col("source").alias("book")).count()
     before = books.selectExpr("refsys", "book", "sum(count) OVER (PARTITION BY refsys ORDER BY book) - count AS before")
-    return found.join(F.broadcast(before), ["refsys", "book"]).select("refsys", "book", "verse", "doc_id", (F.col("before") + F.col("verse")).alias("ordinal"))
+    return found.join(before, ["refsys", "book"]).select("refsys", "book", "verse", "doc_id", (F.col("before") + F.col("verse")).alias("ordinal"))
 
 
 def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:

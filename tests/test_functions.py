@@ -64,12 +64,76 @@ def test_greedy_spans_prefer_long_then_early(spark):
 
 
 def test_comments(spark):
-    cases = {"<i>a</i> &amp; b": "a & b", "see http://x.y": None, "  ": None, "x" * 201: None}
+    cases = {"<i>a</i> &amp; b": "a & b", "a<br>b": "a b", "see http://x.y": None, "WWW.x.y": None, "  ": None, "x" * 201: None, "a &lt; b": None, "as the Atlas says": None, "dug up (1923)": None, "it&apos;s": "it's", "pressing on": "pressing on"}
     for case, want in cases.items():
-        assert one(spark, case, text.sanitize_comment(F.col("x"))) == want
+        assert one(spark, case, text.sanitize_comment(F.col("x"))) == want, case
 
 
 def test_senses(spark):
-    cases = {"the house of Dan": "group", "in the land of Dan": "territory", "Dan said": "person", "Danube": None}
+    tribe, group, land = text.people_patterns("Dan", ("Danite", "Danites"))
+    cases = {"the house of Dan": "group", "in the land of Dan": "territory", "Dan said": "person", "Danube": None, "the tribes of Judah, Simeon, and Dan": "group", "the sons of Asher and of Dan": "group", "Dan and the sons of Dan": "person", "all Dan": "group", "two Danites": "group", "the land of Dan and the house of Dan": "group"}
     for case, want in cases.items():
-        assert one(spark, case, text.sense(F.col("x"), "Dan")) == want
+        assert one(spark, case, text.sense(F.col("x"), ("Dan",), f"{tribe}|{group}", land)) == want, case
+
+
+def test_a_nation_s_name_stays_a_person_s(spark):
+    cases = {"the sons of Jacob": True, "went down with old Jacob": True, "your father Jacob": True, "Jacob his wife": True, "Jacob did evil": False, "restore Jacob": False}
+    for case, want in cases.items():
+        at = case.index("Jacob")
+        assert one(spark, case, text.stays_person(F.col("x"), F.lit(at), 5)) is want, case
+
+
+def test_bullets_keep_dotted_references(spark):
+    cases = {"It is so. He went. \"Yes.\" (No.)": ["It is so.", "He went.", '"Yes."', "(No.)"], "See Neh. 1 and on.": ["See Neh. 1 and on."], "Why? because! So.": ["Why? because!", "So."], "  ": []}
+    for case, want in cases.items():
+        assert one(spark, case, text.bullets(F.col("x"))) == want
+
+
+def test_short_roles(spark):
+    cases = {"cupbearer; later governor": "cupbearer", "x" * 42: "x" * 42, "a" * 41 + " bcd": "a" * 41 + "…", "a. b": "a"}
+    for case, want in cases.items():
+        assert one(spark, case, text.short_role(F.col("x"))) == want
+
+
+def test_quotes_at_offsets(spark):
+    for start, want in ((8, (2, 8)), (0, (1, 0)), (5, (1, 0))):
+        got = one(spark, "the cat the dog", text.quote_at(F.col("x"), "the", F.lit(start)))
+        assert (got["ordinal"], got["start"]) == want
+    assert one(spark, "a", text.quote_at(F.col("x"), "the", F.lit(0))) is None
+
+
+def test_bounded_occurrences_that_overlap(spark):
+    assert [x["start"] for x in one(spark, "us us us, Jerusalem us-us us", text.bounded_occurrences(F.col("x"), "us us"))] == [0, 3, 23]
+
+
+def test_segments(spark):
+    anchors = [("the wall", "w", 1), ("wall of", "o", 1), ("Neh", "n", 2)]
+    got = [tuple(x) for x in one(spark, "Neh saw the wall of Neh.", text.segments(F.col("x"), anchors))]
+    assert got == [("Neh saw ", None), ("the wall", "w"), (" of ", None), ("Neh", "n"), (".", None)]
+    assert one(spark, "", text.segments(F.col("x"), anchors)) == []
+
+
+def test_small_texts(spark):
+    x = F.col("x")
+    assert one(spark, "a నెహె b రాజు", text.script_tokens(x)) == ["నెహె", "రాజు"]
+    assert one(spark, "G-D and G-d", text.transliterated(x)) == "GOD and God"
+    assert one(spark, "perhaps the same as", text.uncertain(x)) and not one(spark, "possibly", text.uncertain(x))
+    assert one(spark, "1", text.listed(F.sequence(F.lit(1), F.lit(13)))) == "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, among others."
+    assert [text.search_cap(k) for k in (-3, 7, 900)] == [1, 7, 50]
+
+
+def test_keys(spark):
+    good = {"canon": "canon:prot-66", "reference-system": "refsys:tel-v1", "work": "work:1Sam:prot-66", "scope": "scope:wb-neh-2:refsys:eng-v22:Neh.2.1-Neh.2.8", "translation-work": "trans:bsb", "translation-edition": "edition:bsb@20240101:sha-0123abcd", "source": "source:a.b", "source-release": "release:source:a@v1:sha-01234567", "candidate": "candidate:person:refsys:eng-v22:neh-1"}
+    for kind, key in good.items():
+        assert one(spark, key, keys.key_error(kind, F.col("x"))) is None and one(spark, key + "é", keys.key_error(kind, F.col("x"))) == f"invalid-{kind}" and one(spark, " ", keys.key_error(kind, F.col("x"))) == "empty"
+    assert one(spark, "release:source:a@main:sha-01234567", keys.key_error("source-release", F.col("x"))) == "invalid-source-release"
+    assert [one(spark, x, keys.mapping_kind_valid(F.col("x"))) for x in ("split", "other", None)] == [True, False, False]
+
+
+def test_ranges_and_places(spark):
+    x = F.col("x")
+    assert tuple(one(spark, "The wall (3-5) ", keys.outline_entry(x))) == ("The wall", 3, 5) and tuple(one(spark, "Prayer (1)", keys.outline_entry(x))) == ("Prayer", 1, 1) and one(spark, "none", keys.outline_entry(x)) is None
+    assert [one(spark, v, keys.short_range(x)) for v in ("Neh.2.1–Neh.2.8", "Neh.2.1–Neh.3.2", "Neh.2.4")] == ["2:1–8", "2.1–3.2", "2:4–4"]
+    assert one(spark, "bsb", keys.server_location(x, F.lit("Neh"), F.lit(2))) == "Neh.2" and one(spark, "other", keys.server_location(x, F.lit("Neh"), F.lit(2))) is None
+    assert tuple(one(spark, "1Sam.3", keys.local_coordinates(x))) == ("1Sam", 3) and one(spark, "bad", keys.local_coordinates(x)) is None
+    assert one(spark, "Dan 2", keys.display_name(x)) == "Dan" and one(spark, "2024-02-03", digest.date_label(x)) == "February 3" and one(spark, "2024-02-31", digest.date_label(x)) is None

@@ -69,36 +69,63 @@ def test_changed_keys(spark):
     assert rows(merge.changed_keys(before, after, ["k"])) == [(2, "changed"), (3, "removed")]
 
 
-BASE = dict(release_key="r", operation="show", digest="d", territory="IN", language=None, day=datetime.date(2024, 1, 5))
-GRANT = dict(release_key="r", operation="show", state="granted", territory="IN", language=None, effective_from=datetime.date(2024, 1, 1), effective_to=datetime.date(2024, 1, 9))
+GOOD = "sha256:" + "0" * 64
+BASE = dict(release_key="r", component_key="c", operation="show", territory="IN", language=None, day=datetime.date(2024, 1, 5))
+GRANT = dict(release_key="r", component_key="c", operation="show", state="allowed", territory="IN", language=None, effective_from=datetime.date(2024, 1, 1), effective_to=datetime.date(2024, 1, 9))
 
 
 @pytest.mark.parametrize(
     ("request_change", "grant_change", "release", "approval", "denial"),
     [
-        ({}, {}, ("d", "verified"), ("approved", "d"), None),
-        ({"release_key": "q"}, {}, ("d", "verified"), ("approved", "d"), "unknown-release"),
-        ({}, {}, ("d", "pending"), ("approved", "d"), "release-not-verified"),
-        ({"digest": "e"}, {}, ("d", "verified"), ("approved", "d"), "digest-mismatch"),
-        ({"operation": "print"}, {}, ("d", "verified"), ("approved", "d"), "no-grant"),
-        ({}, {"state": "denied"}, ("d", "verified"), ("approved", "d"), "denied"),
-        ({"day": datetime.date(2023, 12, 31)}, {}, ("d", "verified"), ("approved", "d"), "not-yet-effective"),
-        ({"day": datetime.date(2024, 1, 10)}, {}, ("d", "verified"), ("approved", "d"), "expired"),
-        ({"territory": None}, {}, ("d", "verified"), ("approved", "d"), "territory"),
-        ({}, {"language": "ta"}, ("d", "verified"), ("approved", "d"), "language"),
-        ({}, {}, ("d", "verified"), ("rejected", "d"), "not-approved"),
-        ({}, {}, ("d", "verified"), ("approved", "old"), "not-approved"),
+        ({}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), None),
+        ({"release_key": "q"}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), "invalid-release"),
+        ({}, {}, ("invalid", GOOD, GOOD), ("approved", GOOD), "invalid-release"),
+        ({}, {}, ("verified", "x", GOOD), ("approved", GOOD), "digest-not-bound"),
+        ({}, {}, ("verified", GOOD, "sha256:0"), ("approved", GOOD), "digest-not-bound"),
+        ({"operation": "print"}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), "no-grant"),
+        ({"component_key": "d"}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), "no-grant"),
+        ({}, {"state": "unknown"}, ("verified", GOOD, GOOD), ("approved", GOOD), "grant-denied"),
+        ({"day": datetime.date(2023, 12, 31)}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), "grant-expired"),
+        ({"day": datetime.date(2024, 1, 10)}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), "grant-expired"),
+        ({"territory": "US"}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), "territory-mismatch"),
+        ({"territory": None}, {}, ("verified", GOOD, GOOD), ("approved", GOOD), "territory-mismatch"),
+        ({}, {"language": "ta"}, ("verified", GOOD, GOOD), ("approved", GOOD), "language-mismatch"),
+        ({}, {}, ("verified", GOOD, GOOD), ("rejected", GOOD), "no-approval"),
+        ({}, {}, ("verified", GOOD, GOOD), ("approved", "old"), "digest-not-bound"),
     ],
 )
 def test_each_denial(spark, request_change, grant_change, release, approval, denial):
     ask, grant = BASE | request_change, GRANT | grant_change
-    requests = frame(spark, "request_id int, release_key string, operation string, digest string, territory string, language string, day date", (1, *ask.values()))
-    grants = frame(spark, "release_key string, operation string, state string, territory string, language string, effective_from date, effective_to date", tuple(grant.values()))
-    releases = frame(spark, "release_key string, digest string, status string", ("r", *release))
-    approvals = frame(spark, "release_key string, decision string, digest string, created_at int", ("r", "approved", "d", 0), ("r", *approval, 1))
+    requests = frame(spark, "request_id int, release_key string, component_key string, operation string, territory string, language string, day date", (1, *ask.values()))
+    grants = frame(spark, "release_key string, component_key string, operation string, state string, territory string, language string, effective_from date, effective_to date", tuple(grant.values()))
+    releases = frame(spark, "release_key string, status string, artifact_digest string, evidence_digest string", ("r", *release))
+    approvals = frame(spark, "release_key string, component_key string, decision string, digest string, created_at int", ("r", "c", "approved", GOOD, 0), ("r", "c", *approval, 1))
     assert gate.authorize(requests, releases, grants, approvals).first()["denial"] == denial
 
 
+def test_one_licence_for_mixed_components(spark):
+    components = frame(spark, "release string, evidence string, paths string", ("a", "e", "p"), ("a", "e", "q"), ("b", "e", "p"), ("b", "e", "p"), ("c", "e", "p"), ("c", "f", "q"), ("d", "e", "p"))
+    assert rows(checks.mixed_licences(components, "release", "evidence", "paths")) == [("a", 2, 2)]
+
+
+def test_rows_by_caller(spark):
+    table = frame(spark, "package_id int, owner_id int", (1, 7), (2, 8))
+    published = frame(spark, "package_id int, locale string", (1, "en"))
+    seen = {role: rows(gate.visible_rows(table, role, published, 8)) for role in ("anon", "authenticated", "owner", "service", "other")}
+    assert seen == {"anon": [(1, 7)], "authenticated": [(1, 7)], "owner": [(2, 8)], "service": [(1, 7), (2, 8)], "other": []}
+    assert rows(gate.visible_rows(table, "anon")) == []
+    for role, privileged, error in (("anon", True, "public"), ("importer", False, "importer"), ("editor", True, "importer")):
+        with pytest.raises(PermissionError, match=error):
+            gate.assert_can_import(role, privileged)
+    gate.assert_can_import("service_role", True)
+
+
+def test_snapshots(spark):
+    df = frame(spark, "lang string", ("en",), ("xx",), (None,))
+    assert rows(checks.outside_snapshot(df, "lang", frame(spark, "tag string", ("en",)), "/language")) == [("/language", "xx")]
+    assert rows(checks.outside_snapshot(df, "lang", None, "/language")) == [] and checks.unknown_columns(df, ["key"]) == ["lang"]
+
+
 @pytest.mark.parametrize("change", ["none", "future", "rights", "release", "rejected", "stale"])
 def test_the_gate_needs_every_condition(spark, change):
     day = datetime.datetime
