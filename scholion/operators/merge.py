@@ -55,6 +55,35 @@ def pull_merge(local: DataFrame, remote: DataFrame, tombstones: DataFrame, keys:
     return merged.join(dead, keys, "left").filter(F.col("deleted_at").isNull() | (F.col("created_at") > F.col("deleted_at"))).drop("deleted_at")
 
 
+def recents(target: DataFrame, incoming: DataFrame, owner: str, key: str, ts: str, keep: int) -> DataFrame:
+    """(owner, key, ``ts``): the newest time of each key after the incoming rows, and of each owner the newest ``keep`` keys."""
+    from scholion.operators.ordinals import newest
+
+    merged = target.select(owner, key, ts).unionByName(incoming.select(owner, key, ts)).groupBy(owner, key).agg(F.max(ts).alias(ts))
+    return newest(merged, [owner], [F.desc(ts), F.asc(key)], keep, "_rank").drop("_rank")
+
+
+def ledger_actions(registry: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(``version``, ``action``) for migrations (``version``, ``name``, ``sql``) against those applied (``version``, ``name``, ``sql_sha256``).
+
+    ``invalid-version``, ``invalid-name``, ``empty-migration`` and ``duplicate-version`` come before anything
+    is applied; ``ledger-drift`` where what was applied has changed; else ``skip`` or ``apply``.
+    """
+    digest = F.concat(F.lit("sha256:"), F.sha2("sql", 256))
+    counted = registry.join(registry.groupBy("version").agg(F.count(F.lit(1)).alias("_n")), "version")
+    known = ledger.select("version", F.col("name").alias("_name"), F.col("sql_sha256").alias("_digest"))
+    action = (
+        F.when(F.col("version") <= 0, "invalid-version")
+        .when(~F.col("name").rlike("^[a-z][a-z0-9_]*$"), "invalid-name")
+        .when(F.trim("sql") == "", "empty-migration")
+        .when(F.col("_n") > 1, "duplicate-version")
+        .when(F.col("_digest").isNull(), "apply")
+        .when((F.col("_name") != F.col("name")) | (F.col("_digest") != digest), "ledger-drift")
+        .otherwise("skip")
+    )
+    return counted.join(known, "version", "left").select("version", action.alias("action")).distinct()
+
+
 def changed_keys(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """What an append-only table must not show: keys that are gone (``removed``) or whose other columns differ (``changed``)."""
     rest = sorted(set(before.columns) - set(keys))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from scholion.operators.gate import published_rows
 from scholion.operators.joins import band_join
@@ -89,7 +88,7 @@ def bundle_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("context_bundle_doc")
 def bundle_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document for each passage: its entities, relevance, relationships and claims as ordered arrays, empty where it has none."""
-    here = _here(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # five branches read it; a lost part is computed again
+    here = _here(spark, sf_dir)  # five branches read it: its exchanges are made once and shared
     branches = {
         "entities": bundle_entities(spark, sf_dir, here),
         "mentions": bundle_mentions(spark, sf_dir, here),
@@ -108,20 +107,46 @@ def bundle_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(
-    "curation_build",
-    """WITH m AS (SELECT d.doc_id, d.source, regexp_matches(d.text, '(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS quoted, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
-    g AS (SELECT source, count(*) AS verses, count(*) FILTER (quoted) AS explicit, count(*) FILTER (NOT quoted) AS inferred, count(*) FILTER (quality IS NULL) AS zero_refs, count(DISTINCT coalesce(quality, 9) * 10 + coalesce(toxic, 9)) AS groups FROM m GROUP BY source)
-    SELECT source, verses, explicit, inferred, zero_refs, groups, CASE WHEN zero_refs = verses THEN 'complete_zero' ELSE 'complete_with_records' END AS result, CAST(ceil(verses / 150.0) AS BIGINT) AS jobs FROM g""",
-)
-def curation_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books with what curating them makes: graded attestations, coverage groups and jobs."""
-    from scholion.functions.text import bounded_pattern
+def _curation_sql() -> str:
+    from scholion.plans.texts import _BOTH, _GROUP, _HITS, _SPAN, _THAT
+
+    person = f"regexp_matches(regexp_replace(regexp_replace(text, '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_THAT}')"
+    return f"""WITH {_HITS}, v AS (SELECT doc_id, source, CASE WHEN NOT regexp_matches(text, '{_THAT}') THEN 'person' WHEN {person} THEN 'person' WHEN regexp_matches(text, '{_SPAN % _GROUP}') THEN 'group' ELSE 'territory' END AS sense FROM documents),
+    q AS (SELECT doc_id, count(*) AS n FROM hits WHERE quote = 'the' GROUP BY doc_id),
+    l AS (SELECT DISTINCT v.doc_id, v.source, CASE WHEN sense = 'group' THEN -1 ELSE a.entity_id + CAST(a.entity_id % 3 = 0 AS INT) END AS entity_id, coalesce(q.n, 0) AS n FROM attestations a JOIN v ON v.doc_id = a.reference_id LEFT JOIN q ON q.doc_id = v.doc_id WHERE sense <> 'territory'),
+    s AS (SELECT v.source, v.doc_id, coalesce(string_agg(CAST(entity_id AS VARCHAR), ',' ORDER BY CAST(entity_id AS VARCHAR)), '') AS signature, count(l.entity_id) AS links, count(*) FILTER (l.n >= 2) AS explicit, count(*) FILTER (l.n = 1) AS implied, count(*) FILTER (l.n = 0) AS inferred FROM v LEFT JOIN l ON l.doc_id = v.doc_id GROUP BY v.source, v.doc_id)
+    SELECT source, count(*) AS verses, CAST(sum(links) AS BIGINT) AS links, CAST(sum(explicit) AS BIGINT) AS explicit, CAST(sum(implied) AS BIGINT) AS implied, CAST(sum(inferred) AS BIGINT) AS inferred, count(DISTINCT signature) AS groups, count(*) FILTER (signature = '') AS zero_refs, CASE WHEN count(*) FILTER (signature = '') = count(*) THEN 'complete_zero' ELSE 'complete_with_records' END AS result, CAST(ceil(count(*) / 150.0) AS BIGINT) AS jobs FROM s GROUP BY source"""
 
-    joined = raw(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").rlike(bounded_pattern("the")).alias("quoted")).join(raw(spark, sf_dir, "labels"), "doc_id", "left")
-    signature = F.concat_ws(":", F.coalesce("quality", F.lit(9)), F.coalesce("toxic", F.lit(9)))
-    built = joined.groupBy("source").agg(F.count(F.lit(1)).alias("verses"), F.count_if("quoted").alias("explicit"), F.count_if(~F.col("quoted")).alias("inferred"), F.count_if(F.col("quality").isNull()).alias("zero_refs"), F.countDistinct(signature).alias("groups"))
-    return built.withColumns({"result": F.when(F.col("zero_refs") == F.col("verses"), "complete_zero").otherwise("complete_with_records"), "jobs": F.ceil(F.col("verses") / 150)})
+
+@query("curation_build", _curation_sql())
+def curation_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books with what curating them makes.
+
+    Links of entities to verses go over a bridge of superseded keys; what a verse means by the name
+    moves its links to the collective or drops them; a link is explicit where a verse quotes the name
+    where its selector says, strongly implied where it quotes it elsewhere, else inferred; verses of
+    equal sets of entities form coverage groups; verses make jobs.
+    """
+    from scholion.functions import text
+    from scholion.operators.checks import regraded
+    from scholion.operators.packages import remapped
+    from scholion.plans.texts import _GROUP, _LAND
+
+    docs = raw(spark, sf_dir, "documents")
+    sense = F.coalesce(text.sense(F.col("text"), ("that",), text.governed(_GROUP, "that"), text.governed(_LAND, "that")), F.lit("person"))
+    spans = text.quote_positions(F.col("text"), "the")
+    verses = docs.select("doc_id", "source", sense.alias("sense"), F.size(spans).alias("quotes"))
+    bridge = raw(spark, sf_dir, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey AS old", "p_partkey + 1 AS new")
+    seen = remapped(bind.attestations(spark, sf_dir).select(F.col("reference_id").alias("doc_id"), "entity_id").distinct(), "entity_id", bridge)
+    links = seen.join(verses, "doc_id").filter("sense <> 'territory'").withColumn("entity_id", F.when(F.col("sense") == "group", -1).otherwise(F.col("entity_id")))
+    links = links.select("doc_id", "entity_id", F.when(F.col("quotes") > 0, "explicit").otherwise("inferred").alias("basis")).distinct()
+    links = regraded(links, verses.filter("quotes >= 2"), ["doc_id"])
+    basis = F.col("basis")
+    sets = links.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("entity_id").cast("string"))), ",").alias("signature"), F.count(F.lit(1)).alias("links"), F.count_if(basis == "explicit").alias("explicit"), F.count_if(basis == "strongly_implied").alias("implied"), F.count_if(basis == "inferred").alias("inferred"))
+    every = verses.select("doc_id", "source").join(sets, "doc_id", "left").fillna({"signature": "", "links": 0, "explicit": 0, "implied": 0, "inferred": 0})
+    sums = [F.sum(x).alias(x) for x in ("links", "explicit", "implied", "inferred")]
+    zero, n = F.count_if(F.col("signature") == ""), F.count(F.lit(1))
+    return every.groupBy("source").agg(n.alias("verses"), *sums, F.countDistinct("signature").alias("groups"), zero.alias("zero_refs"), F.when(zero == n, "complete_zero").otherwise("complete_with_records").alias("result"), F.ceil(n / 150).alias("jobs"))
 
 
 @query("preview_connections", "SELECT DISTINCT o.o_custkey AS passage, p.p_name AS note FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey WHERE p.p_type = 'ECONOMY' AND l.l_suppkey >= 10")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,62 @@ def by_kind(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """(path, kind): the first kind whose key a JSON file has at its top; null for none."""
     found = F.coalesce(*(F.when(F.array_contains(F.json_object_keys("text"), key), kind) for key, kind in kinds.items()))
     return files.select("path", found.alias("kind"))
+
+
+def translation_map(books: DataFrame) -> DataFrame:
+    """(book, chapter, verse, text) with one row for each address: what a translation says there."""
+    return flatten_books(books).groupBy("book", "chapter", "verse").agg(F.min("text").alias("text"))
+
+
+def verse_text(books: DataFrame, book: str, chapter: int, verse: int | None = None) -> DataFrame:
+    """A chapter's verses, or one of them."""
+    found = flatten_books(books.filter(F.col("osis") == book)).filter(F.col("chapter") == chapter)
+    return found if verse is None else found.filter(F.col("verse") == verse)
+
+
+def without_identified(places: DataFrame) -> DataFrame:
+    """Places that no other place is identified as."""
+    taken = places.select(F.explode("identified").alias("place_id")).distinct()
+    return places.join(taken, "place_id", "left_anti")
+
+
+def person_extras(persons: DataFrame) -> DataFrame:
+    """(person_id, slug, notes, uncertain) of persons; whose notes doubt who they are is uncertain."""
+    from scholion.functions.keys import slugify
+    from scholion.functions.text import uncertain
+
+    notes = F.concat_ws(" ", "person_notes", "unique_attribute")
+    return persons.select("person_id", F.concat(F.lit("p-"), slugify(F.col("person_id"))).alias("slug"), notes.alias("notes"), uncertain(notes).alias("uncertain"))
+
+
+DATASET = "chapter struct<number:int,content:array<struct<type:string,number:int,content:array<string>>>>"
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """(path, chapter, t, n, text) of a raw dataset's chapter files: headings and verses, whose content mixes strings and objects with a text."""
+    from scholion.functions.text import plain_text
+
+    rows = spark.read.schema(DATASET).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.col("_metadata.file_path").alias("path"), F.col("chapter.number").alias("chapter"), F.posexplode("chapter.content").alias("place", "block"))
+    said = F.transform("block.content", lambda x: F.when(F.startswith(x, F.lit("{")), F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))).otherwise(x))
+    kind = F.when(F.col("block.type") == "heading", "h").when(F.col("block.type") == "verse", "v")
+    return rows.select("path", "chapter", "place", kind.alias("t"), F.col("block.number").alias("n"), plain_text(F.array_join(said, " ")).alias("text")).filter("t IS NOT NULL")
+
+
+def order_from_source(files: DataFrame, expected: int) -> DataFrame:
+    """(osis, testament, position) from a registry's source text; fails unless it has as many books as expected."""
+    pattern = r"osis:\s*'([A-Za-z1-9]+)'[^}]*?testament:\s*'(OT|NT)'"
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    checked = F.when(F.size(found) == expected, found).otherwise(F.raise_error(F.concat(F.lit(f"expected {expected} books, found "), F.size(found).cast("string"))))
+    return files.select(F.posexplode(checked).alias("position", "x")).select(F.regexp_extract("x", pattern, 1).alias("osis"), F.regexp_extract("x", pattern, 2).alias("testament"), (F.col("position") + 1).alias("position"))
+
+
+def first_available(*sources: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of the first source that can be read and has any; of the last one otherwise. The driver decides, before a job is planned."""
+    for source in sources[:-1]:
+        try:
+            found = source()
+            if not found.isEmpty():
+                return found
+        except Exception:  # noqa: BLE001  whatever keeps a source from being read, the next one is asked
+            continue
+    return sources[-1]()

@@ -3,69 +3,117 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "version string, number long"
+_POINTER = "version string, folder string, number long"
+
+
+def rows_digest(columns: list[str], condition: Column | None = None) -> list[Column]:
+    """Aggregates that together are a digest of a multiset of rows, whatever their order: the count, and sums of the quarters of each row's SHA-256."""
+    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    quarters = [F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    return [F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).cast("string").alias(f"q{k}") for k, x in enumerate(quarters))]
+
+
+def _joined() -> Column:
+    return F.sha2(F.concat_ws(":", "n", *(f"q{k}" for k in range(4))), 256)
 
 
 def content_version(df: DataFrame) -> str:
-    """A digest of the rows, whatever their order: equal for equal multisets of rows."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(row, F.lit(1 << 31))), F.lit(0)).alias("low"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("mixed")).first()
-    return f"{found['n']:x}-{found['low']:x}-{found['mixed'] & (1 << 64) - 1:016x}"
+    """A digest of the rows, whatever their order: equal for equal multisets of rows, in one pass that aggregates before the shuffle."""
+    return df.agg(*rows_digest(df.columns)).select(_joined().alias("x")).first()["x"]
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(_POINTER).parquet(f"{root}/pointer") if there else None
+    files, place = _file_system(spark, f"{root}/pointer")
+    return spark.read.schema(_POINTER).parquet(f"{root}/pointer") if files.exists(place) else None
 
 
-def current_version(spark: SparkSession, root: str) -> tuple[str, int] | None:
+def _current(spark: SparkSession, root: str):
     pointers = _pointers(spark, root)
-    last = pointers.orderBy(F.desc("number")).first() if pointers is not None else None
+    return pointers.orderBy(F.desc("number")).first() if pointers is not None else None
+
+
+def current_version(spark: SparkSession, root: str) -> tuple[str, int] | None:
+    last = _current(spark, root)
     return (last["version"], last["number"]) if last else None
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    found = current_version(spark, root)
+    found = _current(spark, root)
     if not found:
         raise ValueError(f"nothing is published in {root}")
-    return spark.read.parquet(f"{root}/versions/{found[0]}")
+    return spark.read.parquet(f"{root}/versions/{found['folder']}")
+
+
+def drifted(df: DataFrame, root: str) -> bool:
+    """Whether what would be published isn't what is."""
+    now = current_version(df.sparkSession, root)
+    return not now or now[0] != content_version(df)
 
 
 def publish(df: DataFrame, root: str, findings: Callable[[DataFrame], DataFrame] | None = None) -> bool:
-    """Write ``df`` as a new version, check it, and point to it; false if it is the current one.
+    """Write ``df`` to a folder of its own, check it, and point to it; false if its rows are the current ones.
 
-    Readers see the old version until the pointer moves, so a run that fails half way changes
-    nothing for them. ``findings`` gets what was written and returns what is wrong with it.
+    Rows are computed once: their digest and the findings are of what was written. Readers see the
+    old version until the pointer moves, so a run that fails half way changes nothing for them, and
+    publishing earlier rows again never touches the folder that they had. ``findings`` gets what was
+    written and returns what is wrong with it.
     """
-    spark, version = df.sparkSession, content_version(df)
-    now = current_version(spark, root)
-    if now and now[0] == version:
+    spark, folder = df.sparkSession, uuid.uuid4().hex
+    path = f"{root}/versions/{folder}"
+    df.write.parquet(path)
+    written, now = spark.read.schema(df.schema).parquet(path), _current(spark, root)
+    version = content_version(written)
+    wrong = findings(written).take(5) if findings is not None else []
+    if wrong or now and now["version"] == version:
+        files, place = _file_system(spark, path)
+        files.delete(place, True)
+        if wrong:
+            raise ValueError(f"not published: {wrong}")
         return False
-    path = f"{root}/versions/{version}"
-    df.write.mode("overwrite").parquet(path)
-    if findings is not None and (wrong := findings(spark.read.schema(df.schema).parquet(path)).take(5)):
-        raise ValueError(f"not published: {wrong}")
-    spark.createDataFrame([(version, now[1] + 1 if now else 1)], _POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    spark.createDataFrame([(version, folder, now["number"] + 1 if now else 1)], _POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return True
 
 
-def replace_slices(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Replace the partitions of ``keys`` that ``df`` has rows for; the others stay."""
+def replace_slices(df: DataFrame, path: str, keys: list[str], cleared: list[dict[str, object]] | None = None) -> None:
+    """Replace the partitions of ``keys`` that ``df`` has rows for; the others stay, but for those ``cleared``: what was asked for and came back empty."""
     df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    for values in cleared or []:
+        files, place = _file_system(df.sparkSession, "/".join([path, *(f"{k}={values[k]}" for k in keys)]))
+        files.delete(place, True)
 
 
 def manifest(df: DataFrame, file: Column, text: str = "text") -> DataFrame:
-    """(file, rows, bytes, digest) for each file: the digest is that of its rows' digests in order."""
-    row = F.sha2(F.coalesce(text, F.lit("")), 256)
-    listed = df.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes"), F.array_join(F.array_sort(F.collect_list(row)), "").alias("all"))
-    return listed.select("file", "rows", "bytes", F.concat(F.lit("sha256:"), F.sha2("all", 256)).alias("digest"))
+    """(file, rows, bytes, digest) for each file: the digest is that of its multiset of texts, so no file's rows ever meet in one place."""
+    listed = df.select(file.alias("file"), F.coalesce(text, F.lit("")).alias("text")).groupBy("file").agg(*rows_digest(["text"]), F.sum(F.octet_length("text")).alias("bytes"))
+    return listed.select("file", F.col("n").alias("rows"), "bytes", F.concat(F.lit("sha256:"), _joined()).alias("digest"))
+
+
+def cached_documents(cache: DataFrame, incoming: DataFrame, keys: list[str], version: int) -> DataFrame:
+    """A cache (keys, ``schema_version``, ``document``) after documents of a schema's version were written over it by key."""
+    fresh = incoming.withColumn("schema_version", F.lit(version)).select(*cache.columns)
+    return cache.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+
+
+def readable_documents(cache: DataFrame, version: int) -> DataFrame:
+    """Documents of that schema version; others read as absent."""
+    return cache.filter(F.col("schema_version") == version)
+
+
+def rendered(rows: DataFrame, order: str, line: Column, head: str, tail: str) -> str:
+    """A registry's rows as source text, one line each in order; for registries, which are small."""
+    lines = rows.select(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"]), "\n").alias("x")).first()["x"]
+    return f"{head}\n{lines}\n{tail}\n"
 
 
 def safe_path(root: str, name: str) -> str:

@@ -157,6 +157,50 @@ def test_publish_skips_what_is_there_and_keeps_what_fails_out(spark, tmp_path):
     assert sinks.publish(df.limit(1), root) and sinks.read_current(spark, root).count() == 1
 
 
+def test_earlier_rows_can_be_published_again(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    a, b = frame(spark, "k int, v string", (1, "a"), (1, "a"), (2, None)), frame(spark, "k int, v string", (1, "a"), (2, None))
+    assert sinks.publish(a, root)
+    first = sinks.read_current(spark, root)
+    assert sinks.publish(b, root) and sinks.publish(a, root) and not sinks.publish(a, root)
+    assert rows(first) == rows(a) == rows(sinks.read_current(spark, root)) and sinks.current_version(spark, root)[1] == 3
+    assert not sinks.drifted(a, root) and sinks.drifted(b, root)
+
+
+def test_manifests_and_caches(spark):
+    df = frame(spark, "f string, text string", ("x", "a"), ("x", "bé"), ("y", None))
+    got = {r["file"]: (r["rows"], r["bytes"], r["digest"]) for r in sinks.manifest(df, F.col("f")).collect()}
+    again = {r["file"]: r["digest"] for r in sinks.manifest(df.orderBy(F.desc("text")), F.col("f")).collect()}
+    assert got["x"][:2] == (2, 4) and got["y"][:2] == (1, 0) and {k: v[2] for k, v in got.items()} == again and got["x"][2] != got["y"][2]
+    cache = frame(spark, "scope string, schema_version int, document string", ("s", 1, "old"), ("t", 1, "kept"))
+    after = sinks.cached_documents(cache, frame(spark, "scope string, document string", ("s", "new")), ["scope"], 2)
+    assert rows(sinks.readable_documents(after, 2)) == [("s", 2, "new")] and rows(sinks.readable_documents(after, 1)) == [("t", 1, "kept")]
+    assert sinks.rendered(frame(spark, "o int, k string", (2, "b"), (1, "a")), "o", F.format_string("  '%s',", "k"), "[", "]") == "[\n  'a',\n  'b',\n]\n"
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "1.json").write_text(json.dumps({"chapter": {"number": 1, "content": [{"type": "heading", "content": ["A  head"]}, {"type": "verse", "number": 1, "content": ["In", {"text": "the  start"}, {"noteId": 3}]}, {"type": "line_break"}]}}))
+    assert rows(readers.read_dataset(spark, str(tmp_path / "1.json")).select("chapter", "t", "n", "text")) == [(1, "h", None, "A head"), (1, "v", 1, "In the start")]
+    source = frame(spark, "text string", ("{ osis: 'Gen', x: 1, testament: 'OT' }, { osis: 'Mat', testament: 'NT' }",))
+    assert rows(readers.order_from_source(source, 2)) == [("Gen", "OT", 1), ("Mat", "NT", 2)]
+    with pytest.raises(Exception, match="expected 3 books"):
+        readers.order_from_source(source, 3).collect()
+    places = frame(spark, "place_id string, identified array<string>", ("a", ["b"]), ("b", []), ("c", []))
+    assert rows(readers.without_identified(places).select("place_id")) == [("a",), ("c",)]
+    persons = frame(spark, "person_id string, person_notes string, unique_attribute string", ("A 1", "perhaps his son", None), ("B", None, "king"))
+    assert rows(readers.person_extras(persons).select("slug", "uncertain")) == [("p-a-1", True), ("p-b", False)]
+    books = readers.as_books(frame(spark, "conv_id string, turn int, kind string, text string", ("Gen", 1, "v", "one"), ("Gen", 2, "v", "two")))
+    assert rows(readers.verse_text(books, "Gen", 1, 2)) == [("Gen", 1, 2, "two")] and readers.translation_map(books).count() == 2
+    assert rows(readers.first_available(lambda: spark.read.parquet(f"{tmp_path}/none"), lambda: places.limit(0), lambda: places.select("place_id"))) == [("a",), ("b",), ("c",)]
+
+
+def test_slices_that_come_back_empty_are_cleared(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    sinks.replace_slices(frame(spark, "k int, v string", (1, "a"), (2, "c")), path, ["k"])
+    sinks.replace_slices(frame(spark, "k int, v string", (1, "x")), path, ["k"], cleared=[{"k": 2}])
+    assert rows(spark.read.parquet(path).select("k", "v")) == [(1, "x")]
+
+
 def test_slices_are_replaced_whole(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     sinks.replace_slices(frame(spark, "k int, v string", (1, "a"), (1, "b"), (2, "c")), path, ["k"])
