@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,23 +25,32 @@ def bounded_pattern(quote: str) -> str:
     return f"(?<![{_WORD}]){re.escape(quote)}(?![{_WORD}])"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is computed once: inside a lambda an outer expression would be computed again for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def positions(text: Column, pattern: str) -> Column:
     """``array<struct<start, end>>`` of the leftmost non-overlapping matches of a pattern, by the lengths of the pieces between."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(gaps, found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x).alias("size")))
+    lengths = F.filter(F.zip_with(gaps, found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x).alias("size"))), lambda x: x["size"].isNotNull())
     none = F.array().cast("array<struct<start:int,end:int>>")
-    # summed up within runs of about as many matches as there are runs: appending to one array would take time in their square
-    run = F.greatest(F.ceil(F.sqrt(F.size(found))).cast("int"), F.lit(8))
-    runs = F.transform(F.sequence(F.lit(0), F.size(found) - 1, run), lambda k: F.slice(F.slice(lengths, F.lit(1), F.size(found)), k + 1, run))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         return F.struct((begin + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + x["size"]).alias("end")))).alias("out"))
 
-    summed = F.transform(runs, lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
-    before = F.aggregate(summed, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
-    shifted = F.zip_with(summed, F.slice(before, F.lit(1), F.size(summed)), lambda x, at: F.transform(x["out"], lambda y: F.struct((y["start"] + at).alias("start"), (y["end"] + at).alias("end"))))
-    return F.when(text.rlike(pattern), F.flatten(shifted)).otherwise(none)
+    # summed up within runs of about as many matches as there are runs: appending to one array would take time in their square
+    def summed(xs: Column) -> Column:
+        run = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(8))
+        runs = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, run), lambda k: F.slice(xs, k + 1, run))
+        return F.transform(runs, lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+
+    def shifted(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda x, at: F.transform(x["out"], lambda y: F.struct((y["start"] + at).alias("start"), (y["end"] + at).alias("end")))))
+
+    return F.when(text.rlike(pattern), bound(bound(lengths, summed), shifted)).otherwise(none)
 
 
 def quote_positions(text: Column, quote: str) -> Column:
@@ -149,7 +159,7 @@ def sense(text: Column, names: tuple[str, ...], group: str, territory: str) -> C
     """
     spans = F.concat(positions(text, group), positions(text, territory))
     said = F.concat(*(quote_positions(text, x) for x in names))
-    bare = F.exists(said, lambda x: ~F.exists(spans, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+    bare = bound(spans, lambda known: F.exists(said, lambda x: ~F.exists(known, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]))))
     return F.when(bare, "person").when(text.rlike(group), "group").when(text.rlike(territory), "territory").when(F.size(said) > 0, "person")
 
 
@@ -185,12 +195,14 @@ def bounded_occurrences(text: Column, phrase: str) -> Column:
 
 def quote_at(text: Column, quote: str, start: Column) -> Column:
     """A struct of ``ordinal``, ``start`` and the context of the occurrence that begins at a recorded offset, or else of the first; null without any."""
-    spans = quote_positions(text, quote)
-    at = F.array_position(F.transform(spans, lambda x: x["start"]), start.cast("int"))
-    ordinal = F.greatest(F.coalesce(at, F.lit(0)), F.lit(1)).cast("int")
-    span = F.try_element_at(spans, ordinal)
-    around = context(text, span)
-    return F.when(span.isNotNull(), F.struct(ordinal.alias("ordinal"), span["start"].alias("start"), around["prefix"].alias("prefix"), around["suffix"].alias("suffix")))
+    def chosen(spans: Column) -> Column:
+        at = F.array_position(F.transform(spans, lambda x: x["start"]), start.cast("int"))
+        ordinal = F.greatest(F.coalesce(at, F.lit(0)), F.lit(1)).cast("int")
+        span = F.try_element_at(spans, ordinal)
+        around = context(text, span)
+        return F.when(span.isNotNull(), F.struct(ordinal.alias("ordinal"), span["start"].alias("start"), around["prefix"].alias("prefix"), around["suffix"].alias("suffix")))
+
+    return bound(quote_positions(text, quote), chosen)
 
 
 def segments(text: Column, anchors: list[tuple[str, str, int]]) -> Column:

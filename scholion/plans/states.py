@@ -71,7 +71,7 @@ def kinds_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.insert_ignore(bind.memberships(spark, sf_dir), new, ["row_kind", "row_id", "package_id"]).groupBy("row_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("quote_at_offset", f"WITH {_HITS} SELECT doc_id, CAST(h.ordinal AS INT) AS ordinal, CAST(h.start AS INT) AS start FROM documents d JOIN hits h USING (doc_id) WHERE h.quote = 'the' AND h.ordinal = coalesce((SELECT min(x.ordinal) FROM hits x WHERE x.doc_id = d.doc_id AND x.quote = 'the' AND x.start = d.doc_id % 40), 1)")
+@query("quote_at_offset", f"WITH {_HITS}, x AS (SELECT doc_id, min(ordinal) AS o FROM hits WHERE quote = 'the' AND start = doc_id % 40 GROUP BY doc_id) SELECT h.doc_id, CAST(h.ordinal AS INT) AS ordinal, CAST(h.start AS INT) AS start FROM hits h LEFT JOIN x USING (doc_id) WHERE h.quote = 'the' AND h.ordinal = coalesce(x.o, 1)")
 def quote_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.quote_at(F.col("text"), "the", F.col("doc_id") % 40)
     return raw(spark, sf_dir, "documents").select("doc_id", found.alias("x")).filter("x IS NOT NULL").select("doc_id", "x.ordinal", "x.start")
