@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -84,37 +85,82 @@ def numbered_kmers(text: str, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return _mix(value * _MULTIPLIER + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), place
 
 
-def order_minhash(text: str, k: int = K, width: int = WIDTH, sketches: int = SKETCHES) -> np.ndarray:
-    """The fingerprint: ``sketches`` unsigned 32-bit integers, all zero for the empty text."""
+@dataclass
+class Sketch:
+    """A fingerprint and what it was taken from: for each hash function (``rows``) the values below ``share``, their k-mers and places."""
+
+    fingerprint: np.ndarray
+    share: float
+    rows: np.ndarray
+    values: np.ndarray
+    kmers: np.ndarray
+    places: np.ndarray
+
+
+def _candidates(kmers: np.ndarray, places: np.ndarray, sketches: int, share: float) -> tuple[np.ndarray, ...]:
+    """The rows, values, k-mers and places where a hash function gives less than ``share`` of its range."""
+    low, by = (kmers >> np.uint64(32)).astype(np.uint32), _functions(sketches)[:, None]
+    most = None if share >= 1 else np.uint32(share * 2**32)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    for at in range(0, len(low), _CHUNK):
+        part = low[at : at + _CHUNK]
+        values = hashed(part[None, :], by).ravel()
+        hit = np.flatnonzero(values < most) if most is not None else np.arange(len(values))
+        rows = hit // len(part)
+        found.append((rows, values[hit], hit - rows * len(part) + at))
+    rows, values, columns = (np.concatenate(x) for x in zip(*found, strict=True))
+    return rows, values, kmers[columns], places[columns]
+
+
+def _least(found: tuple[np.ndarray, ...], take: int, sketches: int) -> np.ndarray | None:
+    """The fingerprint of the ``take`` least candidates of each function, in text order; none where a function has fewer."""
+    rows, values, kmers, places = found
+    counts = np.bincount(rows, minlength=sketches)
+    if counts.min() < take:
+        return None
+    order = np.lexsort((places, rows.astype(np.uint64) << np.uint64(32) | values))
+    chosen = order[(np.cumsum(counts) - counts)[:, None] + np.arange(take)]
+    chosen = np.take_along_axis(chosen, np.argsort(places[chosen], axis=1), axis=1)
+    out = np.full(sketches, take, dtype=np.uint64)
+    for j in range(take):
+        out = _mix((out ^ kmers[chosen[:, j]]) * _MULTIPLIER)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def sketched(text: str, k: int = K, width: int = WIDTH, sketches: int = SKETCHES) -> Sketch:
+    """The text's fingerprint with its candidates."""
     kmers, places = numbered_kmers(text, k)
     n = len(kmers)
     if not n:
-        return np.zeros(sketches, dtype=np.uint32)
-    take, low = min(width, n), (kmers >> np.uint64(32)).astype(np.uint32)
-    by = _functions(sketches)[:, None]
+        return Sketch(np.zeros(sketches, dtype=np.uint32), 1.0, *_candidates(kmers, places, sketches, 1.0))
     share = _CANDIDATES * width / n
     while True:
-        most = None if share >= 1 else np.uint32(share * 2**32)
-        keys = []
-        for at in range(0, n, _CHUNK):
-            part = low[at : at + _CHUNK]
-            values = hashed(part[None, :], by).ravel()
-            hit = np.flatnonzero(values < most) if most is not None else np.arange(len(values))
-            rows = hit // len(part)
-            keys.append((rows.astype(np.uint64), values[hit].astype(np.uint64), (hit - rows * len(part) + at).astype(np.uint64)))
-        rows, values, columns = (np.concatenate(x) for x in zip(*keys, strict=True))
-        counts = np.bincount(rows.astype(np.int64), minlength=sketches)
-        if most is None or counts.min() >= take:
-            break
+        found = _candidates(kmers, places, sketches, share)
+        out = _least(found, min(width, n), sketches)
+        if out is not None:
+            return Sketch(out, share, *found)
         share *= 4
-    order = np.lexsort((places[columns.astype(np.int64)], (rows << np.uint64(32)) | values))
-    heads = np.cumsum(counts) - counts
-    chosen = columns[order[heads[:, None] + np.arange(take)]].astype(np.int64)
-    chosen = np.take_along_axis(chosen, np.argsort(places[chosen], axis=1), axis=1)
-    out = np.full(sketches, take, dtype=np.uint64)
-    for j in range(take):
-        out = _mix((out ^ kmers[chosen[:, j]]) * _MULTIPLIER)
-    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def order_minhash(text: str, k: int = K, width: int = WIDTH, sketches: int = SKETCHES) -> np.ndarray:
+    """The fingerprint: ``sketches`` unsigned 32-bit integers, all zero for the empty text."""
+    return sketched(text, k, width, sketches).fingerprint
+
+
+def continued(before: Sketch, text: str, same: int, k: int = K, width: int = WIDTH, sketches: int = SKETCHES) -> np.ndarray:
+    """The fingerprint of a text that begins with the first ``same`` code points of another, whose sketch is known.
+
+    K-mers within that beginning have the same numbers and values in both texts, so only the others are hashed.
+    """
+    kmers, places = numbered_kmers(text, k)
+    if not len(kmers):
+        return np.zeros(sketches, dtype=np.uint32)
+    kept = max(0, same - k + 1)
+    old, new = before.places < kept, places >= kept
+    more = _candidates(kmers[new], places[new], sketches, before.share)
+    found = tuple(np.concatenate((x[old], y)) for x, y in zip((before.rows, before.values, before.kmers, before.places), more, strict=True))
+    out = _least(found, min(width, len(kmers)), sketches)
+    return order_minhash(text, k, width, sketches) if out is None else out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -203,18 +249,19 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fields = T.StructType([T.StructField(n, t) for n, t in zip(names, [T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType()], strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the document that waits for its follower: range, guest, id, hash, text, fingerprint, and how many rows it has
+        # the document that waits for its follower: range, guest, id, hash, text, sketch, and how many rows it has
         held: list | None = None
         rows: list[tuple] = []
 
-        def follow(text: str, mark: np.ndarray) -> None:
+        def follow(text: str, mark: Sketch) -> None:
             _, guest, was, _, before, own, copies = held
             if guest:
                 return
             cut = len(before) // 4
             edited = before[: len(before) - cut] + text[:cut]
-            after = order_minhash(edited, k, width, sketches)
-            row = (None if was == -(2**63) else was, len(before), hashlib.sha256(edited.encode()).hexdigest(), spell(own), spell(after), likeness(own, after), likeness(own, mark))
+            after = continued(own, edited, len(before) - cut, k, width, sketches)
+            mine = own.fingerprint
+            row = (None if was == -(2**63) else was, len(before), hashlib.sha256(edited.encode()).hexdigest(), spell(mine), spell(after), likeness(mine, after), likeness(mine, mark.fingerprint))
             rows.extend([row] * copies)
 
         for batch in batches:
@@ -231,7 +278,7 @@ def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if held is None or held[0] != span:
                     held = None
                 text = text.as_py()
-                mark = order_minhash(text, k, width, sketches)
+                mark = sketched(text, k, width, sketches)
                 if held is not None:
                     follow(text, mark)
                 held = [span, guest, name, hashed_text, text, mark, 1]
