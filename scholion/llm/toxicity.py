@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
-from itertools import chain
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,7 @@ LONGEST, WORDS, TEXTS = 48, 200_000, 10_000
 ALIKE = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
+_NUMBERS = Struct(f"={1 + len(STEMS)}i")
 
 
 def word_terms(word: str) -> list[str]:
@@ -189,7 +190,7 @@ class Index:
 
 
 class _Terms(dict):
-    """Word -> the numbers of its terms, as many for each word, in bytes; what isn't in the vocabulary has the number after the last."""
+    """Word -> the numbers of its terms, as many for each word, in bytes; what isn't in the vocabulary has the number after the last. Words without any aren't kept."""
 
     def __init__(self, terms: dict[str, int]) -> None:
         super().__init__()
@@ -200,8 +201,10 @@ class _Terms(dict):
 
     def __missing__(self, word: str) -> bytes:
         none, find = len(self.terms), self.terms.get
-        found = [find(word, none), *(find("^" + word[:k], none) if len(word) > k else none for k in STEMS)]
-        out = np.array(found, dtype=np.int32).tobytes() if min(found) < none else self.unknown
+        # the vocabulary has every beginning of its words, so a word whose least beginning isn't there has no term there
+        if find("^" + word[: STEMS[0]] if len(word) > STEMS[0] else word, none) == none:
+            return self.unknown
+        out = _NUMBERS.pack(find(word, none), *[find("^" + word[:k], none) if len(word) > k else none for k in STEMS])
         if len(word) <= LONGEST:
             self[word] = out
         return out
