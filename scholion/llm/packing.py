@@ -48,10 +48,10 @@ CACHED_WORDS, CACHED_LETTERS = 200_000, 48
 #: Control characters, the next line, the Mongolian vowel separator, the zero-width space and the
 #: byte order mark: white space that str.split() and the vocabulary file may see differently.
 _ODD_SPACE = "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)))
-#: Letters up to here, but for one, are lowered alike by Python and the tokenizer.
+#: Letters up to here are lowered alike by Python and the tokenizer, where what they become lies in this range too.
 _LATIN = "\u024f"
-#: What keeps a text from the short way: those, other scripts, and marks that may be special tokens.
-_SPECIAL = re.compile(f"[{_ODD_SPACE}İ]|[^\\x00-{_LATIN}]|<\\|")
+#: What keeps a lowered text from the short way: those, other scripts, and marks that may be special tokens.
+_SPECIAL = re.compile(f"[{_ODD_SPACE}]|[^\\x00-{_LATIN}]|<\\|")
 
 
 def _word_pattern() -> re.Pattern:
@@ -89,7 +89,7 @@ class _Words(dict):
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        found = self.tokenize(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters))
         ids = _packed([x.id for x in found])
         if len(word) <= CACHED_LETTERS:
             self[word] = ids
@@ -113,18 +113,23 @@ class TextEncoder:
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, _WORDS(text.lower())))
+    def _plain(self, lowered: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORDS(lowered)))
+
+    def _chunk(self, text: str) -> bytes:
+        lowered = text.lower()
+        return self._whole(text) if _SPECIAL.search(lowered) else self._plain(lowered)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        if not _SPECIAL.search(text):
-            return self._plain(text)
+        lowered = text.lower()
+        if not _SPECIAL.search(lowered):
+            return self._plain(lowered)
         if any(x in text for x in _ODD_SPACE):
             return self._whole(text)
-        return b"".join(self._whole(x) if _SPECIAL.search(x) else self._plain(x) for x in text.split())
+        return b"".join(map(self._chunk, text.split()))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

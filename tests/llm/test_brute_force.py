@@ -165,6 +165,19 @@ def test_tokens_are_the_tokenizers_own():
         assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_of_every_character_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    tokenizer, encoder = Tokenizer.from_file(path), packing.TextEncoder(path)
+    texts = [text for c in map(chr, range(0x530)) for text in (c, f"a{c}b", f"1{c}", f"q {c}Z")]
+    random.seed(2)
+    letters = [*map(chr, range(0x21)), "\x7f", *"aBz09'.,", *map(chr, range(0x180, 0x2B0)), *"ƏəĞğİıÖöŞşÜüƆɔƐɛŊŋƉɖƑƒƔɣƲʋ"]
+    texts += ["".join(random.choices(letters, k=random.randint(1, 60))) for _ in range(10_000)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_steps_hold_equal_counts():
     given = []
     packer = packing.Packer(0, lambda *x: given.append(x), 4096, packing.TIERS, packing.STEP_TOKENS)
