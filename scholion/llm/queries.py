@@ -10,6 +10,7 @@ from scholion.llm.chat import OP6_SQL, op6_chat
 from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.licenses import OP1_SQL, op1_licenses
+from scholion.llm.minhash import op13_minhash
 from scholion.llm.packing import op4_packing
 from scholion.llm.pii import op10_pii
 from scholion.llm.quality import op9_quality
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_pii": op10_pii,
+        "op13_minhash": op13_minhash,
     }
 
 
