@@ -244,7 +244,7 @@ def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
     ends = links
     for end in ("a", "b"):
         ends = ends.join(known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
-    more = materialize(components(ends.filter("a <> b").distinct()), "more")
+    more = materialize(components(ends.filter("a <> b").select("a", "b").distinct()), "more")
     tops = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
     grown = known.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     out = materialize(grown.union(more.join(known, "node", "left_anti").select("node", "root")), "grown")
