@@ -11,6 +11,7 @@ from scholion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from scholion.llm.fingerprint import op2_order_minhash
 from scholion.llm.licenses import OP1_SQL, op1_licenses
 from scholion.llm.minhash import op13_minhash
+from scholion.llm.negatives import OP11_SQL, op11_hard_negatives
 from scholion.llm.packing import op4_packing
 from scholion.llm.pii import op10_pii
 from scholion.llm.quality import op9_quality
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_pii": op10_pii,
+        "op11_hard_negatives": op11_hard_negatives,
         "op13_minhash": op13_minhash,
     }
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_licenses": OP1_SQL,
         "op5_decontaminate": OP5_SQL,
         "op6_chat": OP6_SQL,
+        "op11_hard_negatives": OP11_SQL,
     }
