@@ -13,6 +13,7 @@ from scholion.llm.licenses import OP1_SQL, op1_licenses
 from scholion.llm.minhash import op13_minhash
 from scholion.llm.negatives import OP11_SQL, op11_hard_negatives
 from scholion.llm.packing import op4_packing
+from scholion.llm.phrases import OP12_SQL, op12_phrases
 from scholion.llm.pii import op10_pii
 from scholion.llm.quality import op9_quality
 from scholion.llm.secrets import op7_secrets
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_pii": op10_pii,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_phrases": op12_phrases,
         "op13_minhash": op13_minhash,
     }
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": OP5_SQL,
         "op6_chat": OP6_SQL,
         "op11_hard_negatives": OP11_SQL,
+        "op12_phrases": OP12_SQL,
     }
