@@ -30,6 +30,22 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def running_sums(xs: Column) -> Column:
+    """For each number the sum of those before it. Sums are made within runs of about as many numbers as there are runs: appending to one array would take time in its square."""
+    zero = F.array(F.lit(0))
+
+    def summed(values: Column) -> Column:
+        run = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(8))
+        parts = F.transform(F.sequence(F.lit(0), F.size(values) - 1, run), lambda k: F.slice(values, k + 1, run))
+        return F.transform(parts, lambda part: F.aggregate(part, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+
+    def shifted(parts: Column) -> Column:
+        before = F.aggregate(parts, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x, -1))))
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda x, at: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + at)))
+
+    return bound(xs, lambda values: F.when(F.size(values) > 0, bound(summed(values), shifted)).otherwise(F.array().cast("array<int>")))
+
+
 def positions(text: Column, pattern: str) -> Column:
     """``array<struct<start, end>>`` of the leftmost non-overlapping matches of a pattern, by the lengths of the pieces between."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions.text import greedy_spans
 from scholion.operators.merge import bumped_revision
+from scholion.operators.needles import greedy_select
 from scholion.operators.ordinals import carried, islands, latest, newest
 from scholion.plans.registry import query
 from scholion.sources import bind
@@ -93,19 +94,6 @@ def greedy_spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_select(spans, ["doc_id"]).select("doc_id", "start", F.col("end").alias("stop"), "key")
 
 
-def greedy_select(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The spans (keys, ``start``, ``end``, ``key``) that ``greedy_spans`` keeps of each key's.
-
-    Spans that no chain of overlaps joins don't bear on one another, so the fold runs over chains,
-    which are short, instead of over whole texts.
-    """
-    frame = Window.partitionBy(*keys).orderBy("start", "end", "key")
-    reached = F.max("end").over(frame.rowsBetween(Window.unboundedPreceding, -1))
-    chained = islands(spans.withColumn("_reached", reached), keys, ["start", "end", "key"], F.col("_reached").isNull() | (F.col("start") >= F.col("_reached")), "_chain")
-    listed = chained.groupBy(*keys, "_chain").agg(F.collect_list(F.struct("start", "end", "key")).alias("spans"))
-    return listed.select(*keys, F.explode(greedy_spans(F.col("spans"))).alias("x")).select(*keys, "x.*")
-
-
 @query("revision_bump", "SELECT package_id, CASE WHEN package_id % 3 = 0 THEN revision WHEN package_id % 3 = 1 THEN revision + 1 ELSE 1 END AS revision FROM packages")
 def revision_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against a register that knows a third of the packages as they are, a third with other content, and a third not at all."""
