@@ -26,27 +26,49 @@ UNIQUE = {
 POINTERS = {
     "canonical": (
         ("reconciliations", "candidate_key", "candidate", "unknown-candidate"),
-        ("claims", "subject_key", "entity", "unresolved-entity"), ("claims", "object_key", "entity", "unresolved-entity"), ("claims", "object_scope", "scope", "unknown-scope"), ("claims", "citation_keys", "citation", "undefined-citation"),
+        ("claims", "subject_key", "entity", "unresolved-entity"), ("claims", "object_key", "entity", "unresolved-entity"), ("claims", "object_scope", "scope", "outside-authority"), ("claims", "citation_keys", "citation", "undefined-citation"),
         ("citations", "claim_keys", "claim", "undefined-claim"), ("citations", "evidence_key", "evidence", "undefined-evidence"),
         ("attestations", "entity_key", "entity", "unresolved-entity"), ("attestations", "claim_keys", "claim", "undefined-claim"),
-        ("relationships", "subject_key", "entity", "unresolved-entity"), ("relationships", "object_key", "entity", "unresolved-entity"), ("relationships", "claim_keys", "claim", "undefined-claim"), ("relationships", "scope_keys", "scope", "unknown-scope"),
-        ("events", "participant_keys", "entity", "unresolved-entity"), ("events", "place_keys", "entity", "unresolved-entity"), ("events", "scope_keys", "scope", "unknown-scope"),
+        ("relationships", "subject_key", "entity", "unresolved-entity"), ("relationships", "object_key", "entity", "unresolved-entity"), ("relationships", "claim_keys", "claim", "undefined-claim"), ("relationships", "scope_keys", "scope", "outside-authority"),
+        ("events", "participant_keys", "entity", "unresolved-entity"), ("events", "place_keys", "entity", "unresolved-entity"), ("events", "scope_keys", "scope", "outside-authority"),
         ("places", "evidence_key", "evidence", "undefined-evidence"), ("places", "claim_keys", "claim", "undefined-claim"),
-        ("relevance", "entity_key", "entity", "unresolved-entity"), ("relevance", "claim_keys", "claim", "undefined-claim"), ("relevance", "scope_key", "scope", "unknown-scope"),
+        ("relevance", "entity_key", "entity", "unresolved-entity"), ("relevance", "claim_keys", "claim", "undefined-claim"), ("relevance", "scope_key", "scope", "outside-authority"),
+        ("questions", "record_key", "named", "unknown-record"),
+        ("scope", "canon_key", "canon", "outside-snapshot"), ("scope", "reference_system_key", "reference_system", "outside-snapshot"),
+    ),
+    "edition": (
+        ("mentions", "attestation_key", "attestation", "undefined-attestation"), ("mentions", "verse_key", "reference", "outside-authority"), ("mentions", "claim_keys", "claim", "undefined-claim"),
         ("questions", "record_key", "record", "unknown-record"),
+        ("scope", "canon_key", "canon", "outside-snapshot"), ("scope", "reference_system_key", "reference_system", "outside-snapshot"), ("scope", "language_tag", "language", "outside-snapshot"), ("scope", "edition_key", "edition", "outside-snapshot"),
     ),
-    "edition": (("mentions", "attestation_key", "attestation", "undefined-attestation"), ("mentions", "verse_key", "reference", "outside-authority"), ("mentions", "claim_keys", "claim", "undefined-claim"), ("questions", "record_key", "record", "unknown-record")),
     "locale": (
         ("profiles", "entity_key", "entity", "unresolved-entity"), ("profiles", "claim_keys", "claim", "undefined-claim"), ("profiles", "language_tag", "language", "outside-snapshot"),
-        ("contexts", "scope_key", "scope", "unknown-scope"), ("contexts", "claim_keys", "claim", "undefined-claim"), ("contexts", "language_tag", "language", "outside-snapshot"), ("contexts", "open_question_key", "question", "undefined-question"),
-        ("localizations", "relevance_key", "relevance", "undefined-relevance"), ("localizations", "entity_key", "entity", "unresolved-entity"), ("localizations", "claim_keys", "claim", "undefined-claim"), ("localizations", "scope_key", "scope", "unknown-scope"), ("localizations", "language_tag", "language", "outside-snapshot"),
+        ("contexts", "scope_key", "scope", "outside-authority"), ("contexts", "claim_keys", "claim", "undefined-claim"), ("contexts", "language_tag", "language", "outside-snapshot"), ("contexts", "open_question_key", "question", "undefined-question"),
+        ("localizations", "relevance_key", "relevance", "undefined-relevance"), ("localizations", "entity_key", "entity", "unresolved-entity"), ("localizations", "claim_keys", "claim", "undefined-claim"), ("localizations", "scope_key", "scope", "outside-authority"), ("localizations", "language_tag", "language", "outside-snapshot"),
         ("questions", "record_key", "record", "unknown-record"),
+        ("scope", "canon_key", "canon", "outside-snapshot"), ("scope", "reference_system_key", "reference_system", "outside-snapshot"), ("scope", "language_tag", "language", "outside-snapshot"),
     ),
 }
-#: The annotation class that the coverage of a layer has.
+#: What a package itself vouches for, by layer: authority -> (record, key)s. Only the canonical layer defines claims of its own; the others refer to approved ones.
+OWN = {
+    "canonical": {
+        "candidate": (("candidates", "candidate_key"),),
+        "claim": (("claims", "claim_key"),),
+        "citation": (("citations", "citation_key"),),
+        "record": tuple(x for x in UNIQUE["canonical"] if x[0] != "questions"),
+        "named": UNIQUE["canonical"],
+        "question": (("questions", "question_key"),),
+    },
+    "edition": {"record": UNIQUE["edition"], "question": (("questions", "question_key"),)},
+    "locale": {"record": (("contexts", "context_key"),), "question": (("questions", "question_key"),)},
+}
+#: Authorities that a job may leave out: it then has no snapshot, and nothing is outside it. All others are closed: what a job leaves out approves nothing.
+SNAPSHOTS = ("scope", "reference", "language", "canon", "reference_system", "edition")
+#: The annotation class that the coverage of a layer has, and the snapshot that it must partition.
 CLASSES = {"canonical": "canonical_entity_attestation", "edition": "translation_mention", "locale": "passage_context_localization"}
-#: The class of a finding, for the gravest of all: dangling, duplicate or invalid-state.
-_DANGLING = "unresolved|undefined|unknown"
+COVERED = {"canonical": "reference", "edition": "reference", "locale": "scope"}
+#: Findings of references that lead nowhere; others are duplicates or invalid states.
+_DANGLING = "^unresolved|^undefined|^unknown-record$"
 
 
 def _keys(df: DataFrame, column: str) -> DataFrame:
@@ -79,27 +101,58 @@ def coverage(groups: DataFrame, layer: str, authority: DataFrame | None, records
     return checks.all_findings(found)
 
 
+def _trusted(package: dict[str, DataFrame]) -> list[DataFrame]:
+    """(``key``): entities that reconciliations stand for, the only way in which candidates become entities: those of a candidate of the package, or of none, which name an entity that is registered already."""
+    if "reconciliations" not in package or "entity_key" not in package["reconciliations"].columns:
+        return []
+    rows = package["reconciliations"].select(F.col("candidate_key").cast("string").alias("candidate"), F.col("entity_key").alias("key"))
+    found = [rows.filter("candidate IS NULL")]
+    if "candidates" in package:
+        found.append(rows.join(_keys(package["candidates"], "candidate_key").withColumnRenamed("key", "candidate"), "candidate", "left_semi"))
+    return [_keys(x, "key") for x in found]
+
+
+def authority(name: str, layer: str, package: dict[str, DataFrame], job: dict[str, DataFrame]) -> DataFrame | None:
+    """(``key``): what counts as known under an authority's name: what the job gives and what the package vouches for. Null where the job has no such snapshot, which leaves it open."""
+    if name in SNAPSHOTS and name not in job:
+        return None
+    found = [_keys(package[record], key) for record, key in OWN[layer].get(name, ()) if record in package and key in package[record].columns]
+    if name in job:
+        found.append(_keys(job[name], job[name].columns[0]))
+    if name == "entity" and layer == "canonical":
+        found += _trusted(package)
+    if not found:
+        return next(iter(package.values())).sparkSession.createDataFrame([], "key string")
+    return reduce(DataFrame.unionByName, found).distinct() if len(found) > 1 else found[0]
+
+
 def battery(layer: str, package: dict[str, DataFrame], job: dict[str, DataFrame]) -> DataFrame:
-    """All findings about a package of a layer. ``job`` has the authorities, each a table whose first column holds keys; one that isn't there passes everything of its kind, as do record tables that aren't there."""
-    found = []
+    """All findings about a package of a layer.
+
+    ``job`` has the approved keys (``entity``, ``claim``, ``attestation``, ``relevance``, ``evidence``) and the snapshots
+    (``SNAPSHOTS``), each a table whose first column holds keys. Approvals are closed: where a job has none,
+    every reference that the package doesn't vouch for itself is a finding. A snapshot that
+    isn't there is open. Record tables that aren't there have no rows, and a null pointer points nowhere.
+    """
+    found, known = [], {}
+    for name in {x[2] for x in POINTERS[layer]} | {"record", "question", COVERED[layer]}:
+        known[name] = authority(name, layer, package, job)
     for record, key in UNIQUE[layer]:
-        if record in package:
+        if record in package and key in package[record].columns:
             found.append(_finding(checks.duplicates(package[record].select(F.col(key).alias("key")), ["key"]), f"/{record}", "duplicate"))
-    for record, column, authority, finding in POINTERS[layer]:
-        if record in package and authority in job and column in package[record].columns:
-            known = _keys(job[authority], job[authority].columns[0])
-            found.append(_finding(_keys(package[record], column).join(known, "key", "left_anti"), f"/{record}/{column}", finding))
+    for record, column, name, finding in POINTERS[layer]:
+        if record in package and known[name] is not None and column in package[record].columns:
+            found.append(_finding(_keys(package[record], column).join(known[name], "key", "left_anti"), f"/{record}/{column}", finding))
     if "coverage" in package:
-        none = next(iter(package.values())).select(F.lit("").alias("key")).limit(0)
-        known = {x: _keys(job[x], job[x].columns[0]) if x in job else none for x in ("record", "question")}
-        authority = _keys(job["covered"], job["covered"].columns[0]) if "covered" in job else None
-        found.append(coverage(package["coverage"], layer, authority, known["record"], known["question"]))
+        found.append(coverage(package["coverage"], layer, known[COVERED[layer]], known["record"], known["question"]))
     return checks.all_findings(found)
 
 
-def verdict(findings: DataFrame) -> DataFrame:
-    """(``error``): the class under which a package fails, gravest first; no row if it passes."""
+def verdict(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ``error``): the class under which a package fails, gravest first; no row if it passes."""
     error = F.when(F.col("finding").rlike(_DANGLING), "dangling").when(F.col("finding") == "duplicate", "duplicate").otherwise("invalid-state")
+    if keys:
+        return checks.gravest(findings.select(*keys, error.alias("error")), keys)
     return checks.gravest(findings.select(F.lit(1).alias("_one"), error.alias("error")), ["_one"]).drop("_one")
 
 

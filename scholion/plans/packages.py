@@ -19,11 +19,12 @@ def _twice(pointer: str, keys: str) -> str:
     return f"SELECT '{pointer}' AS pointer, CAST(k AS VARCHAR) AS key, 'duplicate' AS finding FROM ({keys}) GROUP BY k HAVING count(*) > 1"
 
 
-_ENTITY, _CLAIM, _EVIDENCE, _SCOPE = "SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0", "SELECT o_orderkey FROM orders", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0", "SELECT doc_id FROM documents"
+# what the jobs approve, and their snapshots
+_ENTITY, _CLAIM, _EVIDENCE, _SCOPE, _REFERENCE = "SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0", "SELECT doc_id FROM documents", "SELECT doc_id FROM documents WHERE n_chars > 500"
 _COVERAGE = "SELECT doc_id AS g, CASE doc_id % 4 WHEN 0 THEN 'complete_zero' WHEN 1 THEN 'blocked' ELSE 'complete_with_records' END AS result, [doc_id, doc_id + CAST(doc_id % 13 = 0 AS INT)] AS refs, CASE WHEN quality = 1 THEN [doc_id * 3] ELSE [] END AS records, CASE WHEN toxic = 1 THEN [doc_id] ELSE [] END AS questions, CASE WHEN doc_id % 29 = 0 THEN 'other' ELSE '{cls}' END AS cls FROM labels"
 
 
-def _coverage_sql(cls: str, records: str, questions: str) -> str:
+def _coverage_sql(cls: str, records: str, questions: str, covered: str = _REFERENCE) -> str:
     own = f"(SELECT * FROM ({_COVERAGE.format(cls=cls)}) WHERE cls <> 'other')"
     refs = f"SELECT unnest(list_distinct(refs)) AS k FROM {own}"
     every = f"SELECT unnest(refs) AS k FROM {own}"
@@ -34,8 +35,8 @@ def _coverage_sql(cls: str, records: str, questions: str) -> str:
     UNION ALL SELECT '/coverage', CAST(g AS VARCHAR), 'blocked-without-question' FROM {own} WHERE result = 'blocked' AND len(questions) = 0
     UNION ALL {_anti('/coverage', 'undefined-record', f'SELECT unnest(records) AS k FROM {own}', records)}
     UNION ALL {_anti('/coverage', 'undefined-question', f'SELECT unnest(questions) AS k FROM {own}', questions)}
-    UNION ALL {_anti('/coverage', 'outside', refs, 'SELECT doc_id FROM documents WHERE n_chars > 500')}
-    UNION ALL {_anti('/coverage', 'gap', 'SELECT doc_id AS k FROM documents WHERE n_chars > 500', refs)}"""
+    UNION ALL {_anti('/coverage', 'outside', refs, covered)}
+    UNION ALL {_anti('/coverage', 'gap', covered.replace('doc_id', 'doc_id AS k', 1), refs)}"""
 
 
 def _coverage(spark: SparkSession, sf_dir: str, layer: str) -> DataFrame:
@@ -50,58 +51,79 @@ def _job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = raw(spark, sf_dir, "documents")
     return {
         "entity": raw(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").select("p_partkey"),
-        "claim": raw(spark, sf_dir, "orders").select("o_orderkey"),
+        "claim": raw(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select("o_orderkey"),
         "evidence": raw(spark, sf_dir, "supplier").filter("s_suppkey % 10 <> 0").select("s_suppkey"),
         "scope": docs.select("doc_id"),
-        "covered": docs.filter("n_chars > 500").select("doc_id"),
+        "reference": docs.filter("n_chars > 500").select("doc_id"),
     }
 
 
 _LINES = "SELECT l_orderkey * 10 + l_linenumber AS k, * FROM lineitem"
+# claims are of every second order; candidates 0 to 99 are reconciled with entities, a few with candidates that aren't there or with none
+_OWN_CLAIM = "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0"
+_CANDIDATES = "SELECT p_partkey % 1900 AS k FROM part"
+_RECONCILED = "SELECT CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey END AS candidate, p_partkey * 7 AS entity FROM part WHERE p_partkey < 100 OR p_partkey >= 1950"
+_TRUSTED = f"SELECT entity FROM ({_RECONCILED}) WHERE candidate IS NULL OR candidate IN (SELECT k FROM ({_CANDIDATES}))"
+_RECORDS = f"SELECT k FROM ({_CANDIDATES}) UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT k FROM ({_LINES}) UNION SELECT o_orderkey FROM orders"
 
 
-@query("canonical_battery", f"""{_twice('/candidates', 'SELECT p_partkey % 1900 AS k FROM part')} UNION ALL {_twice('/claims', 'SELECT o_orderkey AS k FROM orders')} UNION ALL {_twice('/attestations', f'SELECT k FROM ({_LINES})')}
-    UNION ALL {_anti('/reconciliations/candidate_key', 'unknown-candidate', 'SELECT p_partkey AS k FROM part', 'SELECT p_partkey % 1900 FROM part')}
-    UNION ALL {_anti('/claims/subject_key', 'unresolved-entity', 'SELECT o_custkey AS k FROM orders', _ENTITY)} UNION ALL {_anti('/claims/citation_keys', 'undefined-citation', 'SELECT unnest([o_orderkey * 10 + 1, o_orderkey * 10 + 2]) AS k FROM orders', f'SELECT k FROM ({_LINES})')}
-    UNION ALL {_anti('/citations/claim_keys', 'undefined-claim', 'SELECT l_orderkey + 1 AS k FROM lineitem', _CLAIM)} UNION ALL {_anti('/citations/evidence_key', 'undefined-evidence', 'SELECT l_suppkey AS k FROM lineitem', _EVIDENCE)} UNION ALL {_twice('/citations', f'SELECT k FROM ({_LINES})')}
-    UNION ALL {_anti('/attestations/entity_key', 'unresolved-entity', 'SELECT l_partkey AS k FROM lineitem', _ENTITY)} UNION ALL {_anti('/relevance/scope_key', 'unknown-scope', 'SELECT o_orderkey AS k FROM orders', _SCOPE)} UNION ALL {_twice('/relevance', 'SELECT o_orderkey AS k FROM orders')}
-    UNION ALL {_anti('/questions/record_key', 'unknown-record', 'SELECT doc_id * 3 AS k FROM labels', _CLAIM)} UNION ALL {_twice('/questions', 'SELECT doc_id // 2 AS k FROM labels')}
-    UNION ALL {_coverage_sql('canonical', _CLAIM, 'SELECT doc_id // 2 FROM labels')}""")
-def canonical_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _canonical_sql(entities: str, claims: str, evidence: str, closed: bool = False) -> str:
+    snapshots = "" if closed else f"UNION ALL {_anti('/relevance/scope_key', 'outside-authority', 'SELECT o_orderkey AS k FROM orders', _SCOPE)} UNION ALL {_anti('/scope/canon_key', 'outside-snapshot', 'SELECT r_name AS k FROM region', 'SELECT r_name FROM region WHERE r_regionkey > 0')}"
+    return f"""{_twice('/candidates', _CANDIDATES)} UNION ALL {_twice('/claims', 'SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0')} UNION ALL {_twice('/attestations', f'SELECT k FROM ({_LINES})')}
+    UNION ALL {_anti('/reconciliations/candidate_key', 'unknown-candidate', f'SELECT candidate AS k FROM ({_RECONCILED})', _CANDIDATES)}
+    UNION ALL {_anti('/claims/subject_key', 'unresolved-entity', 'SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0', entities)} UNION ALL {_anti('/claims/citation_keys', 'undefined-citation', 'SELECT unnest([o_orderkey * 10 + 1, o_orderkey * 10 + 2]) AS k FROM orders WHERE o_orderkey % 2 = 0', f'SELECT k FROM ({_LINES})')}
+    UNION ALL {_anti('/citations/claim_keys', 'undefined-claim', 'SELECT l_orderkey + 1 AS k FROM lineitem', claims)} UNION ALL {_anti('/citations/evidence_key', 'undefined-evidence', 'SELECT l_suppkey AS k FROM lineitem', evidence)} UNION ALL {_twice('/citations', f'SELECT k FROM ({_LINES})')}
+    UNION ALL {_anti('/attestations/entity_key', 'unresolved-entity', 'SELECT l_partkey AS k FROM lineitem', entities)} {snapshots} UNION ALL {_twice('/relevance', 'SELECT o_orderkey AS k FROM orders')}
+    UNION ALL {_anti('/questions/record_key', 'unknown-record', 'SELECT doc_id * 3 AS k FROM labels', f'{_RECORDS} UNION SELECT doc_id // 2 FROM labels')} UNION ALL {_twice('/questions', 'SELECT doc_id // 2 AS k FROM labels')}"""
+
+
+def _canonical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     part, orders, lines, labels = (raw(spark, sf_dir, x) for x in ("part", "orders", "lineitem", "labels"))
-    package = {
+    return {
+        "scope": raw(spark, sf_dir, "region").selectExpr("r_name AS canon_key", "r_name AS reference_system_key"),
         "candidates": part.selectExpr("p_partkey % 1900 AS candidate_key"),
-        "reconciliations": part.selectExpr("p_partkey AS candidate_key"),
-        "claims": orders.selectExpr("o_orderkey AS claim_key", "o_custkey AS subject_key", "array(o_orderkey * 10 + 1, o_orderkey * 10 + 2) AS citation_keys"),
+        "reconciliations": part.filter("p_partkey < 100 OR p_partkey >= 1950").selectExpr("IF(p_partkey % 9 = 0, NULL, p_partkey) AS candidate_key", "p_partkey * 7 AS entity_key"),
+        "claims": orders.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS claim_key", "o_custkey AS subject_key", "array(o_orderkey * 10 + 1, o_orderkey * 10 + 2) AS citation_keys"),
         "citations": lines.selectExpr("l_orderkey * 10 + l_linenumber AS citation_key", "array(l_orderkey + 1) AS claim_keys", "l_suppkey AS evidence_key"),
         "attestations": lines.selectExpr("l_orderkey * 10 + l_linenumber AS attestation_key", "l_partkey AS entity_key"),
         "relevance": orders.selectExpr("o_orderkey AS relevance_key", "o_orderkey AS scope_key"),
         "questions": labels.selectExpr("doc_id div 2 AS question_key", "doc_id * 3 AS record_key"),
-        "coverage": _coverage(spark, sf_dir, "canonical"),
     }
-    job = _job(spark, sf_dir) | {"candidate": package["candidates"], "citation": package["citations"], "record": orders.select("o_orderkey"), "question": package["questions"]}
-    return packages.battery("canonical", package, job)
 
 
-@query("edition_battery", f"""{_twice('/mentions', f'SELECT k FROM ({_LINES})')} UNION ALL {_anti('/mentions/attestation_key', 'undefined-attestation', 'SELECT l_orderkey * 3 AS k FROM lineitem', _CLAIM)} UNION ALL {_anti('/mentions/verse_key', 'outside-authority', 'SELECT l_orderkey AS k FROM lineitem', _SCOPE)}
+_CANONICAL = f"{_canonical_sql(f'{_ENTITY} UNION {_TRUSTED}', f'{_CLAIM} UNION {_OWN_CLAIM}', _EVIDENCE)} UNION ALL {_coverage_sql('canonical', _RECORDS, 'SELECT doc_id // 2 FROM labels')}"
+
+
+@query("canonical_battery", _CANONICAL)
+def canonical_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved entities and those of reconciled candidates are known, and claims that are approved or the package's own."""
+    job = _job(spark, sf_dir) | {"canon": raw(spark, sf_dir, "region").filter("r_regionkey > 0").select("r_name")}
+    return packages.battery("canonical", _canonical(spark, sf_dir) | {"coverage": _coverage(spark, sf_dir, "canonical")}, job)
+
+
+@query("closed_battery", _canonical_sql(_TRUSTED, _OWN_CLAIM, "SELECT s_suppkey FROM supplier WHERE false", closed=True))
+def closed_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same package under a job that approves nothing and has no snapshots: only what the package vouches for is known, and no scope is outside."""
+    return packages.battery("canonical", _canonical(spark, sf_dir), {})
+
+
+@query("edition_battery", f"""{_twice('/mentions', f'SELECT k FROM ({_LINES})')} UNION ALL {_anti('/mentions/attestation_key', 'undefined-attestation', 'SELECT l_orderkey * 3 AS k FROM lineitem', 'SELECT o_orderkey FROM orders')} UNION ALL {_anti('/mentions/verse_key', 'outside-authority', 'SELECT l_orderkey AS k FROM lineitem', _REFERENCE)}
     UNION ALL {_anti('/mentions/claim_keys', 'undefined-claim', 'SELECT unnest([l_orderkey, l_orderkey + 2]) AS k FROM lineitem', _CLAIM)} UNION ALL {_anti('/questions/record_key', 'unknown-record', 'SELECT doc_id * 10 + 1 AS k FROM labels', f'SELECT k FROM ({_LINES})')}
     UNION ALL {_coverage_sql('edition', f'SELECT k FROM ({_LINES})', 'SELECT doc_id FROM labels WHERE doc_id % 5 > 0')}""")
 def edition_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, labels = raw(spark, sf_dir, "lineitem"), raw(spark, sf_dir, "labels")
     package = {
         "mentions": lines.selectExpr("l_orderkey * 10 + l_linenumber AS mention_key", "l_orderkey * 3 AS attestation_key", "l_orderkey AS verse_key", "array(l_orderkey, l_orderkey + 2) AS claim_keys"),
-        "questions": labels.selectExpr("doc_id * 10 + 1 AS record_key"),
+        "questions": labels.selectExpr("doc_id * 10 + 1 AS record_key", "IF(doc_id % 5 > 0, doc_id, NULL) AS question_key"),
         "coverage": _coverage(spark, sf_dir, "edition"),
     }
-    job = _job(spark, sf_dir)
-    job |= {"attestation": job["claim"], "reference": job["scope"], "record": package["mentions"], "question": labels.filter("doc_id % 5 > 0").select("doc_id")}
-    return packages.battery("edition", package, job)
+    return packages.battery("edition", package, _job(spark, sf_dir) | {"attestation": raw(spark, sf_dir, "orders").select("o_orderkey")})
 
 
 @query("locale_battery", f"""{_twice('/profiles', 'SELECT p_partkey % 1950 AS k FROM part')} UNION ALL {_anti('/profiles/entity_key', 'unresolved-entity', 'SELECT p_partkey AS k FROM part', _ENTITY)} UNION ALL {_anti('/profiles/language_tag', 'outside-snapshot', "SELECT CASE p_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'xx' END AS k FROM part", 'SELECT lang FROM documents')}
-    UNION ALL {_twice('/contexts', 'SELECT doc_id AS k FROM documents')} UNION ALL {_anti('/contexts/scope_key', 'unknown-scope', 'SELECT doc_id + 1 AS k FROM documents', _SCOPE)} UNION ALL {_anti('/contexts/open_question_key', 'undefined-question', "SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS k FROM documents", 'SELECT doc_id FROM labels')}
-    UNION ALL {_anti('/localizations/relevance_key', 'undefined-relevance', 'SELECT l_orderkey * 2 AS k FROM lineitem', _CLAIM)} UNION ALL {_twice('/localizations', f'SELECT k FROM ({_LINES})')} UNION ALL {_twice('/questions', 'SELECT doc_id AS k FROM labels')}
-    UNION ALL {_anti('/questions/record_key', 'unknown-record', 'SELECT doc_id * 2 AS k FROM labels', 'SELECT doc_id FROM documents')} UNION ALL {_coverage_sql('locale', 'SELECT doc_id FROM documents', 'SELECT doc_id FROM labels')}""")
+    UNION ALL {_twice('/contexts', 'SELECT doc_id AS k FROM documents')} UNION ALL {_anti('/contexts/scope_key', 'outside-authority', 'SELECT doc_id + 1 AS k FROM documents', _SCOPE)} UNION ALL {_anti('/contexts/open_question_key', 'undefined-question', "SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS k FROM documents", 'SELECT doc_id FROM labels')}
+    UNION ALL {_anti('/localizations/relevance_key', 'undefined-relevance', 'SELECT l_orderkey * 2 AS k FROM lineitem', 'SELECT o_orderkey FROM orders')} UNION ALL {_twice('/localizations', f'SELECT k FROM ({_LINES})')} UNION ALL {_twice('/questions', 'SELECT doc_id AS k FROM labels')}
+    UNION ALL {_anti('/questions/record_key', 'unknown-record', 'SELECT doc_id * 2 AS k FROM labels', 'SELECT doc_id FROM documents')} UNION ALL {_coverage_sql('locale', 'SELECT doc_id FROM documents', 'SELECT doc_id FROM labels', _SCOPE)}""")
 def locale_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, docs, lines, labels = (raw(spark, sf_dir, x) for x in ("part", "documents", "lineitem", "labels"))
     package = {
@@ -111,15 +133,14 @@ def locale_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
         "questions": labels.selectExpr("doc_id AS question_key", "doc_id * 2 AS record_key"),
         "coverage": _coverage(spark, sf_dir, "locale"),
     }
-    job = _job(spark, sf_dir)
-    job |= {"language": docs.select("lang").distinct(), "relevance": job["claim"], "record": docs.select("doc_id"), "question": labels.select("doc_id")}
+    job = _job(spark, sf_dir) | {"language": docs.select("lang").distinct(), "relevance": raw(spark, sf_dir, "orders").select("o_orderkey")}
     return packages.battery("locale", package, job)
 
 
-@query("battery_verdict", "SELECT 'dangling' AS error")
+@query("battery_verdict", f"SELECT pointer, CASE min(CASE WHEN regexp_matches(finding, '^unresolved|^undefined|^unknown-record$') THEN 0 WHEN finding = 'duplicate' THEN 1 ELSE 2 END) WHEN 0 THEN 'dangling' WHEN 1 THEN 'duplicate' ELSE 'invalid-state' END AS error FROM ({_CANONICAL}) GROUP BY pointer")
 def battery_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package with findings of all classes fails for the gravest."""
-    return packages.verdict(edition_battery(spark, sf_dir))
+    """The class under which each part of the canonical package fails: the gravest of its findings."""
+    return packages.verdict(canonical_battery(spark, sf_dir), ["pointer"])
 
 
 _MENTIONS = "SELECT doc_id * 2 + k AS mention_key, doc_id + CASE WHEN doc_id % 17 = 0 THEN 1000000 ELSE 0 END AS verse_key, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE k + 1 END AS ordinal, doc_id, k FROM labels, (SELECT unnest([0, 1]) AS k)"
