@@ -13,9 +13,9 @@ makes n - 1 edges, not their square. Links are confirmed on full sets, in three
 
 1. each node against the centre with which it shares most buckets;
 2. the other star edges whose ends aren't in one group yet;
-3. what stars can't decide: in buckets that still hold several groups, members of different
-   groups are compared by signature (short sets by their keys), in blocks dealt to many tasks, and
-   pairs that can reach the similarity are confirmed like the others. Most buckets hold one group by then.
+3. what stars can't decide: in buckets that still hold several groups, members of different groups
+   are compared in blocks dealt to many tasks, by signature and then by set, until no two of them link that aren't
+   joined. A block gives no more links than join its groups, never its pairs. Most buckets hold one group by then.
 
 Nodes are 64-bit hashes of full sets; so two different sets of a corpus share one with a chance of
 about n^2 / 2^65. A pair at a similarity of exactly 0.8 shares no bucket with a chance of 3e-6 where it
@@ -47,7 +47,7 @@ SHORT = 40
 BROADCAST_NODES = 200_000
 #: Members that a centre's task compares at most; more centres' tasks share them. Members of a block in the last round.
 STAR, BLOCK = 2_000, 512
-#: Standard deviations of a signature's estimate below the similarity at which a pair still counts as a candidate.
+#: Standard deviations of a signature's estimate below the similarity down to which a pair of the last round is compared by set.
 MARGIN = 5
 
 _STARTS = np.array([(k << 64) // BINS for k in range(BINS)], dtype=np.uint64)
@@ -61,11 +61,11 @@ def shingle_set(text: str, hashes: WordHashes, words: int = WORDS) -> np.ndarray
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], starts: np.ndarray = _STARTS) -> np.ndarray:
     """The least key of each bin, densified: a row for each set, none of them empty."""
     minima, full = np.zeros((len(sets), BINS), dtype=np.uint64), np.zeros((len(sets), BINS), dtype=bool)
     for k, keys in enumerate(sets):
-        ends = np.append(np.searchsorted(keys, _STARTS), len(keys))
+        ends = np.append(np.searchsorted(keys, starts.astype(keys.dtype)), len(keys))
         full[k] = ends[1:] > ends[:-1]
         minima[k, full[k]] = keys[ends[:-1][full[k]]]
     rows, bins = np.nonzero(~full)
@@ -103,13 +103,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def signed_sets(docs: DataFrame, *, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """For each row: ``id``, ``text_hash``, ``node``, ``size``, its buckets (``bands``, ``least``) and what the last round compares (``sketch``, ``small``)."""
+    """For each row: ``id``, ``text_hash``, ``node``, ``size``, and its buckets (``bands``, ``least``)."""
     kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     fields = T.StructType(
         [T.StructField("id", kept.schema["id"].dataType)]
         + [T.StructField(x, T.LongType()) for x in ("text_hash", "node", "size")]
         + [T.StructField(x, T.ArrayType(T.LongType())) for x in ("bands", "least")]
-        + [T.StructField(x, T.BinaryType()) for x in ("sketch", "small")]
     )
     reach = SHORT * 100 // percent
 
@@ -121,7 +120,7 @@ def signed_sets(docs: DataFrame, *, id_col: str, text_col: str, words: int, perc
                 sets = [shingle_set(x.as_py() or "", hashes, words) for x in batch.column(2)[start : start + 512]]
                 long = [k for k, x in enumerate(sets) if len(x) > SHORT]
                 minima = signatures([sets[k] for k in long])
-                banded, sketches = bands(minima).view(np.int64), (mix(minima) & np.uint64(0xFFFF)).astype("<u2")
+                banded = bands(minima).view(np.int64)
                 place = {k: i for i, k in enumerate(long)}
                 nodes = [xxhash.xxh64_intdigest(x.tobytes(), 7) - 2**63 if len(x) else None for x in sets]
                 least = [x[: len(x) - -(-percent * len(x) // 100) + 1].view(np.int64) if 0 < len(x) <= reach else [] for x in sets]
@@ -130,8 +129,6 @@ def signed_sets(docs: DataFrame, *, id_col: str, text_col: str, words: int, perc
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([banded[place[k]] if k in place else [] for k in range(len(sets))], pa.list_(pa.int64())),
                     pa.array(least, pa.list_(pa.int64())),
-                    pa.array([sketches[place[k]].tobytes() if k in place else b"" for k in range(len(sets))], pa.binary()),
-                    pa.array([x.tobytes() if len(x) <= reach else b"" for x in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([ids[start : start + 512], text_hashes[start : start + 512], *columns], names=fields.names)
 
@@ -181,62 +178,90 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
+class _Groups(dict):
+    """Which groups have been joined so far."""
+
+    def of(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            x = up
+        return x
+
+
+def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between members of a block that weren't in one group: as many as join them, not all.
+
+    Rows are (short, low chunk, high chunk, bucket, band, chunk, node, root, size, upper key halves). A pair is tried
+    only in the first bucket that it shares.
+    """
+    short, low, high, bucket, band = rows[0][:5]
+    nodes, sizes = (np.array([r[k] for r in rows], dtype=np.int64) for k in (6, 8))
+    keys = [np.frombuffer(r[9], dtype="<u4") for r in rows]
+    chunk, groups, out = np.array([r[5] for r in rows]), _Groups(), []
+    left, right = (np.flatnonzero(chunk == x) for x in (low, high))
+    minima = None if short else signatures(keys, _STARTS >> np.uint64(32))
+    before = np.uint32((bucket % 2**64) >> 32)
+    for i in left:
+        own = groups.of(rows[i][7])
+        others = right[(np.array([groups.of(rows[j][7]) for j in right]) != own) & can_link(sizes[right], sizes[i], percent)]
+        if low == high:
+            others = others[nodes[others] > nodes[i]]
+        if not short and len(others):
+            agree = minima[others] == minima[i]
+            p = percent / 100
+            good = agree.mean(axis=1) >= p - MARGIN * np.sqrt(p * (1 - p) / np.minimum(np.minimum(sizes[others], sizes[i]), BINS))
+            good &= ~agree[:, : band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
+            others = others[good][np.argsort(-agree.mean(axis=1)[good], kind="stable")]
+        for j in others:
+            if groups.of(rows[i][7]) == groups.of(rows[j][7]) or short and len(np.intersect1d(keys[i][keys[i] < before], keys[j][keys[j] < before])):
+                continue
+            if linked(keys[i], keys[j], percent):
+                groups[groups.of(rows[j][7])] = groups.of(rows[i][7])
+                out.append((min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))))
+    return out
+
+
 def _blocks_met(members: DataFrame, percent: int) -> DataFrame:
-    """(``a``, ``b``): members of one bucket but of different groups (``root``) that may reach the similarity.
+    """(``a``, ``b``): links that join members of one bucket (``bucket``, ``short``, ``band``, ``node``, ``root``, ``size``, ``upper``) but of different groups.
 
     A bucket of many members is cut into chunks by a hash of the node, and each pair of chunks is
-    a block of its own, so no task holds more than two chunks at a time.
+    a block of its own, so no task holds more than two chunks at a time. Sets are compared by the
+    upper halves of their keys, which can only let too much through.
     """
     counts = members.groupBy("bucket", "short").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     dealt = members.join(counts, ["bucket", "short"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("bucket", "short", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "root", "size", "body")
-
-    def near(rows: list[tuple]) -> list[tuple[int, int]]:
-        short, low, high = rows[0][0], rows[0][1], rows[0][2]
-        nodes, roots, sizes = (np.array([r[k] for r in rows], dtype=np.int64) for k in (4, 5, 6))
-        chunk = np.array([r[3] for r in rows])
-        left, right = (np.flatnonzero(chunk == x) for x in (low, high))
-        if short:
-            keys = [np.frombuffer(rows[k][7], dtype=np.uint64) for k in right]
-            ends = np.cumsum([0, *map(len, keys)])[:-1]
-            every = np.concatenate(keys)
-        else:
-            theirs = np.stack([np.frombuffer(rows[k][7], dtype="<u2") for k in right])
-        out = []
-        for i in left:
-            if short:
-                own = np.frombuffer(rows[i][7], dtype=np.uint64)
-                common = np.add.reduceat(own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every, ends, dtype=np.int64)
-                good = 100 * common >= percent * (len(own) + sizes[right] - common)
-            else:
-                agree = (theirs == np.frombuffer(rows[i][7], dtype="<u2")).mean(axis=1)
-                p = percent / 100
-                good = agree >= p - MARGIN * np.sqrt(p * (1 - p) / np.minimum(np.minimum(sizes[right], sizes[i]), BINS))
-            good &= (roots[right] != roots[i]) & can_link(sizes[right], sizes[i], percent)
-            good &= (nodes[right] > nodes[i]) if low == high else True
-            out += [(min(int(nodes[i]), int(x)), max(int(nodes[i]), int(x))) for x in nodes[right[good]]]
-        return out
+    dealt = dealt.select("short", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "bucket", "band", "chunk", "node", "root", "size", "upper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows = None, []
 
         def ended() -> Iterator[pa.RecordBatch]:
-            if len({r[5] for r in rows}) > 1 and (found := near(rows)):
+            if len({r[7] for r in rows}) > 1 and (found := _block_links(rows, percent)):
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
-                if (bucket, *row[:3]) != block:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] != block:
                     yield from ended()
-                    block, rows = (bucket, *row[:3]), []
-                rows.append(tuple(row))
+                    block, rows = row[:4], []
+                rows.append(row)
         yield from ended()
 
-    order = ["bucket", "short", "low", "high"]
+    order = ["short", "low", "high", "bucket"]
     return python_ready(dealt).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
+def _upper_halves(sets: DataFrame) -> DataFrame:
+    """(``node``, ``upper``): the sets' keys at half their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = [(np.frombuffer(x.as_buffer(), dtype=np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary())], names=["node", "upper"])
+
+    return python_ready(sets.select("node", "keys")).mapInArrow(run, "node long, upper binary")
+
+
 def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
     """(``node``, ``root``) after further links; a node that no link touches isn't listed."""
     if known is None:
@@ -269,13 +294,12 @@ def minhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     signed = materialize(signed_sets(docs, id_col=id_col, text_col=text_col, words=words, percent=percent), "signed")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    heavy = ("size", "bands", "least", "sketch", "small")
-    nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("first"), *(F.first(x).alias(x) for x in heavy))
+    nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("first"), *(F.first(x).alias(x) for x in ("size", "bands", "least")))
     nodes = materialize(nodes, "nodes")
     first = materialize(nodes.select("node", "first"), "first")
-    buckets = nodes.select("node", "size", F.lit(False).alias("short"), F.explode("bands").alias("bucket")).union(nodes.select("node", "size", F.lit(True), F.explode("least")))
+    buckets = nodes.select("node", "size", F.lit(False).alias("short"), F.posexplode("bands").alias("band", "bucket")).union(nodes.select("node", "size", F.lit(True), F.posexplode("least")))
     heads = buckets.groupBy("bucket", "short").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("members")).filter("members > 1")
-    members = materialize(buckets.join(heads, ["bucket", "short"]).select("bucket", "short", "node", "size", "head"), "members")
+    members = materialize(buckets.join(heads, ["bucket", "short"]).select("bucket", "short", "band", "node", "size", "head"), "members")
     star = members.filter("node <> head.node").filter(100 * F.least("size", "head.size") >= percent * F.greatest("size", "head.size"))
     star = materialize(star.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared")), "star")
 
@@ -289,12 +313,10 @@ def minhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     others = materialize(_apart(star.select("a", "b").join(nearest, ["a", "b"], "left_anti"), known), "others")
     known = _joined(known, materialize(confirmed(others, sets, percent), "links"))
 
-    grouped = members.join(known, "node", "left").select("bucket", "short", "node", "size", F.coalesce("root", "node").alias("root"))
+    grouped = members.join(known, "node", "left").select("bucket", "short", "band", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("bucket", "short").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket", "short")
-    bodies = nodes.select("node", "sketch", "small")
-    mixed = grouped.join(mixed, ["bucket", "short"]).join(bodies, "node").select("bucket", "short", "node", "root", "size", F.when(F.col("short"), F.col("small")).otherwise(F.col("sketch")).alias("body"))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(_blocks_met(mixed, percent).join(tried, ["a", "b"], "left_anti"), "rest")
+    mixed = grouped.join(mixed, ["bucket", "short"]).join(_upper_halves(sets), "node")
+    rest = materialize(_blocks_met(mixed, percent), "rest")
     known = _joined(known, materialize(confirmed(rest, sets, percent), "links"))
     discard(nodes, members, star, wanted, sets, others, rest)
 
