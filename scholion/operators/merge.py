@@ -66,22 +66,38 @@ def recents(target: DataFrame, incoming: DataFrame, owner: str, key: str, ts: st
 def ledger_actions(registry: DataFrame, ledger: DataFrame) -> DataFrame:
     """(``version``, ``action``) for migrations (``version``, ``name``, ``sql``) against those applied (``version``, ``name``, ``sql_sha256``).
 
-    ``invalid-version``, ``invalid-name``, ``empty-migration`` and ``duplicate-version`` come before anything
-    is applied; ``ledger-drift`` where what was applied has changed; else ``skip`` or ``apply``.
+    The registry is judged whole before anything is applied: ``invalid-version``, ``invalid-name``,
+    ``empty-migration`` and ``duplicate-version``. Then the ledger is: ``ledger-invalid`` for rows without a
+    positive version, a name or a digest, and for versions that it has twice. Either stops all: every other version is ``blocked``. Else
+    versions go in order: ``skip`` what is applied, ``apply`` what isn't, until one has changed since
+    (``ledger-drift``); those behind it are ``blocked``. An empty registry has no actions but the ledger's.
     """
     digest = F.concat(F.lit("sha256:"), F.sha2("sql", 256))
     counted = registry.join(registry.groupBy("version").agg(F.count(F.lit(1)).alias("_n")), "version")
-    known = ledger.select("version", F.col("name").alias("_name"), F.col("sql_sha256").alias("_digest"))
-    action = (
-        F.when(F.col("version") <= 0, "invalid-version")
-        .when(~F.col("name").rlike("^[a-z][a-z0-9_]*$"), "invalid-name")
-        .when(F.trim("sql") == "", "empty-migration")
+    corrupt = ~F.coalesce((F.col("version") > 0) & (F.col("name") != "") & F.col("sql_sha256").rlike("^sha256:[0-9a-f]{64}$"), F.lit(False))
+    rows = ledger.groupBy("version").agg(F.max(F.struct("name", "sql_sha256")).alias("_known"), (F.max(corrupt) | (F.count(F.lit(1)) > 1)).alias("_corrupt"))
+    invalid = (
+        F.when(F.coalesce(F.col("version") <= 0, F.lit(True)), "invalid-version")
+        .when(~F.coalesce(F.col("name").rlike("^[a-z0-9_]+$"), F.lit(False)), "invalid-name")
+        .when(F.coalesce(F.trim("sql"), F.lit("")) == "", "empty-migration")
         .when(F.col("_n") > 1, "duplicate-version")
-        .when(F.col("_digest").isNull(), "apply")
-        .when((F.col("_name") != F.col("name")) | (F.col("_digest") != digest), "ledger-drift")
+    )
+    judged = counted.withColumn("_invalid", invalid).join(rows, "version", "left")
+    drift = F.col("_known").isNotNull() & ((F.col("_known.name") != F.col("name")) | (F.col("_known.sql_sha256") != digest))
+    # one row: whether anything stops all, and where the order stops
+    stops = judged.agg(F.coalesce(F.max(F.col("_invalid").isNotNull()), F.lit(False)).alias("_refused"), F.min(F.when(drift, F.col("version"))).alias("_drift"))
+    stops = stops.join(F.broadcast(rows.agg(F.coalesce(F.max("_corrupt"), F.lit(False)).alias("_damaged"))))
+    action = (
+        F.when(F.col("_invalid").isNotNull(), F.col("_invalid"))
+        .when(F.col("_refused") | F.col("_damaged") | (F.col("version") > F.col("_drift")), "blocked")
+        .when(F.col("version") == F.col("_drift"), "ledger-drift")
+        .when(F.col("_known").isNull(), "apply")
         .otherwise("skip")
     )
-    return counted.join(known, "version", "left").select("version", action.alias("action")).distinct()
+    found = judged.join(F.broadcast(stops)).select("version", action.alias("action")).distinct()
+    # a registry that is refused is never held against the ledger
+    damaged = rows.filter("_corrupt").join(F.broadcast(stops.filter("NOT _refused").select("_refused"))).select("version", F.lit("ledger-invalid").alias("action"))
+    return found.unionByName(damaged)
 
 
 def changed_keys(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,6 +36,46 @@ def carried(value: Column, keys: list[str], order: list[str], default: object =
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def _bucketed(df: DataFrame, keys: list[str], order: str, bucket: int) -> tuple[DataFrame, list[str]]:
+    return df.withColumn("_part", F.floor(F.col(order) / F.lit(bucket))), [*keys, "_part"]
+
+
+def islands_within(df: DataFrame, keys: list[str], order: str, begins: Column, name: str = "island", bucket: int = BUCKET) -> DataFrame:
+    """``islands`` for keys of any size, in order of an integer column that is unique within its key.
+
+    A segmented prefix sum: buckets of the order column count their beginnings, the counts are summed up
+    over buckets, which are few, and each bucket's rows add their own. No task holds more than a bucket.
+    """
+    df, parts = _bucketed(df.withColumn("_begins", F.when(begins, 1).otherwise(0)), keys, order, bucket)
+    counted = df.groupBy(*parts).agg(F.sum("_begins").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+    offsets = counted.select(*parts, before.alias("_before"))
+    own = F.sum("_begins").over(Window.partitionBy(*parts).orderBy(order))
+    return df.withColumn("_own", own).join(offsets, parts).withColumn(name, F.col("_before") + F.col("_own")).drop("_begins", "_part", "_own", "_before")
+
+
+def carried_within(df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
+    """``df`` with the last non-null value before each row within its key, for keys of any size.
+
+    A segmented scan: a bucket's summary is its last value; the last summary before a bucket is
+    carried into it, and serves its rows until one of their own does.
+    """
+    df, parts = _bucketed(df.withColumn("_value", value), keys, order, bucket)
+    summary = df.filter("_value IS NOT NULL").groupBy(*parts).agg(F.max_by("_value", order).alias("_last"))
+    there = df.select(*parts).distinct().join(summary, parts, "left")
+    into = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    entering = there.select(*parts, into.alias("_entering"))
+    own = F.last("_value", ignorenulls=True).over(Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("_own", own).join(entering, parts).withColumn(name, F.coalesce("_own", "_entering")).drop("_value", "_part", "_own", "_entering")
+
+
+def first_distinct(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """(keys, ``first``: array of the least ``n`` distinct values in order, ``more``: whether there are others). Each key keeps ``n`` + 1 values on the way, whatever it has."""
+    ranked = df.select(*keys, value).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).filter(F.col("_rank") <= n + 1)
+    listed = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_values"))
+    return listed.select(*keys, F.slice("_values", 1, n).alias("first"), (F.size("_values") > n).alias("more"))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The columns of each key's last row in order, by one aggregation instead of a window."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last")).select(*keys, "_last.*")

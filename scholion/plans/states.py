@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions import digest, keys, text
 from scholion.operators import gate, merge
+from scholion.operators.ordinals import first_distinct
 from scholion.plans.registry import query
 from scholion.plans.spine import published
 from scholion.plans.texts import _HITS
@@ -30,11 +31,26 @@ def address_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "orders").select("o_orderkey", gate.url_error(url, ("a.org",), ("/x",)).alias("url_error"), gate.path_error(path, "in/").alias("path_error"), size.alias("size_error"))
 
 
-@query("schema_ledger", "SELECT DISTINCT p_partkey AS version, CASE WHEN p_partkey <= 0 THEN 'invalid-version' WHEN p_partkey % 7 = 0 THEN 'invalid-name' WHEN p_partkey % 11 = 0 THEN 'empty-migration' WHEN p_partkey % 4 = 0 THEN 'skip' WHEN p_partkey % 4 = 1 THEN 'ledger-drift' ELSE 'apply' END AS action FROM part")
+_LEDGER = "m AS (SELECT p_partkey + 1 AS version, lpad(CAST(p_partkey + 1 AS VARCHAR), 4, '0') || '_' || replace(p_name, ' ', '_') AS name, {sql} AS sql FROM part), l AS (SELECT version, version % 150 = 149 AS drift FROM m WHERE version % 150 IN (0, 1, 149))"
+
+
+def _migrations(spark: SparkSession, sf_dir: str, sql: str = "p_type") -> tuple[DataFrame, DataFrame]:
+    """Parts as migrations; some are applied, and of those every third has changed since."""
+    name = "lpad(CAST(p_partkey + 1 AS STRING), 4, '0') || '_' || replace(p_name, ' ', '_')"
+    registry = raw(spark, sf_dir, "part").selectExpr("p_partkey + 1 AS version", f"{name} AS name", f"{sql} AS sql")
+    applied = registry.filter("version % 150 IN (0, 1, 149)").withColumn("sql", F.when(F.col("version") % 150 == 149, "old").otherwise(F.col("sql")))
+    return registry, applied.select("version", "name", F.concat(F.lit("sha256:"), F.sha2("sql", 256)).alias("sql_sha256"))
+
+
+@query("schema_ledger", f"WITH {_LEDGER.format(sql='p_type')}, d AS (SELECT min(version) FILTER (drift) AS stop FROM l) SELECT m.version, CASE WHEN m.version > stop THEN 'blocked' WHEN m.version = stop THEN 'ledger-drift' WHEN l.version IS NULL THEN 'apply' ELSE 'skip' END AS action FROM m LEFT JOIN l USING (version), d")
 def schema_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = raw(spark, sf_dir, "part").selectExpr("p_partkey AS version", "IF(p_partkey % 7 = 0, 'Bad Name', 'add_' || p_partkey) AS name", "IF(p_partkey % 11 = 0, ' ', p_name) AS sql")
-    ledger = registry.filter("version % 4 < 2").select("version", "name", F.concat(F.lit("sha256:"), F.sha2(F.when(F.col("version") % 4 == 1, "old").otherwise(F.col("sql")), 256)).alias("sql_sha256"))
-    return merge.ledger_actions(registry, ledger)
+    return merge.ledger_actions(*_migrations(spark, sf_dir))
+
+
+@query("refused_ledger", f"WITH {_LEDGER.format(sql="CASE WHEN p_size % 10 = 0 THEN ' ' ELSE p_type END")} SELECT version, CASE WHEN trim(sql) = '' THEN 'empty-migration' ELSE 'blocked' END AS action FROM m")
+def refused_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry in which some migrations are empty: nothing is applied."""
+    return merge.ledger_actions(*_migrations(spark, sf_dir, "IF(p_size % 10 = 0, ' ', p_type)"))
 
 
 @query("recents_upsert", "WITH a AS (SELECT user_id, k, max(ts) AS ts FROM op_log GROUP BY ALL) SELECT user_id, k, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k) AS r FROM a) WHERE r <= 10")
@@ -129,7 +145,8 @@ def small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("listed_verses", "SELECT entity_id, array_to_string(list_sort(list(DISTINCT reference_id))[1:12], ', ') || CASE WHEN count(DISTINCT reference_id) > 12 THEN ', among others.' ELSE '.' END AS verses FROM attestations GROUP BY entity_id")
 def listed_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind.attestations(spark, sf_dir).groupBy("entity_id").agg(F.collect_set("reference_id").alias("refs")).select("entity_id", text.listed(F.col("refs")).alias("verses"))
+    found = first_distinct(bind.attestations(spark, sf_dir), ["entity_id"], "reference_id", 12)
+    return found.select("entity_id", F.concat(F.array_join("first", ", "), F.when(F.col("more"), ", among others.").otherwise(".")).alias("verses"))
 
 
 @query("open_questions", "SELECT d.doc_id FROM documents d WHERE d.n_chars > 600 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")

@@ -167,6 +167,27 @@ def autolink_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "orders").select("o_orderkey", F.explode(text.links(said)).alias("link"))
 
 
+# every full stop is followed by references of three forms, whose numbers are the row's own
+_SAID = "replace(text, '. ', '. See Ezra ' || (doc_id % 10 + 1) || ':' || (doc_id % 30 + 1) || '–' || (doc_id % 30 + 3) || ' (vv' || (doc_id % 20 + 1) || ', ' || (doc_id % 20 + 2 + doc_id % 3) || '), Version 2 and v' || (doc_id % 7 + 1) || ' of Neh ' || (doc_id % 13) || '. ')"
+_PROSE = text.PROSE_REFERENCE
+_KEY = f"""CASE WHEN regexp_extract(x, '{_PROSE}', 1) <> '' THEN CASE WHEN book IN ('See Ezra', 'Neh') THEN replace(book, 'See ', '') || '.' || chap || CASE WHEN v = '' THEN '' ELSE '.' || v END || CASE WHEN v_end = '' THEN '' ELSE '-' || replace(book, 'See ', '') || '.' || chap || '.' || v_end END END
+    ELSE lang || '.' || (doc_id % 50) || '.' || head || CASE WHEN head = tail THEN '' ELSE '-' || lang || '.' || (doc_id % 50) || '.' || tail END END"""
+
+
+@query(
+    "linked_prose",
+    f"""WITH said AS (SELECT doc_id, lang, {_SAID} AS said FROM documents),
+    found AS (SELECT doc_id, lang, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, lang, regexp_extract_all(said, '{_PROSE}') AS l FROM said)),
+    parts AS (SELECT *, regexp_extract(x, '{_PROSE}', 1) AS book, regexp_extract(x, '{_PROSE}', 2) AS chap, regexp_extract(x, '{_PROSE}', 3) AS v, regexp_extract(x, '{_PROSE}', 4) AS v_end, trim(string_split(regexp_extract(x, '{_PROSE}', 5), ',')[1]) AS head, CASE WHEN regexp_extract(x, '{_PROSE}', 6) <> '' THEN regexp_extract(x, '{_PROSE}', 6) ELSE trim(string_split(regexp_extract(x, '{_PROSE}', 5), ',')[-1]) END AS tail FROM found)
+    SELECT doc_id, link, count(*) AS n FROM (SELECT doc_id, {_KEY} AS link FROM parts) WHERE link IS NOT NULL GROUP BY ALL""",
+)
+def linked_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document links to each passage: by book, or by verses of the passage that it is about."""
+    said = _docs(spark, sf_dir).withColumn("said", F.expr(_SAID))
+    spans = text.linked_spans(F.col("said"), {"See Ezra": "Ezra", "Neh": "Neh"}, F.col("lang"), F.col("doc_id") % 50)
+    return said.select("doc_id", F.explode(spans).alias("x")).filter("x.key IS NOT NULL").groupBy("doc_id", F.col("x.key").alias("link")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Words in titles of events and the tags that they give, in order.
 TAGS = (("vision", "vision"), ("prayer", "prayer"), ("genealog", "genealogy"), ("covenant", "covenant"), ("law", "law"), ("song", "song"), ("psalm", "song"), ("letter", "letter"), ("prophec", "prophecy"), ("parable", "teaching"), ("sermon", "teaching"), ("miracle", "miracle"), ("battle", "battle"), ("war", "battle"), ("journey", "journey"), ("journeys", "journey"), ("birth", "birth"), ("death", "death"), ("genealogy", "genealogy"), ("commission", "commission"), ("conquest", "battle"), ("dedication", "worship"), ("worship", "worship"), ("census", "census"), ("plague", "judgment"), ("judgment", "judgment"), ("instruction", "teaching"), ("teaching", "teaching"), ("discourse", "teaching"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scholion.functions.text import greedy_spans
 from scholion.operators.merge import bumped_revision
 from scholion.operators.needles import greedy_select
-from scholion.operators.ordinals import carried, islands, latest, newest
+from scholion.operators.ordinals import carried_within, islands_within, latest, newest
 from scholion.plans.registry import query
 from scholion.sources import bind
 from scholion.sources.bind import raw
@@ -16,14 +16,14 @@ from scholion.sources.bind import raw
 
 @query("islands_passages", "SELECT conv_id, island, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM (SELECT *, sum(CASE WHEN kind = 'h' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM turns) WHERE kind = 'v' GROUP BY ALL")
 def islands_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = islands(bind.turns(spark, sf_dir), ["conv_id"], ["turn"], F.col("kind") == "h").filter("kind = 'v'")
+    found = islands_within(bind.turns(spark, sf_dir), ["conv_id"], "turn", F.col("kind") == "h").filter("kind = 'v'")
     return found.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n"))
 
 
 @query("carry_forward_heading", "SELECT conv_id, turn, coalesce(last_value(CASE WHEN kind = 'v' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS after_turn FROM turns QUALIFY kind = 'h'")
 def carry_forward_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = carried(F.when(F.col("kind") == "v", F.col("turn")), ["conv_id"], ["turn"], -1)
-    return bind.turns(spark, sf_dir).select("conv_id", "turn", "kind", after.alias("after_turn")).filter("kind = 'h'").drop("kind")
+    found = carried_within(bind.turns(spark, sf_dir).drop("text"), ["conv_id"], "turn", F.when(F.col("kind") == "v", F.col("turn")), "after_turn")
+    return found.filter("kind = 'h'").select("conv_id", "turn", F.coalesce("after_turn", F.lit(-1)).alias("after_turn"))
 
 
 @query("interleave_blocks", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind) AS position, kind, length(text) AS size FROM turns")
@@ -35,8 +35,9 @@ def interleave_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pending_heading", "SELECT conv_id, turn, heading_turn FROM (SELECT conv_id, turn, kind, last_value(CASE WHEN kind = 'h' THEN turn END IGNORE NULLS) OVER w AS heading_turn, last_value(CASE WHEN kind = 'v' THEN turn END IGNORE NULLS) OVER w AS verse_turn FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE kind = 'v' AND heading_turn > coalesce(verse_turn, -1)")
 def pending_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = {k: carried(F.when(F.col("kind") == k, F.col("turn")), ["conv_id"], ["turn"]) for k in ("h", "v")}
-    found = bind.turns(spark, sf_dir).select("conv_id", "turn", "kind", of["h"].alias("heading_turn"), of["v"].alias("verse_turn"))
+    found = bind.turns(spark, sf_dir).drop("text")
+    for kind, name in (("h", "heading_turn"), ("v", "verse_turn")):
+        found = carried_within(found, ["conv_id"], "turn", F.when(F.col("kind") == kind, F.col("turn")), name)
     return found.filter("kind = 'v' AND heading_turn > coalesce(verse_turn, -1)").select("conv_id", "turn", "heading_turn")
 
 

@@ -3,6 +3,7 @@
 import re
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholion.functions import digest, keys, text
@@ -137,3 +138,25 @@ def test_ranges_and_places(spark):
     assert one(spark, "bsb", keys.server_location(x, F.lit("Neh"), F.lit(2))) == "Neh.2" and one(spark, "other", keys.server_location(x, F.lit("Neh"), F.lit(2))) is None
     assert tuple(one(spark, "1Sam.3", keys.local_coordinates(x))) == ("1Sam", 3) and one(spark, "bad", keys.local_coordinates(x)) is None
     assert one(spark, "Dan 2", keys.display_name(x)) == "Dan" and one(spark, "2024-02-03", digest.date_label(x)) == "February 3" and one(spark, "2024-02-31", digest.date_label(x)) is None
+
+
+BOOKS = {"Neh": "Neh", "Ezra": "Ezra", "Song of Songs": "Song", "First Kings": "1Kgs"}
+
+
+@pytest.mark.parametrize(
+    ("said", "links"),
+    [
+        ("by Neh 6:15 and Ezra 4:17–23. See Neh 1", ["Neh.6.15", "Ezra.4.17-Ezra.4.23", None]),
+        ("as told (v10), again (vv13–15) and (vv13, 15)", ["Neh.2.10", "Neh.2.13-Neh.2.15", "Neh.2.13-Neh.2.15"]),
+        ("v. 4 is no verse but v.4 is", ["Neh.2.4"]),
+        ("Neh 1 alone, First Kings 02:003", ["Neh.1", "1Kgs.2.3"]),
+        ("in 445 BC, 1–7, Chapter 3, Matt 5:3", [None, None]),
+        ("vv7-7", ["Neh.2.7"]),
+        ("", []),
+    ],
+)
+def test_references_in_prose(spark, said, links):
+    parts = one(spark, said, text.linked_spans(F.col("x"), BOOKS, F.lit("Neh"), F.lit(2)))
+    assert "".join(p["text"] for p in parts) == said
+    looks = re.compile(text.PROSE_REFERENCE)
+    assert [p["key"] for p in parts if looks.fullmatch(p["text"])] == links and not [p for p in parts if p["key"] and not looks.fullmatch(p["text"])]

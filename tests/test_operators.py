@@ -157,6 +157,41 @@ def test_publish_skips_what_is_there_and_keeps_what_fails_out(spark, tmp_path):
     assert sinks.publish(df.limit(1), root) and sinks.read_current(spark, root).count() == 1
 
 
+def test_of_two_writers_one_fails(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    a, b, c = (frame(spark, "k int", (k,)) for k in range(3))
+    assert sinks.publish(a, root)
+    known = sinks.current_version(spark, root)[1]
+    assert sinks.publish(b, root, expected=known)
+    with pytest.raises(sinks.Conflict):
+        sinks.publish(c, root, expected=known)
+    assert rows(sinks.read_current(spark, root)) == rows(b) and len(list((tmp_path / "v/versions").iterdir())) == 2
+    # while one writer checks its rows, another publishes
+    def overtaken(tables):
+        sinks.publish(a, root)
+        return tables["rows"].limit(0)
+
+    with pytest.raises(sinks.Conflict):
+        sinks.publish_tables({"rows": c}, root, findings=overtaken)
+    assert rows(sinks.read_current(spark, root)) == rows(a)
+
+
+def test_tables_are_published_together_and_orphans_recovered(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    first, second = ({"a": frame(spark, "k int", (k,)), "b": frame(spark, "v string", (str(k),))} for k in (1, 2))
+    assert sinks.publish_tables(first, root) and not sinks.publish_tables(first, root)
+    with pytest.raises(ValueError, match="not published"):
+        sinks.publish_tables(second, root, findings=lambda tables: tables["b"])
+    assert {k: rows(v) for k, v in sinks.read_tables(spark, root).items()} == {"a": [(1,)], "b": [("1",)]}
+    # a writer that died after its first table, and one before its pointer had its name
+    second["a"].write.parquet(f"{root}/versions/dead/a")
+    (tmp_path / "v/pointer/_half").write_text("{")
+    assert sinks.recover(spark, root) == []
+    assert sinks.recover(spark, root, idle_seconds=-60) == ["pointer/_half", "versions/dead"]
+    assert sinks.publish_tables(second, root) and sinks.publish_tables(first, root)
+    assert len(sinks.recover(spark, root, keep=1, idle_seconds=-60)) == 4 and rows(sinks.read_tables(spark, root)["a"]) == [(1,)]
+
+
 def test_earlier_rows_can_be_published_again(spark, tmp_path):
     root = f"file://{tmp_path}/t"
     a, b = frame(spark, "k int, v string", (1, "a"), (1, "a"), (2, None)), frame(spark, "k int, v string", (1, "a"), (2, None))
@@ -248,7 +283,101 @@ def test_streamed_ops_end_in_the_batch_state(spark, sf, tmp_path):
     ops = bind.op_log(spark, sf)
     for k in range(3):
         ops.filter(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    root, names = f"file://{tmp_path}/state", ["user_id", "k", "added_at", "deleted_at", "active"]
     for _ in range(2):  # the second run finds nothing new
-        oplog.run(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/state", f"file://{tmp_path}/cp").awaitTermination()
-    want = merge.fold_op_log(ops, oplog.KEYS).select("user_id", "k", "added_at", "deleted_at", "active")
-    assert rows(sinks.read_current(spark, f"file://{tmp_path}/state").select(*want.columns)) == rows(want)
+        oplog.run(spark, f"file://{tmp_path}/in", root, f"file://{tmp_path}/cp").awaitTermination()
+    want = rows(merge.fold_op_log(ops, oplog.KEYS).select(*names))
+    assert rows(oplog.state(spark, root).select(*names)) == want
+    last = oplog.compact(spark, root)
+    assert rows(oplog.state(spark, root).select(*names)) == want and not [x for x in (tmp_path / "state/deltas").iterdir() if x.name.startswith("batch=")]
+    # a later batch writes the states of its own keys, and no others
+    later = frame(spark, oplog.SCHEMA, (1, 10**6, 10**9, "add", datetime.datetime(2030, 1, 1)))
+    later.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    oplog.run(spark, f"file://{tmp_path}/in", root, f"file://{tmp_path}/cp").awaitTermination()
+    delta = spark.read.parquet(f"{root}/deltas").filter(F.col("batch") > last)
+    assert rows(delta.select("user_id", "k")) == [(1, 10**6)]
+    assert rows(oplog.state(spark, root).select(*names)) == rows(merge.fold_op_log(ops.unionByName(later), oplog.KEYS).select(*names))
+    assert oplog.compact(spark, root) > last and oplog.state(spark, root).count() == len(want) + 1
+
+
+def ledger(spark, registry, applied):
+    sha = lambda sql: "sha256:" + hashlib.sha256(sql.encode()).hexdigest()
+    found = merge.ledger_actions(frame(spark, "version int, name string, sql string", *registry), frame(spark, "version int, name string, sql_sha256 string", *((v, n, sha(x) if x else "md5:0") for v, n, x in applied)))
+    return dict(rows(found))
+
+
+def test_a_ledger_goes_in_order_and_stops_at_the_first_drift(spark):
+    registry = [(3, "0003_c", "c"), (1, "0001_init", "a"), (4, "0004_d", "d"), (2, "0002_b", "b")]
+    assert ledger(spark, registry, [(1, "0001_init", "a")]) == {1: "skip", 2: "apply", 3: "apply", 4: "apply"}
+    assert ledger(spark, registry, [(1, "0001_init", "a"), (3, "0003_c", "changed")]) == {1: "skip", 2: "apply", 3: "ledger-drift", 4: "blocked"}
+    assert ledger(spark, registry, [(1, "other", "a"), (3, "0003_c", "changed")]) == {1: "ledger-drift", 2: "blocked", 3: "blocked", 4: "blocked"}
+    assert ledger(spark, [], []) == {}
+
+
+@pytest.mark.parametrize(("entry", "error"), [((0, "a", "x"), "invalid-version"), ((5, "Bad Name", "x"), "invalid-name"), ((5, "", "x"), "invalid-name"), ((5, "a", " "), "empty-migration"), ((5, "a", None), "empty-migration"), ((1, "b", "x"), "duplicate-version")])
+def test_one_invalid_migration_stops_all(spark, entry, error):
+    got = ledger(spark, [(1, "a", "x"), (2, "b", "y"), entry], [(1, "a", "drift")])
+    want = {2: "blocked", entry[0]: error} if error == "duplicate-version" else {1: "blocked", 2: "blocked", entry[0]: error}
+    assert got == want
+
+
+def test_a_damaged_ledger_stops_all(spark):
+    assert ledger(spark, [(1, "a", "x"), (2, "b", "y")], [(1, "a", "x"), (9, "z", None)]) == {1: "blocked", 2: "blocked", 9: "ledger-invalid"}
+    assert ledger(spark, [(1, "a", "x")], [(1, "a", "x"), (1, "a", "x")])[1] in ("blocked", "ledger-invalid")
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_segmented_scans_match_windows(spark, bucket):
+    df = spark.range(400).selectExpr("id % 3 AS k", "CAST(id * 5 AS BIGINT) AS o", "IF(id % 11 = 4 OR id % 7 = 1, id, NULL) AS v")
+    got = ordinals.carried_within(ordinals.islands_within(df, ["k"], "o", F.col("v").isNotNull(), "i", bucket), ["k"], "o", F.col("v"), "c", bucket)
+    want = df.selectExpr("*", "sum(IF(v IS NOT NULL, 1, 0)) OVER (PARTITION BY k ORDER BY o) AS i", "last_value(v) IGNORE NULLS OVER (PARTITION BY k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c")
+    assert rows(got.select("k", "o", "v", "i", "c")) == rows(want)
+
+
+def test_least_values_of_a_key(spark):
+    df = frame(spark, "k int, v int", (1, 3), (1, 1), (1, 1), (1, 2), (2, 5), (2, 5))
+    assert rows(ordinals.first_distinct(df, ["k"], "v", 2)) == [(1, [1, 2], True), (2, [5], False)]
+
+
+def battery(spark, layer, package, job=None):
+    make = lambda tables: {k: frame(spark, schema, *values) for k, (schema, *values) in tables.items()}
+    from scholion.operators import packages
+
+    return [tuple(x) for x in rows(packages.battery(layer, make(package), make(job or {})))]
+
+
+CANONICAL = {
+    "candidates": ("candidate_key string", ("c1",)),
+    "reconciliations": ("candidate_key string, entity_key string", ("c1", "e1"), (None, "e2"), ("c9", "e9")),
+    "claims": ("claim_key string, subject_key string, citation_keys array<string>", ("k1", "e1", ["t1"]), ("k2", "e2", []), ("k3", "e9", ["t2"]), ("k4", "e4", [])),
+    "citations": ("citation_key string, claim_keys array<string>, evidence_key string", ("t1", ["k1", "k7"], "v1")),
+    "relevance": ("relevance_key string, scope_key string", ("r1", "s1")),
+}
+
+
+def test_absent_approvals_are_closed_and_absent_snapshots_open(spark):
+    closed = battery(spark, "canonical", CANONICAL)
+    assert closed == [
+        ("/citations/claim_keys", "k7", "undefined-claim"),
+        ("/citations/evidence_key", "v1", "undefined-evidence"),
+        ("/claims/citation_keys", "t2", "undefined-citation"),
+        ("/claims/subject_key", "e4", "unresolved-entity"),
+        ("/claims/subject_key", "e9", "unresolved-entity"),
+        ("/reconciliations/candidate_key", "c9", "unknown-candidate"),
+    ]
+    job = {"entity": ("k string", ("e4",)), "claim": ("k string", ("k7",)), "evidence": ("k string", ("v1",)), "scope": ("k string", ("s2",))}
+    assert battery(spark, "canonical", CANONICAL, job) == [("/claims/citation_keys", "t2", "undefined-citation"), ("/claims/subject_key", "e9", "unresolved-entity"), ("/reconciliations/candidate_key", "c9", "unknown-candidate"), ("/relevance/scope_key", "s1", "outside-authority")]
+
+
+def test_only_the_canonical_layer_vouches_for_itself(spark):
+    mentions = {"mentions": ("mention_key string, attestation_key string, claim_keys array<string>", ("m1", "a1", ["k1"])), "claims": ("claim_key string", ("k1",)), "questions": ("question_key string, record_key string", ("q1", "q1"))}
+    assert battery(spark, "edition", mentions) == [("/mentions/attestation_key", "a1", "undefined-attestation"), ("/mentions/claim_keys", "k1", "undefined-claim"), ("/questions/record_key", "q1", "unknown-record")]
+    assert battery(spark, "canonical", {"questions": mentions["questions"]}) == []
+
+
+def test_a_package_fails_for_the_gravest(spark):
+    from scholion.operators import packages
+
+    error = lambda *found: rows(packages.verdict(frame(spark, "finding string", *((x,) for x in found))))
+    assert error() == [] and error("outside-authority", "unknown-candidate", "overlap") == [("invalid-state",)]
+    assert error("overlap", "duplicate") == [("duplicate",)] and error("duplicate", "unknown-record") == [("dangling",)]
