@@ -108,10 +108,10 @@ def bundle_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curation_sql() -> str:
-    from scholion.plans.texts import _BOTH, _GROUP, _HITS, _SPAN, _THAT
+    from scholion.plans.texts import _HITS, _SENSES
 
-    person = f"regexp_matches(regexp_replace(regexp_replace(text, '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_THAT}')"
-    return f"""WITH {_HITS}, v AS (SELECT doc_id, source, CASE WHEN NOT regexp_matches(text, '{_THAT}') THEN 'person' WHEN {person} THEN 'person' WHEN regexp_matches(text, '{_SPAN % _GROUP}') THEN 'group' ELSE 'territory' END AS sense FROM documents),
+    return f"""WITH {_HITS}, {_SENSES}, meant AS (SELECT doc_id, CASE WHEN bool_or(said AND NOT g AND NOT t) THEN 'person' WHEN bool_or(g) THEN 'group' WHEN bool_or(t) THEN 'territory' ELSE 'person' END AS sense FROM judged WHERE said OR g OR t GROUP BY doc_id),
+    v AS (SELECT doc_id, source, coalesce(sense, 'person') AS sense FROM documents LEFT JOIN meant USING (doc_id)),
     q AS (SELECT doc_id, count(*) AS n FROM hits WHERE quote = 'the' GROUP BY doc_id),
     l AS (SELECT DISTINCT v.doc_id, v.source, CASE WHEN sense = 'group' THEN -1 ELSE a.entity_id + CAST(a.entity_id % 3 = 0 AS INT) END AS entity_id, coalesce(q.n, 0) AS n FROM attestations a JOIN v ON v.doc_id = a.reference_id LEFT JOIN q ON q.doc_id = v.doc_id WHERE sense <> 'territory'),
     s AS (SELECT v.source, v.doc_id, coalesce(string_agg(CAST(entity_id AS VARCHAR), ',' ORDER BY CAST(entity_id AS VARCHAR)), '') AS signature, count(l.entity_id) AS links, count(*) FILTER (l.n >= 2) AS explicit, count(*) FILTER (l.n = 1) AS implied, count(*) FILTER (l.n = 0) AS inferred FROM v LEFT JOIN l ON l.doc_id = v.doc_id GROUP BY v.source, v.doc_id)
@@ -133,7 +133,7 @@ def curation_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholion.plans.texts import _GROUP, _LAND
 
     docs = raw(spark, sf_dir, "documents")
-    sense = F.coalesce(text.sense(F.col("text"), ("that",), text.governed(_GROUP, "that"), text.governed(_LAND, "that")), F.lit("person"))
+    sense = F.coalesce(text.sense(F.col("text"), ("that",), text.governed_spans(F.col("text"), _GROUP, "that"), text.governed_spans(F.col("text"), _LAND, "that")), F.lit("person"))
     spans = text.quote_positions(F.col("text"), "the")
     verses = docs.select("doc_id", "source", sense.alias("sense"), F.size(spans).alias("quotes"))
     bridge = raw(spark, sf_dir, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey AS old", "p_partkey + 1 AS new")

@@ -106,22 +106,26 @@ def script_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.script_tokens(said), " ").alias("tokens"))
 
 
-_SENTENCES = ("the house of Dan", "in the land of Dan", "Dan said", "Danube", "the tribes of Judah, Simeon, and Dan", "Dan and the sons of Dan", "all Dan", "two Danites", "the land of Dan and the house of Dan")
-_SENSES = ("group", "territory", "person", None, "group", "person", "group", "group", "group")
-
-
-@query("tribe_senses", f"SELECT o_orderkey, CASE o_orderkey % 9 {' '.join(f'WHEN {k} THEN {chr(39) + x + chr(39) if x else chr(78) + chr(85) + chr(76) + chr(76)}' for k, x in enumerate(_SENSES))} END AS sense FROM orders")
+@query(
+    "tribe_senses",
+    """WITH said AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(text, ' the ', ' the house of Dan ') WHEN 1 THEN replace(text, ' the ', ' hills of Gad, Asher, and Dan ') WHEN 2 THEN replace(text, ' the ', ' Dan ') WHEN 3 THEN replace(text, ' the ', ' sons of Gad. Dan ') ELSE replace(text, ' the ', ' Danites ') END AS said FROM documents)
+    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'group' WHEN 1 THEN 'territory' WHEN 4 THEN 'group' ELSE 'person' END AS sense FROM said WHERE contains(said, 'Dan ') OR contains(said, 'Danites ')""",
+)
 def tribe_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tribe, group, land = text.people_patterns("Dan", ("Danite", "Danites"))
-    said = F.get(F.array(*map(F.lit, _SENTENCES)), (F.col("o_orderkey") % 9).cast("int"))
-    return raw(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", text.sense(F.col("said"), ("Dan",), f"{tribe}|{group}", land).alias("sense"))
+    """A name that is put in for each "the" of a text, by what governs it there."""
+    put = F.array(*map(F.lit, (" the house of Dan ", " hills of Gad, Asher, and Dan ", " Dan ", " sons of Gad. Dan ", " Danites ")))
+    said = raw(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" the "), F.get(put, (F.col("doc_id") % 5).cast("int"))).alias("said"))
+    group, land = text.people_spans(F.col("said"), "Dan", ("Danite", "Danites"))
+    return said.select("doc_id", text.sense(F.col("said"), ("Dan",), group, land).alias("sense")).filter("sense IS NOT NULL")
 
 
-@query("nation_guards", "SELECT o_orderkey, o_orderkey % 6 < 4 AS stays FROM orders")
+@query("nation_guards", r"""WITH said AS (SELECT doc_id, replace(text, ' that ', CASE doc_id % 4 WHEN 0 THEN ' with old Jacob ' WHEN 1 THEN ' God of Jacob ' WHEN 2 THEN ' Jacob our father ' ELSE ' Jacob ' END) AS said FROM documents), placed AS (SELECT doc_id, said, strpos(said, 'Jacob') AS p FROM said WHERE contains(said, 'Jacob'))
+    SELECT doc_id, doc_id % 4 < 3 OR regexp_matches(substr(said, p, 21), '\b(wife|husband|married|marry|wedding)\b') OR regexp_matches(substr(said, greatest(p - 40, 1), p - greatest(p - 40, 1)), '\b(with|accompanied|along with)\b.{0,12}$') AS stays FROM placed""")
 def nation_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.array(*map(F.lit, ("the sons of Jacob", "went down with Jacob", "your father Jacob", "Jacob his wife", "Jacob did evil", "restore Jacob")))
-    rows = raw(spark, sf_dir, "orders").select("o_orderkey", F.get(said, (F.col("o_orderkey") % 6).cast("int")).alias("said"))
-    return rows.select("o_orderkey", text.stays_person(F.col("said"), F.instr("said", "Jacob") - 1, 5).alias("stays"))
+    """The first mention of a name that is put in for each "that" of a text."""
+    put = F.array(*map(F.lit, (" with old Jacob ", " God of Jacob ", " Jacob our father ", " Jacob ")))
+    rows = raw(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" that "), F.get(put, (F.col("doc_id") % 4).cast("int"))).alias("said")).filter(F.contains("said", F.lit("Jacob")))
+    return rows.select("doc_id", text.stays_person(F.col("said"), F.instr("said", "Jacob") - 1, 5).alias("stays"))
 
 
 @query("uncertain_notes", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 < 2")

@@ -121,15 +121,19 @@ def short_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GROUP, _LAND = "the|and|for", "is|was|are"
-_SPAN = "(^|[^A-Za-z0-9])(?:%s)[ \\t\\n\\f\\r]+of[ \\t\\n\\f\\r]+(?:[A-Za-z''’\\-]+(?:[ \\t\\n\\f\\r]*,[ \\t\\n\\f\\r]*|[ \\t\\n\\f\\r]+and[ \\t\\n\\f\\r]+))*(?:and[ \\t\\n\\f\\r]+)?(?:of[ \\t\\n\\f\\r]+)?that([^A-Za-z0-9]|$)"
-_THAT = "(^|[^A-Za-z0-9])that([^A-Za-z0-9]|$)"
-_BOTH = _SPAN % f"{_GROUP}|{_LAND}"
+# whether what comes before a name, from the last character that no list has, ends in a head and a list
+_LED = "(^|[^A-Za-z''’-])([A-Za-z''’-]*[''’-])?(%s)\\s+of\\s+(((and|of)\\s+)*[A-Za-z''’-]+(\\s*,\\s*|\\s+and\\s+))*((and|of)\\s+)*$"
+_SENSES = f"""clauses AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS clause FROM (SELECT doc_id, string_split_regex(text, '[^A-Za-z''’\\s,-]') AS x FROM documents WHERE contains(text, 'that'))),
+cut AS (SELECT doc_id, n, generate_subscripts(x, 1) AS k, unnest(x) AS part, clause FROM (SELECT *, string_split(clause, 'that') AS x FROM clauses WHERE contains(clause, 'that'))),
+named AS (SELECT doc_id, n, k, left(clause, CAST(sum(length(part)) OVER w + (k - 1) * 4 AS BIGINT)) AS before, lead(part) OVER w AS after, clause, CAST(sum(length(part)) OVER w + (k - 1) * 4 AS BIGINT) AS pos FROM cut WINDOW w AS (PARTITION BY doc_id, n ORDER BY k)),
+mentions AS (SELECT doc_id, before, substr(clause, pos + 5, 1) AS next, right(before, 1) AS last FROM named WHERE after IS NOT NULL),
+judged AS (SELECT doc_id, NOT regexp_matches(last, '[A-Za-z0-9]') AND NOT regexp_matches(next, '[A-Za-z0-9]') AS said, NOT regexp_matches(next, '[A-Za-z]') AND regexp_matches(before, '{_LED % _GROUP}') AS g, NOT regexp_matches(next, '[A-Za-z]') AND regexp_matches(before, '{_LED % _LAND}') AS t FROM mentions)"""
 
 
-@query("sense_classify", f"""SELECT doc_id, CASE WHEN regexp_matches(regexp_replace(regexp_replace(text, '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_BOTH}', '\\1' || chr(1) || '\\2', 'g'), '{_THAT}') THEN 'person'
-    WHEN regexp_matches(text, '{_SPAN % _GROUP}') THEN 'group' ELSE 'territory' END AS sense FROM documents WHERE regexp_matches(text, '{_THAT}')""")
+@query("sense_classify", f"WITH {_SENSES} SELECT doc_id, CASE WHEN bool_or(said AND NOT g AND NOT t) THEN 'person' WHEN bool_or(g) THEN 'group' WHEN bool_or(t) THEN 'territory' ELSE 'person' END AS sense FROM judged WHERE said OR g OR t GROUP BY doc_id")
 def sense_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.sense(F.col("text"), ("that",), text.governed(_GROUP, "that"), text.governed(_LAND, "that"))
+    body = F.col("text")
+    found = text.sense(body, ("that",), text.governed_spans(body, _GROUP, "that"), text.governed_spans(body, _LAND, "that"))
     return _docs(spark, sf_dir).select("doc_id", found.alias("sense")).filter("sense IS NOT NULL")
 
 

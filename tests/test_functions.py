@@ -71,17 +71,34 @@ def test_comments(spark):
 
 
 def test_senses(spark):
-    tribe, group, land = text.people_patterns("Dan", ("Danite", "Danites"))
-    cases = {"the house of Dan": "group", "in the land of Dan": "territory", "Dan said": "person", "Danube": None, "the tribes of Judah, Simeon, and Dan": "group", "the sons of Asher and of Dan": "group", "Dan and the sons of Dan": "person", "all Dan": "group", "two Danites": "group", "the land of Dan and the house of Dan": "group"}
+    group, land = text.people_spans(F.col("x"), "Dan", ("Danite", "Danites"))
+    cases = {
+        "the house of Dan": "group", "in the land of Dan": "territory", "Dan rose": "person", "Danube": None, "the tribes of Gad, Asher, and Dan": "group", "the men of Gad and of Dan": "group",
+        "Dan and the people of Dan": "person", "all Dan": "group", "two Danites": "group", "the hills of Dan and the house of Dan": "group", "the half-tribe of Dan": "group", "the house. Of Dan": "person",
+        "the house of Gad. Dan": "person", "the house of Gad went to Dan": "person", "cities of Gad\nand\n Dan's": "territory", "the kings of men of Dan": "group", "house of Gad, Asher and Dan, Gad": "group", "the house of, Dan": "person", "": None,
+    }
     for case, want in cases.items():
-        assert one(spark, case, text.sense(F.col("x"), ("Dan",), f"{tribe}|{group}", land)) == want, case
+        assert one(spark, case, text.sense(F.col("x"), ("Dan",), group, land)) == want, case
+
+
+def test_governed_spans_have_their_places(spark):
+    said = "é. By the gates of Gezer, Dor and of Dor; gates of Dor."
+    spans = one(spark, said, text.governed_spans(F.col("x"), "gates", "Dor"))
+    assert [said[x["start"] : x["end"]] for x in spans] == ["gates of Gezer, Dor", "gates of Gezer, Dor and of Dor", "gates of Dor"]
 
 
 def test_a_nation_s_name_stays_a_person_s(spark):
-    cases = {"the sons of Jacob": True, "went down with old Jacob": True, "your father Jacob": True, "Jacob his wife": True, "Jacob did evil": False, "restore Jacob": False}
+    cases = {
+        "the sons of Jacob": True, "went down with old Jacob": True, "your father Jacob": True, "Jacob his wife": True, "Jacob did evil": False, "restore Jacob": False,
+        "the God of Jacob": True, "given to My servant Jacob": True, "to Abraham, Isaac, and Jacob": True, "Jacob fled": True, "and he was named Jacob": True, "Jacob. " + "x" * 60 + " called Israel": True, "Jacob is here. They flee": False,
+    }
     for case, want in cases.items():
         at = case.index("Jacob")
         assert one(spark, case, text.stays_person(F.col("x"), F.lit(at), 5)) is want, case
+    nation = {"the God of Israel": False, "My servant Israel": False, "Israel fled": False, "the children of Israel": True, "with Israel": True}
+    for case, want in nation.items():
+        at = case.index("Israel")
+        assert one(spark, case, text.stays_person(F.col("x"), F.lit(at), 6, own_name=False)) is want, case
 
 
 def test_bullets_keep_dotted_references(spark):
