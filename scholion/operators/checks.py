@@ -32,11 +32,16 @@ def exactly_one_of(columns: list[str]) -> Column:
 
 
 def mixed_licences(components: DataFrame, release: str, evidence: str, paths: str) -> DataFrame:
-    """(release, ``components``, ``path_sets``): releases of several components that share one licence evidence but differ in the paths that they cover."""
+    """(release, ``components``, ``path_sets``): releases of several components that share one licence evidence but differ in the paths that they cover. The order of a component's paths doesn't matter; see ``without_paths`` for those that cover none."""
     found = components.groupBy(release).agg(F.count(F.lit(1)).alias("components"), F.countDistinct(evidence).alias("_evidence"), F.countDistinct(paths).alias("path_sets"))
     return found.filter("components > 1 AND _evidence = 1 AND path_sets > 1").drop("_evidence")
 
 
+def without_paths(components: DataFrame, release: str, component: str, paths: str) -> DataFrame:
+    """(release, component): components that don't say which paths or fields they cover."""
+    return components.filter(F.coalesce(F.size(paths), F.lit(0)) <= 0).select(release, component)
+
+
 def blank_texts(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks (``kind`` h or v, ``text``) without a text."""
     blank = blocks.filter(F.col("text").isNull() | (F.trim("text") == ""))

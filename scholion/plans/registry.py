@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholion.sources.bind import with_tables
 
-MODULES = ("spine", "relational", "aggregation", "windows", "texts", "quality", "merging", "policy", "editing", "composite", "packages", "states", "aliases")
+MODULES = ("spine", "relational", "aggregation", "windows", "texts", "quality", "merging", "policy", "editing", "composite", "packages", "states", "aliases", "canons")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
