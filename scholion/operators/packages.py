@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.operators import checks
@@ -216,28 +216,50 @@ VERSE_RULES = {"edition": "edition_key <> ''", "book": "book <> ''", "chapter":
 def submission_status(raw_text: str, kinds: tuple[str, ...], language: str, known_digest: str | None = None):
     """A column with the first thing wrong with a submission's JSON text in the column ``raw_text``, ``replay`` or ``accepted``.
 
-    ``invalid-json``, ``duplicate-key`` (of two records), ``schema-violation`` (no records), ``package-kind``,
-    ``missing-key`` (the first record's entity or language), ``replay-changed`` (another text under a
-    known attempt, whose digest is in the column ``known_digest``).
+    ``invalid-json`` (also where ``records`` isn't a list of objects), ``duplicate-key`` (two records with one key, or
+    without any), ``schema-violation`` (see ``_draft_schema``), ``package-kind``, ``missing-key`` (the first
+    record's entity or language), ``replay-changed`` (another text under a known attempt, whose digest is in
+    the column ``known_digest``).
     """
     text = F.col(raw_text)
-    parsed = F.from_json(text, "package_kind string, records array<struct<record_key:string,entity_key:string,language_tag:string>>")
-    keys = F.filter(F.transform(parsed["records"], lambda x: x["record_key"]), lambda x: x.isNotNull())
-    first = F.try_element_at(parsed["records"], F.lit(1))
+    parsed = F.try_parse_json(text)
+    records = F.try_variant_get(parsed, "$.records", "array<variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    broken = parsed.isNull() | (kind(parsed) == "VOID") | records.isNotNull() & F.exists(records, lambda x: kind(x) == "VOID") | F.startswith(kind(F.try_variant_get(parsed, "$.records", "variant")), F.lit("OBJECT"))
+    keys = F.transform(records, lambda x: F.coalesce(F.try_variant_get(x, "$.record_key", "string"), F.lit("\0")))
+    first = F.try_element_at(records, F.lit(1))
     known = F.col(known_digest) if known_digest else F.lit(None).cast("string")
     digest = F.sha2(text, 256)
     return (
-        F.when(F.try_parse_json(text).isNull(), "invalid-json")
+        F.when(text.isNull() | F.coalesce(broken, F.lit(False)), "invalid-json")
         .when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate-key")
-        .when(parsed["records"].isNull() | (F.size(parsed["records"]) == 0), "schema-violation")
-        .when(~F.coalesce(parsed["package_kind"].isin(*kinds), F.lit(False)), "package-kind")
-        .when(first["entity_key"].isNull() | ~first["language_tag"].eqNullSafe(F.lit(language)), "missing-key")
+        .when(~F.coalesce(_draft_schema(text, parsed, records), F.lit(False)), "schema-violation")
+        .when(~F.coalesce(F.try_variant_get(parsed, "$.package_kind", "string").isin(*kinds), F.lit(False)), "package-kind")
+        .when((F.coalesce(F.try_variant_get(first, "$.entity_key", "string"), F.lit("")) == "") | ~F.try_variant_get(first, "$.language_tag", "string").eqNullSafe(F.lit(language)), "missing-key")
         .when(known.isNotNull() & (known != digest), "replay-changed")
         .when(known == digest, "replay")
         .otherwise("accepted")
     )
 
 
+# A fixed value: the fields of a draft, all of which it must have, and no others.
+DRAFT_FIELDS = ("schema_version", "package_kind", "records", "open_questions", "editorial_observations")
+
+
+def _draft_schema(text: Column, parsed: Column, records: Column) -> Column:
+    """Whether a draft has just the fields that it must: a version of three numbers, a kind, lists of questions and observations, and one record or more, each with a key and a kind and whatever else."""
+    def named(v: Column, path: str) -> Column:
+        return (F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING") & (F.try_variant_get(v, path, "string") != "")
+
+    def listed(path: str) -> Column:
+        return F.startswith(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit("ARRAY"))
+
+    whole = named(parsed, "$.schema_version") & F.try_variant_get(parsed, "$.schema_version", "string").rlike(r"^\d+\.\d+\.\d+$") & named(parsed, "$.package_kind")
+    fields = F.size(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, DRAFT_FIELDS)))) == 0
+    each = (F.size(records) > 0) & F.forall(records, lambda x: F.coalesce(named(x, "$.record_key") & named(x, "$.record_kind"), F.lit(False)))
+    return whole & fields & each & listed("$.open_questions") & listed("$.editorial_observations")
+
+
 def canon_findings(entities: DataFrame, registry: DataFrame, dependencies: DataFrame, digests: DataFrame, books: DataFrame, expected: DataFrame) -> DataFrame:
     """Findings across all books of a canon.
 

@@ -198,10 +198,17 @@ def preview_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.row_findings(rows, ["p_partkey"], {"name": "name <> ''", "type": "p_type IN ('ECONOMY', 'STANDARD')", "verse": "p_size BETWEEN 1 AND 20"})
 
 
-_SUBMITTED = "CASE o_orderkey % 7 WHEN 0 THEN 'not json' WHEN 1 THEN '{\"package_kind\":\"entity-profile-draft\",\"records\":[{\"record_key\":\"a\"},{\"record_key\":\"a\"}]}' WHEN 2 THEN '{\"package_kind\":\"entity-profile-draft\",\"records\":[]}' WHEN 3 THEN '{\"package_kind\":\"other\",\"records\":[{\"record_key\":\"a\"}]}' WHEN 4 THEN '{\"package_kind\":\"entity-profile-draft\",\"records\":[{\"record_key\":\"a\",\"entity_key\":\"e\",\"language_tag\":\"te\"}]}' ELSE '{\"package_kind\":\"entity-profile-draft\",\"records\":[{\"record_key\":\"' || o_orderkey || '\",\"entity_key\":\"e\",\"language_tag\":\"en\"}]}' END"
+# drafts made of orders; what is wrong with one depends on several of its columns
+_SUBMITTED = """'{"schema_version":"' || CASE WHEN o_custkey % 9 = 0 THEN '1.0' ELSE '1.0.' || o_custkey END || '","package_kind":"' || CASE WHEN o_orderstatus = 'P' THEN 'other' ELSE 'entity-profile-draft' END || '","records":[' ||
+    CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE '{"record_key":"r' || o_orderkey || '"' || CASE WHEN o_custkey % 10 = 1 THEN '' ELSE ',"record_kind":"profile"' END || CASE WHEN o_orderkey % 8 = 2 THEN '' ELSE ',"entity_key":"entity:' || o_custkey || '"' END || ',"language_tag":"' || CASE WHEN o_orderkey % 12 = 5 THEN 'te' ELSE 'en' END || '"}' ||
+    CASE WHEN o_orderkey % 5 = 0 THEN ',{"record_key":"r' || (o_orderkey + o_custkey % 2) || '","record_kind":"note","more":[1]}' ELSE '' END END || '],"open_questions":[],"editorial_observations":' || CASE WHEN o_orderkey % 23 = 0 THEN '{}' ELSE '[]' END || CASE WHEN o_custkey % 13 = 0 THEN ',"x":1' ELSE '' END || CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE '}' END"""
 
 
-@query("submission_validation", "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'invalid-json' WHEN 1 THEN 'duplicate-key' WHEN 2 THEN 'schema-violation' WHEN 3 THEN 'package-kind' WHEN 4 THEN 'missing-key' ELSE CASE o_custkey % 3 WHEN 0 THEN 'replay' WHEN 1 THEN 'replay-changed' ELSE 'accepted' END END AS status FROM orders")
+@query(
+    "submission_validation",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'invalid-json' WHEN o_orderkey % 17 > 0 AND o_orderkey % 5 = 0 AND o_custkey % 2 = 0 THEN 'duplicate-key' WHEN o_custkey % 9 = 0 OR o_orderkey % 17 = 0 OR o_custkey % 10 = 1 OR o_orderkey % 23 = 0 OR o_custkey % 13 = 0 THEN 'schema-violation'
+    WHEN o_orderstatus = 'P' THEN 'package-kind' WHEN o_orderkey % 8 = 2 OR o_orderkey % 12 = 5 THEN 'missing-key' ELSE CASE o_custkey % 3 WHEN 0 THEN 'replay' WHEN 1 THEN 'replay-changed' ELSE 'accepted' END END AS status FROM orders""",
+)
 def submission_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr(_SUBMITTED).alias("raw"))
     known = sent.withColumn("known", F.when(F.col("o_custkey") % 3 == 0, F.sha2("raw", 256)).when(F.col("o_custkey") % 3 == 1, "other"))

@@ -381,3 +381,27 @@ def test_a_package_fails_for_the_gravest(spark):
     error = lambda *found: rows(packages.verdict(frame(spark, "finding string", *((x,) for x in found))))
     assert error() == [] and error("outside-authority", "unknown-candidate", "overlap") == [("invalid-state",)]
     assert error("overlap", "duplicate") == [("duplicate",)] and error("duplicate", "unknown-record") == [("dangling",)]
+
+
+DRAFT = {"schema_version": "1.0.0", "package_kind": "entity-profile-draft", "records": [{"record_key": "a", "record_kind": "p", "entity_key": "e", "language_tag": "en", "more": 1}], "open_questions": [], "editorial_observations": []}
+RECORD = DRAFT["records"][0]
+
+
+@pytest.mark.parametrize(
+    ("change", "status"),
+    [
+        ({}, "accepted"),
+        ("{", "invalid-json"), ("null", "invalid-json"), (None, "invalid-json"), ("[]", "schema-violation"), ("3", "schema-violation"),
+        ({"records": {}}, "invalid-json"), ({"records": [None]}, "invalid-json"), ({"records": []}, "schema-violation"), ({"records": 3}, "schema-violation"),
+        ({"records": [RECORD, RECORD]}, "duplicate-key"), ({"records": [{"record_kind": "p"}, {"record_kind": "q"}]}, "duplicate-key"),
+        ({"records": [{"record_key": "a"}]}, "schema-violation"), ({"records": [{**RECORD, "record_key": ""}]}, "schema-violation"), ({"records": [{**RECORD, "record_key": 7}]}, "schema-violation"),
+        ({"schema_version": "1.0"}, "schema-violation"), ({"schema_version": 1}, "schema-violation"), ({"extra": 1}, "schema-violation"), ({"open_questions": {}}, "schema-violation"), ({"editorial_observations": None}, "schema-violation"),
+        ({"package_kind": ""}, "schema-violation"), ({"package_kind": "x"}, "package-kind"),
+        ({"records": [{**RECORD, "entity_key": ""}]}, "missing-key"), ({"records": [{**RECORD, "language_tag": "te"}]}, "missing-key"),
+    ],
+)
+def test_submissions(spark, change, status):
+    from scholion.operators import packages
+
+    said = json.dumps({**DRAFT, **change}) if isinstance(change, dict) else change
+    assert frame(spark, "raw string", (said,)).select(packages.submission_status("raw", ("entity-profile-draft",), "en")).first()[0] == status
