@@ -278,17 +278,28 @@ class ToxicityModel:
         return [self.met[key] for key in keys]
 
 
-def _calibration(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A rising curve through the weighted mean labels of examples in order of share, by pooling neighbours that fall."""
+def _rising(x: np.ndarray, hits: np.ndarray, weights: np.ndarray) -> list[list[float]]:
+    """Pools (weighted sum of ``x``, hits, weight) whose mean hits rise, of points in order of ``x``: neighbours that fall or stay are pooled."""
     pools: list[list[float]] = []
-    for k in np.argsort(shares, kind="stable"):
-        pools.append([shares[k] * weights[k], labels[k] * weights[k], weights[k]])
+    for point in zip(x * weights, hits, weights, strict=True):
+        pools.append(list(point))
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    # a vote of doubt on either side keeps scores of small pools off the ends
-    x = np.array([a / w for a, _, w in pools])
-    return x, np.array([(t + 0.5 * weights.mean()) / (w + weights.mean()) if w < 20 * weights.mean() else t / w for _, t, w in pools])
+    return pools
+
+
+def _calibration(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A rising curve through the weighted mean labels of examples by share. Examples of one share count together, in whatever order they come.
+
+    A vote of doubt on either side keeps the scores of small pools off the ends; what it puts out of order is pooled again.
+    """
+    x, at = np.unique(shares, return_inverse=True)
+    total, hits = (np.bincount(at, weights=w) for w in (weights, labels * weights))
+    first = np.array(_rising(x, hits, total))
+    doubt = weights.mean()
+    last = np.array(_rising(first[:, 0] / first[:, 2], first[:, 1] + doubt / 2, first[:, 2] + doubt))
+    return last[:, 0] / last[:, 2], last[:, 1] / last[:, 2]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> ToxicityModel:

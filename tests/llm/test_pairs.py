@@ -183,3 +183,19 @@ def test_runs_of_words_have_keys_of_their_own():
         texts = ["ababca"[k : k + n] for k in range(7 - n)]
         assert len(set(keys.tolist())) == len(set(texts)) and [keys.tolist().index(x) for x in keys.tolist()] == [texts.index(x) for x in texts]
     assert len(words.runs(hashes[:2], 3)) == 0
+
+
+def test_calibrated_scores_rise_and_don_t_depend_on_order():
+    from scholion.llm.toxicity import _calibration
+
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        shares = rng.integers(0, 6, 40) / 5
+        labels, weights = rng.integers(0, 2, 40).astype(float), rng.choice([1.0, 7.0], 40)
+        x, y = _calibration(shares, labels, weights)
+        assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all() and ((y > 0) & (y < 1)).all()
+        mixed = rng.permutation(40)
+        assert all(np.allclose(a, b) for a, b in zip((x, y), _calibration(shares[mixed], labels[mixed], weights[mixed]), strict=True))
+    tied = _calibration(np.zeros(55), np.array([0.0] * 50 + [1.0] * 5), np.ones(55))
+    assert len(tied[0]) == 1 and 0.09 < tied[1][0] < 0.11
+    assert (np.diff(_calibration(np.array([0.0, 1.0]), np.array([1.0, 0.0]), np.ones(2))[1]) > 0).all()
