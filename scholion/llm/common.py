@@ -59,13 +59,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    _scratch.append(out)
     return out
 
 
+#: Scratch tables of this driver that weren't discarded, in order.
+_scratch: list[DataFrame] = []
+
+
+def scratch_tables() -> list[DataFrame]:
+    """Scratch tables that are there now: what a step adds to them is its own, and can go once its result is written."""
+    return list(_scratch)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove scratch tables of ``materialize``; any other DataFrame is left alone. Nothing may read them afterwards."""
     for df in tables:
         if path := vars(df).get("scratch_path"):
+            _scratch[:] = [x for x in _scratch if x.scratch_path != path]
             context = df.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
