@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.llm.common import discard, materialize, table
+from scholion.llm.common import discard, materialize, scratch_tables, table
 from scholion.llm.decontaminate import drop_contaminated
 from scholion.llm.packing import pack_documents
 from scholion.llm.pii import pseudonymise
@@ -73,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        known = {x.scratch_path for x in scratch_tables()}
         before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
-        discard(before)
+        discard(before, *(x for x in scratch_tables() if x.scratch_path not in known and x is not docs))
     return STAGES[-1][1](spark, docs, sf_dir)
