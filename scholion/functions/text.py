@@ -16,6 +16,23 @@ def plain_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def mixed_text(content: Column) -> Column:
+    """The plain text of a variant that lists strings and objects.
+
+    Strings follow one another as they are; an object gives its ``text``, if that is a string, and ends a span, so
+    a blank follows it; anything else is a blank. Null where the variant is no list.
+    """
+    kind = F.schema_of_variant
+    items = F.try_variant_get(content, "$", "array<variant>")
+
+    def said(x: Column) -> Column:
+        own = F.try_variant_get(x, "$.text", "variant")
+        inner = F.when(kind(own) == "STRING", F.try_variant_get(x, "$.text", "string")).otherwise(" ")
+        return F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")).when(F.startswith(kind(x), F.lit("OBJECT")), F.concat(inner, F.lit(" "))).otherwise(" ")
+
+    return plain_text(F.array_join(F.transform(items, said), ""))
+
+
 def normalized(text: Column) -> Column:
     return F.lower(F.trim(text))
 

@@ -27,6 +27,21 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.sha2(text.plain_text(F.col("text")), 256).alias("digest"))
 
 
+@query(
+    "mixed_content",
+    r"""SELECT conv_id, sha256(trim(regexp_replace(string_agg(CASE turn % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN text || ' ' WHEN 2 THEN '  ' ELSE ' ' END, '' ORDER BY turn), '[\s\x{a0}]+', ' ', 'g'))) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""",
+)
+def mixed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lists of strings, objects with a text, objects without one, and numbers."""
+    turns = raw(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    quoted = F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
+    noted = F.concat(F.lit('{"noteId":'), F.col("turn").cast("string"), F.lit("}"))
+    item = F.when(F.col("turn") % 4 == 0, quoted).when(F.col("turn") % 4 == 1, F.to_json(F.struct("text"))).when(F.col("turn") % 4 == 2, noted).otherwise(F.col("turn").cast("string"))
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("x"))
+    content = F.parse_json(F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["item"]), ","), F.lit("]")))
+    return listed.select("conv_id", F.sha2(text.mixed_text(content), 256).alias("digest"))
+
+
 # pieces between the quotes' literals give their places; those between word bounds are numbered
 _HITS = f"""quotes AS (SELECT unnest({list(QUOTES)}) AS quote),
 pieces AS (SELECT doc_id, quote, generate_subscripts(x, 1) AS n, unnest(x) AS piece FROM (SELECT doc_id, quote, string_split(text, quote) AS x FROM documents, quotes WHERE contains(text, quote))),

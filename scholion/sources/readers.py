@@ -124,17 +124,16 @@ def person_extras(persons: DataFrame) -> DataFrame:
     return persons.select("person_id", F.concat(F.lit("p-"), slugify(F.col("person_id"))).alias("slug"), notes.alias("notes"), uncertain(notes).alias("uncertain"))
 
 
-DATASET = "chapter struct<number:int,content:array<struct<type:string,number:int,content:array<string>>>>"
+DATASET = "chapter struct<number:int,content:array<struct<type:string,number:int,content:variant>>>"
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """(path, chapter, t, n, text) of a raw dataset's chapter files: headings and verses, whose content mixes strings and objects with a text."""
-    from scholion.functions.text import plain_text
+    from scholion.functions.text import mixed_text
 
     rows = spark.read.schema(DATASET).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.col("_metadata.file_path").alias("path"), F.col("chapter.number").alias("chapter"), F.posexplode("chapter.content").alias("place", "block"))
-    said = F.transform("block.content", lambda x: F.when(F.startswith(x, F.lit("{")), F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))).otherwise(x))
     kind = F.when(F.col("block.type") == "heading", "h").when(F.col("block.type") == "verse", "v")
-    return rows.select("path", "chapter", "place", kind.alias("t"), F.col("block.number").alias("n"), plain_text(F.array_join(said, " ")).alias("text")).filter("t IS NOT NULL")
+    return rows.select("path", "chapter", "place", kind.alias("t"), F.col("block.number").alias("n"), mixed_text(F.col("block.content")).alias("text")).filter("t IS NOT NULL")
 
 
 def order_from_source(files: DataFrame, expected: int) -> DataFrame:

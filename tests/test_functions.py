@@ -177,3 +177,11 @@ def test_references_in_prose(spark, said, links):
     assert "".join(p["text"] for p in parts) == said
     looks = re.compile(text.PROSE_REFERENCE)
     assert [p["key"] for p in parts if looks.fullmatch(p["text"])] == links and not [p for p in parts if p["key"] and not looks.fullmatch(p["text"])]
+
+
+@pytest.mark.parametrize(
+    ("content", "want"),
+    [('["a", "b c"]', "ab c"), ('["In ", {"text": "the  beginning"}, "x"]', "In the beginning x"), ('[{"noteId": 3}, "a", 5, "b", null, [1]]', "a b"), ('[{"text": 7}, {"text": " y\\n"}]', "y"), ("[]", ""), ('{"text": "a"}', None), ('"a"', None)],
+)
+def test_mixed_content(spark, content, want):
+    assert one(spark, content, text.mixed_text(F.parse_json("x"))) == want

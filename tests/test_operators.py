@@ -214,7 +214,7 @@ def test_manifests_and_caches(spark):
 
 
 def test_more_readers(spark, tmp_path):
-    (tmp_path / "1.json").write_text(json.dumps({"chapter": {"number": 1, "content": [{"type": "heading", "content": ["A  head"]}, {"type": "verse", "number": 1, "content": ["In", {"text": "the  start"}, {"noteId": 3}]}, {"type": "line_break"}]}}))
+    (tmp_path / "1.json").write_text(json.dumps({"chapter": {"number": 1, "content": [{"type": "heading", "content": ["A  head"]}, {"type": "verse", "number": 1, "content": ["In ", {"text": "the  start"}, {"noteId": 3}]}, {"type": "line_break"}]}}))
     assert rows(readers.read_dataset(spark, str(tmp_path / "1.json")).select("chapter", "t", "n", "text")) == [(1, "h", None, "A head"), (1, "v", 1, "In the start")]
     source = frame(spark, "text string", ("{ osis: 'Gen', x: 1, testament: 'OT' }, { osis: 'Mat', testament: 'NT' }",))
     assert rows(readers.order_from_source(source, 2)) == [("Gen", "OT", 1), ("Mat", "NT", 2)]
