@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.operators.gate import published_rows
 from scholion.operators.joins import band_join
-from scholion.plans.registry import query
+from scholion.plans.registry import query, sql_of
 from scholion.plans.spine import published
 from scholion.sources import bind
 from scholion.sources.bind import raw
@@ -98,13 +98,35 @@ def bundle_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "claims": bundle_claims(spark, sf_dir),
         "contexts": bundle_contexts(spark, sf_dir),
     }
-    out = bind.scopes(spark, sf_dir).filter("kind = 'passage'").select("scope_key", "refsys")
-    for name, rows in branches.items():
-        fields = [x for x in rows.columns if x != "scope_key"]
-        listed = rows.groupBy("scope_key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
-        empty = F.array().cast(listed.schema[name].dataType)
-        out = out.join(listed, "scope_key", "left").withColumn(name, F.coalesce(name, empty))
-    return out
+    # every branch fills a column of its own, so all of them are listed by one aggregation
+    rows = bind.scopes(spark, sf_dir).filter("kind = 'passage'").select("scope_key", "refsys")
+    for name, found in branches.items():
+        rows = rows.unionByName(found.select("scope_key", F.struct(*(x for x in found.columns if x != "scope_key")).alias(name)), allowMissingColumns=True)
+    listed = rows.groupBy("scope_key").agg(F.max("refsys").alias("refsys"), *(F.array_sort(F.collect_list(name)).alias(name) for name in branches))
+    return listed.filter("refsys IS NOT NULL")
+
+
+#: Each branch of the document and its fields.
+_BRANCHES = {
+    "entities": ("entity_key", "entity_type", "name"), "mentions": ("book", "verse", "entity_key", "n"), "relevance": ("entity_key", "n", "importance"), "relationships": ("subject_key", "predicate", "object_key"),
+    "events": ("event_key", "participants"), "claims": ("claim_id", "predicate", "status"), "contexts": ("doc_id", "origin", "size"),
+}
+
+
+def _bundle_sql() -> str:
+    each = "SELECT scope_key, '{name}' AS branch, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT scope_key, concat_ws('|', {fields}) AS line FROM ({sql})) GROUP BY scope_key"
+    return " UNION ALL ".join(each.format(name=name, fields=", ".join(fields), sql=sql_of(f"context_bundle_{name}")) for name, fields in _BRANCHES.items())
+
+
+@query("context_bundle_text", _bundle_sql())
+def bundle_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' branches as text: how many rows each has, and a digest of its lines."""
+    def branch(name: str, fields: tuple[str, ...]) -> Column:
+        lines = F.array_sort(F.transform(name, lambda x: F.concat_ws("|", *(x[f].cast("string") for f in fields))))
+        return F.struct(F.lit(name).alias("branch"), F.size(name).cast("long").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+    parts = F.array(*(branch(name, fields) for name, fields in _BRANCHES.items()))
+    return bundle_doc(spark, sf_dir).select("scope_key", F.explode(parts).alias("x")).select("scope_key", "x.*").filter("n > 0")
 
 
 def _curation_sql() -> str:

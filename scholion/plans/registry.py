@@ -31,6 +31,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The oracle of a query that is registered already, to be put together with others."""
+    return _ORACLE[name]
+
+
 def _load() -> None:
     for name in MODULES:
         import_module(f"scholion.plans.{name}")
