@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,11 @@ from scholion.llm.words import LOWER, WordHashes, mix, runs
 LEAST, TOP, COVERED = 30, 2000, 80
 LONGEST = 4
 #: Bytes of text to a segment, segments at least, and mappers that share one.
-SEGMENT_BYTES, SEGMENTS, SHARES = 1 << 27, 32, 2
+SEGMENT_BYTES, SEGMENTS, SHARES = 1 << 27, 128, 2
+#: Keys of a tally's row at most: rows of megabytes are costly to keep in a heap.
+PIECE = 8_192
 #: Words that a task counts at a time, and that it holds as text at a time.
-CHUNK, TEXT_CHUNK = 4_000_000, 1_000_000
+CHUNK, TEXT_CHUNK = 2_000_000, 750_000
 #: Bits of the bitmap of frequent keys, as a power of two: 8 MB.
 BITMAP = 26
 #: Keys whose texts a task remembers to have sent.
@@ -144,6 +147,7 @@ def _tallied(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) ->
     """Different keys in rising order, and how often each came (or the sums of the counts)."""
     every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     if counts is None:
+        keys.clear()
         return np.unique(every, return_counts=True)
     found, at = np.unique(every, return_inverse=True)
     total = np.zeros(len(found), dtype=np.int64)
@@ -160,11 +164,11 @@ def segment_of(key: Column, segments: int) -> Column:
 
 
 def _dealt(level: int, keys: np.ndarray, counts: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
-    """Rising keys and their counts, a row for each segment."""
-    ends = np.searchsorted(_segment(keys, segments), np.arange(segments + 1))
-    some = np.flatnonzero(np.diff(ends))
-    columns = [[x[ends[k] : ends[k + 1]].tobytes() for k in some] for x in (keys, counts.astype(np.int64))]
-    arrays = [pa.array(some, pa.int32()), pa.array([level] * len(some), pa.int32()), *(pa.array(x, pa.binary()) for x in columns)]
+    """Rising keys and their counts, in rows of one segment each and of at most ``PIECE`` keys."""
+    ends = np.searchsorted(_segment(keys, segments), np.arange(segments + 1)).tolist()
+    cuts = [(k, at, min(at + PIECE, ends[k + 1])) for k in range(segments) for at in range(ends[k], ends[k + 1], PIECE)]
+    columns = [[x[start:stop].tobytes() for _, start, stop in cuts] for x in (keys, counts.astype(np.int64))]
+    arrays = [pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([level] * len(cuts), pa.int32()), *(pa.array(x, pa.binary()) for x in columns)]
     yield pa.RecordBatch.from_arrays(arrays, names=["segment", "level", "keys", "counts"])
 
 
@@ -177,19 +181,19 @@ def tally(texts: DataFrame, levels: tuple[int, ...], segments: int, pairs=None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = pairs.value if pairs is not None else None
         for chunk in _chunks(batches, CHUNK, False):
-            found: dict[int, list[np.ndarray]] = {n: [] for n in levels}
-            for lang, (hashes, _) in chunk.items():
-                mark = tag(lang)
-                if bits is not None:
-                    good, inside = keys_of(hashes, 2, mark)
-                    good = inside & in_bitmap(bits, good)
-                for n in levels:
-                    keys, inside = keys_of(hashes, n, mark)
-                    for k in range(n - 1 if bits is not None else 0):
-                        inside &= good[k : k + len(keys)]
-                    found[n].append(keys[inside])
-            for n in levels:
-                yield from _dealt(n, *_tallied(found[n]), segments)
+            good = {}
+            for lang, (hashes, _) in chunk.items() if bits is not None else ():
+                keys, inside = keys_of(hashes, 2, tag(lang))
+                good[lang] = inside & in_bitmap(bits, keys)
+            for n in levels:  # one level's keys at a time
+                found = []
+                for lang, (hashes, _) in chunk.items():
+                    keys, inside = keys_of(hashes, n, tag(lang))
+                    for k in range(n - 1 if lang in good else 0):
+                        inside &= good[lang][k : k + len(keys)]
+                    found.append(keys[inside])
+                    del keys, inside
+                yield from _dealt(n, *_tallied(found), segments)
 
     return python_ready(texts).mapInArrow(run, _TALLIES)
 
@@ -369,24 +373,53 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
     return python_ready(counts.select("hash", "counts")).mapInArrow(run, "key long, count long")
 
 
-def _texts_of(texts: DataFrame, known) -> DataFrame:
-    """(``key``, ``lang``, ``phrase``) of the phrases of two words and more in the bitmap; a phrase comes about once for each task."""
+class _Distinct:
+    """The different phrases of a segment, from the tasks that met them, with their keys."""
+
+    def __init__(self, segment: int) -> None:
+        self.phrases: dict[str, set[bytes]] = {}
+
+    def add(self, lang: str, packed: pa.Scalar) -> None:
+        self.phrases.setdefault(lang, set()).update(zlib.decompress(packed.as_buffer()).split(b"\n"))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for lang, every in self.phrases.items():
+            by_size: dict[int, list[bytes]] = {}
+            for phrase in every:
+                by_size.setdefault(phrase.count(b" ") + 1, []).append(phrase)
+            for n, phrases in by_size.items():
+                for start in range(0, len(phrases), 65536):
+                    part = phrases[start : start + 65536]
+                    keys = keys_of(hashes.of(b" ".join(part).split(b" ")), n, tag(lang))[0][::n]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([lang] * len(part), pa.string()), pa.array([x.decode() for x in part], pa.string())], names=["key", "lang", "phrase"])
+
+
+def _texts_of(texts: DataFrame, known, segments: int) -> DataFrame:
+    """(``key``, ``lang``, ``phrase``) of the phrases of two words and more in the bitmap. A task sends each about once, packed by segment, where they become distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sent = known.value, np.zeros(0, np.uint64)
         for chunk in _chunks(batches, TEXT_CHUNK, True):
+            fresh_keys = []
             for lang, (hashes, words) in chunk.items():
+                met: dict[int, list[bytes]] = {}
                 for n in range(2, LONGEST + 1):
                     keys, inside = keys_of(hashes, n, tag(lang))
                     at = np.flatnonzero(inside & in_bitmap(bits, keys))
                     found, first = np.unique(keys[at], return_index=True)
-                    fresh = ~np.isin(found, sent)
-                    found, first = found[fresh], at[first[fresh]]
-                    sent = np.concatenate([sent, found]) if len(sent) < SENT else found
-                    phrases = [b" ".join(words[k : k + n]).decode() for k in first]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([lang] * len(found), pa.string()), pa.array(phrases, pa.string())], names=["key", "lang", "phrase"])
+                    if len(sent):
+                        fresh = sent[np.minimum(np.searchsorted(sent, found), len(sent) - 1)] != found
+                        found, first = found[fresh], first[fresh]
+                    fresh_keys.append(found)
+                    for segment, k in zip(_segment(found, segments).tolist(), at[first].tolist(), strict=True):
+                        met.setdefault(segment, []).append(b" ".join(words[k : k + n]))
+                packed = [zlib.compress(b"\n".join(sorted(x)), 1) for x in met.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int32()), pa.array([lang] * len(met), pa.string()), pa.array(packed, pa.binary())], names=["segment", "lang", "packed"])
+            sent = np.sort(np.concatenate([*([sent] if len(sent) < SENT else []), *fresh_keys]))
 
-    return python_ready(texts).mapInArrow(run, "key long, lang string, phrase string").dropDuplicates(["key"])
+    packed = python_ready(texts).mapInArrow(run, "segment int, lang string, packed binary")
+    return _by_segment(packed, ("segment",), _Distinct, "key long, lang string, phrase string")
 
 
 def _parts(phrases: DataFrame) -> DataFrame:
@@ -444,7 +477,7 @@ def mine_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     counts = counted(few.union(longer))
     often = materialize(_frequent(counts, least), "often")
     known = context.broadcast(bitmap(often))
-    phrases = materialize(_texts_of(texts, known).join(often, "key").withColumnRenamed("count", "a"), "phrases")
+    phrases = materialize(_texts_of(texts, known, segments).join(often, "key").withColumnRenamed("count", "a"), "phrases")
     parts = materialize(_parts(phrases), "parts")
     asked = parts.select(F.explode(F.array("first", "rest")).alias("key")).distinct().select(F.col("key").alias("request"), "key")
     parts_counts = materialize(read_counts(counts, asked, segments), "read").select("key", "count")

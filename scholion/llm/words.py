@@ -7,7 +7,7 @@ import xxhash
 
 SEED = 42
 #: Word hashes that a task keeps at most, and the longest word that it keeps.
-CACHED_WORDS, CACHED_BYTES = 1_000_000, 64
+CACHED_WORDS, CACHED_BYTES = 250_000, 64
 #: The odd factors of a word's place in a run, and those of a widely used 64-bit finaliser.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 FINAL = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
