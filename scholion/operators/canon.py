@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.operators.checks import all_findings
+from scholion.operators.ordinals import first_distinct
 
 # How sure an identification may be, and what derived fields a registry must not keep.
 STATUSES = ("established", "traditional", "proposed", "disputed", "unknown")
@@ -29,16 +30,20 @@ def _rules(df: DataFrame, pointer: str, key: str, rules: dict[str, Column]) -> D
 def identity_splits(locked: DataFrame, registry: DataFrame, most: int = 5) -> DataFrame:
     """(``entity_key``, ``candidates``): locked keys (``entity:label``) that the registry (``entity_key``, ``preferred_name``) lacks though it has entities whose name holds the label; the first ``most`` of their keys.
 
-    A label may stand anywhere in a name, so names meet labels by the three characters that a label begins with, and what meets is compared in full.
+    A label may stand anywhere in a name, so names meet labels by the three characters that a label begins with, and what
+    meets is compared in full. Entities of one name have the same labels, so each different name is cut once, and
+    carries only the first ``most`` keys of its entities.
     """
     label = F.regexp_replace("entity_key", "^.*?entity:", "")
-    missing = locked.select("entity_key").distinct().join(registry.select("entity_key"), "entity_key", "left_anti").withColumn("label", F.lower(label))
-    spoken = missing.withColumn("spoken", F.replace("label", F.lit("-"), F.lit(" "))).filter("spoken <> ''").withColumn("begin", F.left("spoken", F.lit(3)))
-    names = registry.filter("preferred_name IS NOT NULL").select(F.col("entity_key").alias("candidate"), F.lower("preferred_name").alias("name"))
+    missing = locked.select("entity_key").distinct().join(registry.select("entity_key").hint("merge"), "entity_key", "left_anti").withColumn("label", F.lower(label))
+    spoken = missing.withColumn("spoken", F.replace("label", F.lit("-"), F.lit(" "))).filter("spoken <> ''").select("entity_key", "spoken", F.left("spoken", F.lit(3)).alias("begin"))
+    named = registry.filter("preferred_name IS NOT NULL").select(F.lower("preferred_name").alias("name"), F.col("entity_key").alias("candidate"))
+    names = first_distinct(named, ["name"], "candidate", most).select("name", F.col("first").alias("candidates"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr("name", i, n))))
-    met = names.withColumn("begin", F.explode(F.array_distinct(grams))).join(spoken, "begin")
-    same = met.filter(F.contains("name", F.col("spoken"))).select("entity_key", "candidate").distinct()
-    return same.groupBy("entity_key").agg(F.slice(F.array_sort(F.collect_set("candidate")), 1, most).alias("candidates"))
+    # keys and a name's pieces are many more bytes than statistics of stored columns tell, so the joins are told not to broadcast them
+    met = names.withColumn("begin", F.explode(F.array_distinct(grams))).hint("merge").join(spoken, "begin")
+    same = met.filter(F.contains("name", F.col("spoken"))).select("entity_key", F.explode("candidates").alias("candidate"))
+    return first_distinct(same, ["entity_key"], "candidate", most).select("entity_key", F.col("first").alias("candidates"))
 
 
 def neutrality(packages: DataFrame, marks: tuple[str, ...], edition_mark: str) -> DataFrame:
