@@ -33,14 +33,14 @@ def _needles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms(spark, sf_dir).select("needle").union(raw(spark, sf_dir, "part").select("p_name"))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return needles.find(raw(spark, sf_dir, "documents").select("doc_id", "text"), _needles(spark, sf_dir))
+def _hits(spark: SparkSession, sf_dir: str, width: int = 0) -> DataFrame:
+    return needles.find_leftmost(raw(spark, sf_dir, "documents").select("doc_id", "text"), _needles(spark, sf_dir), width=width)
 
 
 @query("alias_hits", f"WITH {_HITS} SELECT doc_id, needle, ordinal, start, stop FROM hits")
 def alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name of a part and every form of an item in all documents."""
-    return needles.leftmost(_hits(spark, sf_dir)).select("doc_id", "needle", "ordinal", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+    return _hits(spark, sf_dir).select("doc_id", "needle", "ordinal", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
 
 
 @query(
@@ -52,7 +52,7 @@ def alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alias_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of those that overlap, the longest: what a reader is shown."""
-    chosen = needles.longest_first(needles.leftmost(_hits(spark, sf_dir)).drop("ordinal"))
+    chosen = needles.longest_first(_hits(spark, sf_dir).select("doc_id", "needle", "start", "end"))
     return chosen.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), "needle")
 
 
@@ -64,12 +64,6 @@ def alias_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions as selectors: for each item and document the first form that occurs, all its occurrences with their ordinals, and the text around them."""
-    docs = raw(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = needles.leftmost(_hits(spark, sf_dir))
-    chosen = needles.preferred_form(hits, forms(spark, sf_dir), "item_id")
-    spans = chosen.join(hits, ["doc_id", "needle"]).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "rank", "ordinal", "start", "end")).alias("spans"))
-    begin = lambda x: F.greatest(x["start"] - 20, F.lit(0))
-    around = lambda x: F.sha2(F.concat_ws("|", F.substr("text", begin(x) + 1, x["start"] - begin(x)), F.substr("text", x["end"] + 1, F.lit(20))), 256)
     # contexts are cut while a text is at hand once, before rows multiply
-    cut = docs.join(spans, "doc_id").select("doc_id", F.explode(F.transform("spans", lambda x: F.struct(x["item_id"].alias("item_id"), x["rank"].alias("rank"), x["ordinal"].alias("ordinal"), x["start"].cast("long").alias("start"), around(x).alias("around")))).alias("x"))
-    return cut.select("doc_id", "x.*")
+    chosen = needles.preferred_form(_hits(spark, sf_dir, 20), forms(spark, sf_dir), "item_id")
+    return chosen.select("doc_id", "item_id", "rank", "ordinal", F.col("start").cast("long").alias("start"), F.sha2(F.concat_ws("|", "prefix", "suffix"), 256).alias("around"))
