@@ -35,6 +35,8 @@ SCALE = 256
 SAMPLE, DEPTH = 2_048, 8
 #: Rows of a page and of a leaf, about; pages that a task holds at most.
 PAGE, LEAF, SLOT_PAGES = 1_024, 64, 64
+#: Bytes of vectors that one shipped block of queries holds, about.
+BLOCK_BYTES = 128 << 10
 #: Norms whose squares reach this can't be scored exactly.
 EXACT = 2**53
 #: A null id: after all others in ties.
@@ -154,6 +156,13 @@ def make_page(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, square:
     return Page(ids[order], labels[order], vectors[order].astype(np.int32), np.searchsorted(leaf[order], np.arange((1 << depth) + 1)), tree)
 
 
+def pieces(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Rows in parts whose vectors have about ``BLOCK_BYTES``: rows of megabytes would gather in writers', readers' and sorters' buffers, which count rows."""
+    step = max(1, BLOCK_BYTES // (4 * width))
+    for k in range(0, len(rows), step):
+        yield rows[k : k + step]
+
+
 def search(page: Page, block: Block, scores: np.ndarray, ids: np.ndarray, same: bool, square: float) -> None:
     """Puts the page's rows into each query's best ones (``scores``, ``ids``: best first), nearest leaf first."""
     vectors, slack, k = page.vectors.astype(np.float64), margin(square), scores.shape[1]
@@ -293,14 +302,15 @@ def _round(index: Index, queries: DataFrame, *, first: bool, same: bool, k: int)
             home_cell = near.argmin(axis=1)
             home = np.array([cell_slots[c][int(key) % len(cell_slots[c])] if cell_slots[c] else -1 for c, key in zip(home_cell, block.keys, strict=True)])
             reached = open_cells & (least <= outer[:, None])
+            shipped = block._replace(vectors=block.vectors.astype(np.int32))
             for slot in range(slots):
                 if first:
                     rows = np.flatnonzero(home == slot)
                 else:
                     mine = [c for c, x in enumerate(cell_slots) if x and x[0] <= slot <= x[-1]]
                     rows = np.flatnonzero(reached[:, mine].any(axis=1) & (home != slot))
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([1], pa.int32()), pa.array([pickle.dumps(block.take(rows))], pa.binary())], names=["slot", "kind", "body"])
+                for part in pieces(rows, width):
+                    yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([1], pa.int32()), pa.array([pickle.dumps(shipped.take(part))], pa.binary())], names=["slot", "kind", "body"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, held = None, []
@@ -312,6 +322,7 @@ def _round(index: Index, queries: DataFrame, *, first: bool, same: bool, k: int)
                     held.append(pickle.loads(body.as_py()))
                     continue
                 block = pickle.loads(body.as_py())
+                block = block._replace(vectors=block.vectors.astype(np.float64))
                 scores, ids = np.full((len(block.ids), k), _NONE), np.full((len(block.ids), k), NO_ID)
                 for page in held:
                     search(page, block, scores, ids, same, square)
