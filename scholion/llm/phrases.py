@@ -5,11 +5,12 @@ Words and runs of words are 64-bit keys (of the language too), so counting works
 1. Words and pairs are tallied: a task counts about ``CHUNK`` words at a time and sends sorted
    keys and counts to segments (ranges of the key), where they are merged. What occurs less than ``least`` times falls away.
 2. Runs of three and four words, all of whose pairs are frequent, are tallied likewise: a longer phrase
-   can't be frequent where a part isn't (Apriori). The mappers know frequent pairs by a bitmap of fixed size, which
-   may let an infrequent one through, never the reverse. Each segment gets a minimal perfect hash of its candidates, frequent
+   can't be frequent where a part isn't (Apriori). The mappers know frequent pairs by a bitmap of fixed size with two
+   bits for each, which may let an infrequent one through, never the reverse. Each segment gets a minimal perfect hash of its candidates, frequent
    words and pairs among them, whose slots hold the keys, so that any other key is known for one. Mappers count
    into one array for each segment (bincount by slot), several of them share a segment, and their arrays are summed.
-3. The texts of the frequent phrases are collected. Their cuts are sent to the segments and read by slot.
+3. The texts of what the bitmap takes for frequent are sent to the segments, which give those whose slot
+   has ``least`` or more. Their cuts are sent to the segments and read by slot.
 
 Everything that grows with the texts is dealt to segments, whose number grows with the texts; only the bitmap
 is broadcast. Two different phrases share a key with a chance of about n^2 / 2^65 for n phrases.
@@ -39,7 +40,7 @@ SEGMENT_BYTES, SEGMENTS, SHARES = 1 << 27, 128, 2
 PIECE = 8_192
 #: Words that a task counts at a time, and that it holds as text at a time.
 CHUNK, TEXT_CHUNK = 2_000_000, 750_000
-#: Bits of the bitmap of frequent keys, as a power of two: 8 MB.
+#: Bits of the bitmap of frequent keys, as a power of two: 8 MB. A key has two, by its upper and by its lower bits.
 BITMAP = 26
 #: Keys whose texts a task remembers to have sent.
 SENT = 1_000_000
@@ -199,14 +200,19 @@ def tally(texts: DataFrame, levels: tuple[int, ...], segments: int, pairs=None)
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - BITMAP)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    out = np.zeros(len(keys), dtype=bool)
+    rest = np.arange(len(keys))
+    for at in (keys >> np.uint64(64 - BITMAP), keys & np.uint64((1 << BITMAP) - 1)):
+        at = at[rest]
+        rest = rest[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    out[rest] = True
+    return out
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for each value of the upper bits that a ``key`` has: of one size, whatever the number of keys."""
-    at = F.shiftrightunsigned("key", 64 - BITMAP)
-    found = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toArrow()
+    """Two bits for each ``key``, at the values of its upper and of its lower bits: of one size, whatever the number of keys."""
+    at = keys.select(F.shiftrightunsigned("key", 64 - BITMAP).alias("at")).union(keys.select(F.col("key").bitwiseAND((1 << BITMAP) - 1)))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toArrow()
     out = np.zeros(1 << BITMAP - 6, dtype=np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
@@ -374,13 +380,18 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
 
 
 class _Distinct:
-    """The different phrases of a segment, from the tasks that met them, with their keys."""
+    """The different phrases of a segment, from the tasks that met them, with their keys and counts: those alone that occur ``least`` times or more."""
 
-    def __init__(self, segment: int) -> None:
+    def __init__(self, segment: int, least: int) -> None:
+        self.least, self.hash = least, PerfectHash(np.zeros(0, np.uint64))
+        self.counts = np.zeros(0, np.int64)
         self.phrases: dict[str, set[bytes]] = {}
 
-    def add(self, lang: str, packed: pa.Scalar) -> None:
-        self.phrases.setdefault(lang, set()).update(zlib.decompress(packed.as_buffer()).split(b"\n"))
+    def add(self, kind: int, lang: str, body: pa.Scalar, counts: pa.Scalar) -> None:
+        if kind == 0:
+            self.hash, self.counts = pickle.loads(body.as_py()), _numbers(counts, np.int64).copy()
+        else:
+            self.phrases.setdefault(lang, set()).update(zlib.decompress(body.as_buffer()).split(b"\n"))
 
     def end(self) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -392,11 +403,14 @@ class _Distinct:
                 for start in range(0, len(phrases), 65536):
                     part = phrases[start : start + 65536]
                     keys = keys_of(hashes.of(b" ".join(part).split(b" ")), n, tag(lang))[0][::n]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([lang] * len(part), pa.string()), pa.array([x.decode() for x in part], pa.string())], names=["key", "lang", "phrase"])
+                    slots = self.hash.slots(keys)
+                    often = np.flatnonzero(slots >= 0)
+                    often = often[self.counts[slots[often]] >= self.least]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array([lang] * len(often), pa.string()), pa.array([part[k].decode() for k in often.tolist()], pa.string()), pa.array(self.counts[slots[often]])], names=["key", "lang", "phrase", "a"])
 
 
-def _texts_of(texts: DataFrame, known, segments: int) -> DataFrame:
-    """(``key``, ``lang``, ``phrase``) of the phrases of two words and more in the bitmap. A task sends each about once, packed by segment, where they become distinct."""
+def _texts_of(texts: DataFrame, known, counts: DataFrame, least: int, segments: int) -> DataFrame:
+    """(``key``, ``lang``, ``phrase``, ``a``) of the phrases of two words and more that occur ``least`` times or more. A task sends each that is in the bitmap about once, packed by segment, where they become distinct and are looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sent = known.value, np.zeros(0, np.uint64)
@@ -419,7 +433,9 @@ def _texts_of(texts: DataFrame, known, segments: int) -> DataFrame:
             sent = np.sort(np.concatenate([*([sent] if len(sent) < SENT else []), *fresh_keys]))
 
     packed = python_ready(texts).mapInArrow(run, "segment int, lang string, packed binary")
-    return _by_segment(packed, ("segment",), _Distinct, "key long, lang string, phrase string")
+    own = counts.select("segment", F.lit(0).alias("kind"), F.lit("").alias("lang"), F.col("hash").alias("body"), "counts")
+    met = packed.select("segment", F.lit(1).alias("kind"), "lang", F.col("packed").alias("body"), F.lit(b"").alias("counts"))
+    return _by_segment(own.union(met), ("segment", "kind"), lambda segment: _Distinct(segment, least), "key long, lang string, phrase string, a long")
 
 
 def _parts(phrases: DataFrame) -> DataFrame:
@@ -477,7 +493,7 @@ def mine_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     counts = counted(few.union(longer))
     often = materialize(_frequent(counts, least), "often")
     known = context.broadcast(bitmap(often))
-    phrases = materialize(_texts_of(texts, known, segments).join(often, "key").withColumnRenamed("count", "a"), "phrases")
+    phrases = materialize(_texts_of(texts, known, counts, least, segments), "phrases")
     parts = materialize(_parts(phrases), "parts")
     asked = parts.select(F.explode(F.array("first", "rest")).alias("key")).distinct().select(F.col("key").alias("request"), "key")
     parts_counts = materialize(read_counts(counts, asked, segments), "read").select("key", "count")
