@@ -6,10 +6,11 @@ can be put together and counted like those of a package.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholion.operators.checks import all_findings
 from scholion.operators.ordinals import first_distinct
 
 # How sure an identification may be, and what derived fields a registry must not keep.
@@ -100,19 +101,33 @@ def bindings(packages: DataFrame, dependencies: DataFrame, canonical: DataFrame)
 
 
 def spot_checks(attestations: DataFrame, expected: DataFrame, mentions: DataFrame | None = None, quotes: DataFrame | None = None) -> DataFrame:
-    """Verses whose attestations (``reference_key``, ``entity_key``) aren't as expected (``reference_key``, ``entity_key``, ``wanted``: true or false), and mentions (``reference_key``, ``entity_key``, ``quote``) that don't quote what they must (``quotes``)."""
-    keys = ["reference_key", "entity_key"]
-    key = F.concat_ws(">", *keys)
-    have = attestations.select(*keys).distinct()
-    found = [
-        _found(expected.filter("wanted").join(have, keys, "left_anti"), "/senses", key, "missing"),
-        _found(expected.filter("NOT wanted").join(have, keys, "left_semi"), "/senses", key, "displaced"),
-    ]
+    """Verses whose attestations (``reference_key``, ``entity_key``) aren't as expected (``reference_key``, ``entity_key``, ``wanted``: true or false), and mentions (``reference_key``, ``entity_key``, ``quote``) that don't quote what they must (``quotes``).
+
+    Everything known of a verse and entity is dealt by both and meets in one place, in as many parts as Spark's
+    shuffles have, since its rows are so few bytes that Spark would put many millions into one task. An expectation
+    without a key is met by nothing, one that is there several times fails as often, and one quote of several is enough.
+    """
+    keys, (have, must, said, right) = ["reference_key", "entity_key"], (1, 2, 4, 8)
+    has = lambda bit: F.col("bits").bitwiseAND(bit) != 0
+    whole = F.col("reference_key").isNotNull() & F.col("entity_key").isNotNull()
+    quoted = F.when(F.col("quote").isNotNull(), said).otherwise(0)
+
+    def facts(df: DataFrame, bits: Column, quote: Column | None = None, missing: Column | None = None, displaced: Column | None = None) -> DataFrame:
+        none = F.lit(0)
+        return df.select(*keys, (F.lit(None) if quote is None else quote).cast("string").alias("quote"), bits.cast("int").alias("bits"), *((none if x is None else x).cast("long").alias(name) for name, x in (("missing", missing), ("displaced", displaced))))
+
+    parts = [facts(expected.filter("wanted IS NOT NULL"), F.lit(0), None, F.col("wanted"), ~F.col("wanted"))]
     if mentions is not None and quotes is not None:
-        said = mentions.select(*keys, F.col("quote").alias("said")).distinct()
-        wrong = quotes.join(said, keys, "left").groupBy(*keys).agg(F.max(F.coalesce(F.col("said") == F.col("quote"), F.lit(False))).alias("right")).filter("NOT right")
-        found.append(_found(wrong, "/senses", key, "quote"))
-    return all_findings(found)
+        parts += [facts(mentions.filter(whole), quoted + (have if mentions is attestations else 0), F.col("quote")), facts(quotes, F.lit(must), F.col("quote"))]
+    if mentions is not attestations or quotes is None:
+        parts.append(facts(attestations.filter(whole), F.lit(have)))
+    sums = [F.bit_or("bits").alias("bits"), F.sum("missing").alias("missing"), F.sum("displaced").alias("displaced")]
+    dealt = reduce(DataFrame.union, parts).repartition(int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    by_quote = dealt.groupBy(*keys, "quote").agg(*sums).withColumn("bits", F.when(has(must) & has(said), F.col("bits").bitwiseOR(right)).otherwise(F.col("bits")))
+    times = {"missing": F.when(~has(have), F.col("missing")).otherwise(0), "displaced": F.when(has(have), F.col("displaced")).otherwise(0), "quote": (has(must) & ~has(right)).cast("long")}
+    each = F.flatten(F.array(*(F.array_repeat(F.lit(name), n.cast("int")) for name, n in times.items())))
+    wrong = by_quote.groupBy(*keys).agg(*sums).filter(reduce(Column.__or__, (n > 0 for n in times.values())))
+    return _found(wrong.select(*keys, F.explode(each).alias("_finding")), "/senses", F.concat_ws(">", *keys), F.col("_finding"))
 
 
 def collisions(records: DataFrame, pattern: str) -> DataFrame:
